@@ -56,8 +56,7 @@ def clock_distribution(df: DataFrame, ts: str, part: str = "hour") -> DataFrame:
     bins, value = (24, F.hour(wall)) if part == "hour" else (7, F.weekday(wall))
     counts = df.select(value.cast("long").alias(part)).where(F.col(part).isNotNull()).groupBy(part).count()
     axis = df.sparkSession.range(bins).withColumnRenamed("id", part)
-    # ``counts`` has at most 24 rows, so one window task over it is enough.
+    # At most 24 rows on either side.
     filled = axis.join(F.broadcast(counts), part, "left").withColumn("n", F.coalesce("count", F.lit(0)))
-    total = filled.agg(F.sum("n").alias("total"))
-    return filled.join(F.broadcast(total), F.lit(True)).select(
-        part, F.when(F.col("total") > 0, F.col("n") / F.col("total")).alias("share"))
+    total = counts.agg(F.sum("count")).scalar()
+    return filled.select(part, (F.col("n") / total).alias("share"))
