@@ -6,19 +6,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logwarden import constants as K
 from logwarden.functions.scalars import flag
-from logwarden.functions.timestamps import micros, utc_wall
-from logwarden.operators.runs import Measure, key_or_alone, make_runs, running
+from logwarden.operators.runs import Measure, key_or_alone, keyed, make_runs, running
 
 
 def sessions(df: DataFrame, entity: str, ts: str, tie: str, timeout: float = K.SESSION_TIMEOUT_SECONDS,
-             prefix: str = "behav") -> DataFrame:
+             prefix: str = "behav", cold: bool = False) -> DataFrame:
     """Session number, events so far and seconds so far, per entity.
 
     A gap of more than ``timeout`` seconds starts a new session; numbers start
     at 0.  Rows without entity get zeros.
     """
-    keyed = df.withColumns({"_key": key_or_alone(F.col(entity), F.col(tie)), "_t": micros(utc_wall(df, ts))})
-    runs = running(make_runs(keyed, ["_key"], ["_t", tie]),
+    rows, added = keyed(df, entity, ts, tie)
+    runs = running(make_runs(rows, ["_key"], ["_t", tie], cold=cold),
                    Measure("_prev", "lag", F.col("_t")), Measure("_rn", "sum", F.lit(1)))
     cut = (F.col("_t") - F.col("_prev")) > F.lit(int(timeout * 1_000_000))
     start = cut | F.col("_prev").isNull()
@@ -33,7 +32,7 @@ def sessions(df: DataFrame, entity: str, ts: str, tie: str, timeout: float = K.S
         f"{prefix}_session_duration_seconds": F.when(
             known, F.coalesce(F.greatest((F.col("_t") - F.col("_from")) / F.lit(1e6), F.lit(0.0)), F.lit(0.0))
         ).otherwise(F.lit(0.0)),
-    }).drop("_key", "_t", "_prev", "_rn", "_session", "_from", "_from_rn")
+    }).drop("_prev", "_rn", "_session", "_from", "_from_rn", *added)
 
 
 def known_values(df: DataFrame, entity: str, field: str) -> DataFrame:
@@ -44,12 +43,10 @@ def known_values(df: DataFrame, entity: str, field: str) -> DataFrame:
 
 
 def first_seen(df: DataFrame, entity: str, field: str, ts: str, tie: str, name: str,
-               baseline: DataFrame | None = None) -> DataFrame:
+               baseline: DataFrame | None = None, cold: bool = False) -> DataFrame:
     """1 for the entity's first event with this value, unless the baseline has it."""
-    value = key_or_alone(F.col(field), F.col(tie))
-    keyed = df.withColumns({"_key": key_or_alone(F.col(entity), F.col(tie)), "_value": value,
-                            "_t": micros(utc_wall(df, ts))})
-    runs = running(make_runs(keyed, ["_key", "_value"], ["_t", tie]), Measure("_prev", "lag", F.lit(1)))
+    rows = keyed(df, entity, ts, tie)[0].withColumn("_value", key_or_alone(F.col(field), F.col(tie)))
+    runs = running(make_runs(rows, ["_key", "_value"], ["_t", tie], cold=cold), Measure("_prev", "lag", F.lit(1)))
     out, new = runs.finish(), F.col("_prev").isNull() & F.col(field).isNotNull() & F.col(entity).isNotNull()
     if baseline is not None:
         seen = baseline.select(F.col("entity").alias("_key"), F.col("value").alias("_value"),

@@ -21,6 +21,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
+from logwarden.functions.timestamps import micros, utc_wall
+
 ROWS_PER_RUN = 1_000_000
 MAX_MARKS = 100_000
 FANOUT = 64
@@ -63,14 +65,17 @@ def _pick_marks(df: DataFrame, by: list[str], order: list[str], spread: list[str
 
 
 def make_runs(df: DataFrame, by: list[str], order: list[str], spread: list[str] | None = None,
-              every: int | None = None, fanout: int = FANOUT) -> Runs:
+              every: int | None = None, fanout: int = FANOUT, cold: bool = False) -> Runs:
     """Cut large keys of ``df`` into runs.
 
     ``order`` gives the order inside a key and where cuts may fall; ``spread``
     are the columns hashed to pick cuts (default ``order``).  Pass an
     identifier in ``spread`` when many rows tie on ``order``.  Key columns must
-    not be null, see :func:`key_or_alone`.
+    not be null, see :func:`key_or_alone`.  ``cold`` says that an earlier check
+    (:func:`is_cold`) found no large key, so the scan for cuts is skipped.
     """
+    if cold:
+        return Runs(df, by, order)
     spark = df.sparkSession
     every = every or rows_per_run(spark)
     rows = _pick_marks(df, by, order, spread or order, every)
@@ -213,6 +218,21 @@ def running(runs: Runs, *measures: Measure) -> Runs:
     return Runs(out.select(*runs.df.columns, *local), runs.by, runs.order, runs.hot)
 
 
+def is_cold(df: DataFrame, by: list[str], order: list[str]) -> bool:
+    """True if no key is large: one narrow scan that answers for several operators."""
+    return not _pick_marks(df, by, order, order, rows_per_run(df.sparkSession))
+
+
+def keyed(df: DataFrame, entity: str, ts: str, tie: str) -> tuple[DataFrame, list[str]]:
+    """Add ``_key`` and ``_t`` (microseconds) unless the caller has; return what was added.
+
+    Operators that share the two columns also share one shuffle.
+    """
+    if "_key" in df.columns:
+        return df, []
+    return df.withColumns({"_key": key_or_alone(F.col(entity), F.col(tie)), "_t": micros(utc_wall(df, ts))}), ["_key", "_t"]
+
+
 def key_or_alone(key: Column, identifier: Column) -> Column:
     """Key text; a null key becomes a group of its own row, so nulls spread out."""
     return F.coalesce(key.cast("string"), F.concat(F.lit("\u0000"), identifier.cast("string")))

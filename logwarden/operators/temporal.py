@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logwarden.functions.timestamps import micros, utc_wall
-from logwarden.operators.runs import Measure, key_or_alone, make_runs, running
+from logwarden.operators.runs import Measure, keyed, make_runs, running
 
 
 def _delta(seconds: Column, present: Column) -> Column:
@@ -13,37 +13,36 @@ def _delta(seconds: Column, present: Column) -> Column:
 
 
 def delta_entity(df: DataFrame, entity: str, ts: str, tie: str,
-                 name: str = "time_delta_entity_seconds") -> DataFrame:
+                 name: str = "time_delta_entity_seconds", cold: bool = False) -> DataFrame:
     """Seconds since the entity's previous event; 0 for the first and for null entities."""
-    keyed = df.withColumns({"_key": key_or_alone(F.col(entity), F.col(tie)), "_t": micros(utc_wall(df, ts))})
-    runs = running(make_runs(keyed, ["_key"], ["_t", tie]), Measure("_prev", "lag", F.col("_t")))
+    rows, added = keyed(df, entity, ts, tie)
+    runs = running(make_runs(rows, ["_key"], ["_t", tie], cold=cold), Measure("_prev", "lag", F.col("_t")))
     seconds = (F.col("_t") - F.col("_prev")) / F.lit(1e6)
     out = runs.finish().withColumn(name, _delta(seconds, F.col(entity).isNotNull()))
-    return out.drop("_key", "_t", "_prev")
+    return out.drop("_prev", *added)
 
 
 def delta_global(df: DataFrame, ts: str, tie: str, name: str = "time_delta_global_seconds") -> DataFrame:
     """Seconds since the previous event of the whole table."""
-    keyed = df.withColumns({"_key": F.lit(0), "_t": micros(utc_wall(df, ts))})
-    runs = running(make_runs(keyed, ["_key"], ["_t", tie]), Measure("_prev", "lag", F.col("_t")))
-    seconds = (F.col("_t") - F.col("_prev")) / F.lit(1e6)
-    return runs.finish().withColumn(name, _delta(seconds, F.lit(True))).drop("_key", "_t", "_prev")
+    rows = df.withColumns({"_all": F.lit(0), "_at": micros(utc_wall(df, ts))})
+    runs = running(make_runs(rows, ["_all"], ["_at", tie]), Measure("_prev", "lag", F.col("_at")))
+    seconds = (F.col("_at") - F.col("_prev")) / F.lit(1e6)
+    return runs.finish().withColumn(name, _delta(seconds, F.lit(True))).drop("_all", "_at", "_prev")
 
 
 def trailing_count(df: DataFrame, entity: str, ts: str, tie: str, seconds: int = 3600,
-                   name: str = "time_events_per_hour") -> DataFrame:
+                   name: str = "time_events_per_hour", cold: bool = False) -> DataFrame:
     """Events of the entity in the last ``seconds``, both ends included.
 
     Every event adds 1 at its time and takes it away just after it expires; a
     running sum over both gives the count.  A sliding frame would instead visit
     the whole hour again for each event.
     """
-    live = df.withColumns({"_key": key_or_alone(F.col(entity), F.col(tie)),
-                           "_t": micros(utc_wall(df, ts)), "_step": F.lit(1)})
+    live = keyed(df, entity, ts, tie)[0].withColumn("_step", F.lit(1))
     gone = live.where(F.col("_t").isNotNull() & F.col(entity).isNotNull()).select(
         "_key", (F.col("_t") + F.lit(seconds * 1_000_000 + 1)).alias("_t"), F.lit(-1).alias("_step"), tie)
     both = live.unionByName(gone, allowMissingColumns=True)
-    runs = running(make_runs(both, ["_key"], ["_t"], spread=["_t", tie]),
+    runs = running(make_runs(both, ["_key"], ["_t"], spread=["_t", tie], cold=cold),
                    Measure("_count", "range_sum", F.col("_step")))
     counted = F.when(F.col(entity).isNotNull() & F.col("_t").isNotNull(), F.col("_count"))
     return (runs.finish().where("_step = 1").withColumn(name, F.coalesce(counted, F.lit(0)).cast("long"))
