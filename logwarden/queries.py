@@ -337,7 +337,7 @@ def stat_percentiles(spark, d):
 
 @query
 def stat_percentiles_lineitem(spark, d):
-    return rounded(entity.percentile_profile(table(spark, d, "lineitem"), "l_suppkey", "l_extendedprice"), 2)
+    return rounded(entity.percentile_profile(table(spark, d, "lineitem"), "l_suppkey", "l_extendedprice"), 6)
 
 
 @query
