@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from logwarden import constants as K
 from logwarden.functions.scalars import _col
@@ -66,32 +66,39 @@ def structured_data(sd: Column | str) -> Column:
     return F.map_from_entries(last_wins(F.flatten(F.transform(elements, params))))
 
 
-def parse_line(line: Column | str, year: int | None = None) -> Column:
-    """One syslog line -> struct, null if neither form fits; RFC 5424 goes first."""
+def is_line(line: Column | str) -> Column:
+    """Whether a line has either form (a tagged BSD line has the plain form as well)."""
     line = _strip(_col(line))
-    new = _groups(line, K.IETF_LINE, 9)
-    tagged = _groups(line, K.BSD_TAGGED, 5)
-    plain = _groups(line, K.BSD_PLAIN, 4)
-    old = F.coalesce(tagged, plain)
-
-    is_new, is_old = new.isNotNull(), old.isNotNull()
-    pri = F.get(F.coalesce(new, old), F.lit(0)).try_cast("int")
-    tag = F.get(tagged, F.lit(3))
+    return F.coalesce(line.rlike(K.IETF_LINE) | line.rlike(K.BSD_PLAIN), F.lit(False))
+
+
+def parse_lines(df: DataFrame, column: str, year: int | None = None, into: str = "parsed") -> DataFrame:
+    """Add a struct of the parts of each line, null if neither form fits; RFC 5424 goes first.
+
+    Capture groups are columns of their own first, so each pattern runs once
+    per line however often its groups are used.
+    """
+    line = _strip(F.col(column))
+    staged = df.withColumns({"_new": _groups(line, K.IETF_LINE, 9), "_tagged": _groups(line, K.BSD_TAGGED, 5),
+                             "_plain": _groups(line, K.BSD_PLAIN, 4)})
+    new, tagged, plain = F.col("_new"), F.col("_tagged"), F.col("_plain")
+    is_new = new.isNotNull()
+    old_time = F.get(plain, F.lit(1))
+    staged = staged.withColumns({"_pri": F.get(F.coalesce(new, plain), F.lit(0)).try_cast("int"),
+                                 "_iso": iso8601(to_utc(parse_timestamp(old_time, year)))})
+    tag = F.when(~is_new, F.get(tagged, F.lit(3)))
     dash = lambda i: F.nullif(F.get(new, F.lit(i)), F.lit("-"))
-    old_time = F.get(old, F.lit(1))
-    parsed_old = F.regexp_replace(iso8601(to_utc(parse_timestamp(old_time, year))), r"\.000Z$", "")
-    facility, f_name, severity, s_name = decode_priority(pri)
-    return F.when(is_new | is_old, F.struct(
-        F.when(is_new, F.coalesce(dash(2), F.lit(""))).otherwise(F.coalesce(parsed_old, old_time)).alias("timestamp"),
+    parts = F.struct(
+        F.when(is_new, F.coalesce(dash(2), F.lit(""))).otherwise(
+            F.coalesce(F.regexp_replace("_iso", r"\.000Z$", ""), old_time)).alias("timestamp"),
         F.when(is_new, "RFC5424").otherwise("RFC3164").alias("format"),
-        pri.alias("priority"), facility, f_name, severity, s_name,
+        F.col("_pri").alias("priority"), *decode_priority("_pri"),
         F.get(new, F.lit(1)).try_cast("int").alias("version"),
         F.when(~is_new, old_time).alias("timestamp_raw"),
-        F.when(is_new, dash(3)).otherwise(F.get(old, F.lit(2))).alias("hostname"),
+        F.when(is_new, dash(3)).otherwise(F.get(plain, F.lit(2))).alias("hostname"),
         dash(4).alias("app_name"), dash(5).alias("proc_id"), dash(6).alias("msg_id"),
-        F.when(~is_new, tag).alias("tag"),
-        F.when(~is_new, F.split_part(F.regexp_replace(tag, r"[\[\]]+$", ""), F.lit("["), F.lit(1))).alias("program"),
-        _strip(F.when(is_new, F.get(new, F.lit(8))).when(tagged.isNotNull(), F.get(tagged, F.lit(4)))
-               .otherwise(F.get(plain, F.lit(3)))).alias("message"),
-        F.when(is_new, structured_data(F.get(new, F.lit(7)))).alias("sd"),
-    ))
+        tag.alias("tag"),
+        F.split_part(F.regexp_replace(tag, r"[\[\]]+$", ""), F.lit("["), F.lit(1)).alias("program"),
+        _strip(F.coalesce(F.get(new, F.lit(8)), F.get(tagged, F.lit(4)), F.get(plain, F.lit(3)))).alias("message"),
+        F.when(is_new, structured_data(F.get(new, F.lit(7)))).alias("sd"))
+    return staged.withColumn(into, F.when(is_new | plain.isNotNull(), parts)).drop("_new", "_tagged", "_plain", "_pri", "_iso")

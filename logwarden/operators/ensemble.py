@@ -43,31 +43,36 @@ def score(df: DataFrame, anomaly: str = "anomaly_score", label: str = "classific
           confidence: str = "class_confidence", config: Scoring = Scoring()) -> DataFrame:
     """Add threat category, contributions, risk score and level, priority, action and reasons."""
     s, a, c, cls = config, F.col(anomaly), F.col(confidence), F.col(label)
-    base = df.withColumn("threat_category", threat_category(cls))
-    threat = F.col("threat_category")
-    severity = lookup(K.THREAT_SEVERITY, threat, 0.5)
-    sure = c >= s.confidence_min
-    base = base.withColumn("threat_severity", severity).withColumn(
-        "classification_contribution",
-        F.when(sure, F.col("threat_severity") * c).otherwise(F.lit(K.UNSURE_FACTOR) * F.col("threat_severity")))
-    raw = F.lit(s.anomaly_weight) * a + F.lit(s.class_weight) * F.col("classification_contribution")
-    severe, benign = threat.isin(K.SEVERE_THREATS), threat == "Benign"
+    # Each step refers to the one before it once where it can: Spark inlines
+    # these expressions into filters, and repeated parts would multiply.
+    sure, unsure_share = c >= s.confidence_min, F.lit(K.UNSURE_FACTOR)
+    severity = F.lit(None).cast("double")
+    for name, value in K.THREAT_SEVERITY.items():
+        if name != "Unknown":
+            severity = F.coalesce(severity, F.when(cls == name, F.lit(value)))
+    base = df.withColumn("threat_category", threat_category(cls)).withColumn(
+        "threat_severity", F.coalesce(severity, F.lit(K.THREAT_SEVERITY["Unknown"])))
+    base = base.withColumn("classification_contribution",
+                           F.col("threat_severity") * F.when(sure, c).otherwise(unsure_share))
+    severe, benign = cls.isin(K.SEVERE_THREATS), cls == "Benign"
     boost = severe & (a >= s.anomaly_medium)
     calm = benign & (c >= s.confidence_high) & (a < s.anomaly_medium)
-    risk = F.when(boost, F.least(F.lit(1.0), raw * K.SEVERE_BOOST)).when(calm, raw * K.BENIGN_FACTOR).otherwise(raw)
-    scored = base.withColumn("combined_risk_score", risk).withColumn(
-        "risk_level", banded(F.col("combined_risk_score"), [(s.risk_critical, "Critical"), (s.risk_high, "High"),
-                                                            (s.risk_medium, "Medium")], "Low", strict=False))
+    raw = F.lit(s.anomaly_weight) * a + F.lit(s.class_weight) * F.col("classification_contribution")
+    factor = F.when(boost, K.SEVERE_BOOST).when(calm, K.BENIGN_FACTOR).otherwise(1.0)
+    # least() skips nulls, so only boosted scores are capped.
+    scored = base.withColumn("combined_risk_score", F.least(F.when(boost, F.lit(1.0)), raw * factor))
+    risk, threat = F.col("combined_risk_score"), F.col("threat_category")
+    scored = scored.withColumns({
+        "risk_level": banded(risk, [(s.risk_critical, "Critical"), (s.risk_high, "High"), (s.risk_medium, "Medium")],
+                             "Low", strict=False),
+        "alert_priority": F.when(risk >= s.risk_critical, "P0-Critical")
+        .when((risk >= s.risk_high) & severe, "P1-High").when(risk >= s.risk_high, "P2-Medium")
+        .when((risk >= s.risk_medium) & (c >= s.confidence_medium), "P3-Low").otherwise("P4-Info"),
+        # P0 to P2 are exactly the critical and high risks.
+        "requires_alert": risk >= s.risk_high,
+    })
     level = F.col("risk_level")
-    scored = scored.withColumn(
-        "alert_priority",
-        F.when(level == "Critical", "P0-Critical")
-        .when((level == "High") & severe, "P1-High")
-        .when(level == "High", "P2-Medium")
-        .when((level == "Medium") & (c >= s.confidence_medium), "P3-Low")
-        .otherwise("P4-Info"))
     return scored.withColumns({
-        "requires_alert": priority_rank(F.col("alert_priority")) <= 2,
         "suggested_action": suggested_action(level, threat),
         "reasoning": compact_list(
             (sure & ~benign, F.concat(F.lit("Classified as "), cls, F.lit(" with "), percent(c), F.lit(" confidence"))),
@@ -85,8 +90,10 @@ def score(df: DataFrame, anomaly: str = "anomaly_score", label: str = "classific
 
 
 def suggested_action(level: Column, threat: Column) -> Column:
-    return (F.when(level == "Critical", K.ACTION_CRITICAL)
-            .when(level == "High", lookup(K.ACTION_HIGH, threat, K.ACTION_HIGH_OTHER))
+    high = F.when(threat == "", "")
+    for name, text in K.ACTION_HIGH.items():
+        high = high.when(threat == name, text)
+    return (F.when(level == "Critical", K.ACTION_CRITICAL).when(level == "High", high.otherwise(K.ACTION_HIGH_OTHER))
             .when(level == "Medium", K.ACTION_MEDIUM).otherwise(K.ACTION_LOW))
 
 

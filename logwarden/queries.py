@@ -119,13 +119,13 @@ def _lines(spark, d):
 
 @query
 def syslog_rfc3164(spark, d):
-    p = _lines(spark, d).select("record_id", syslog.parse_line("bsd", 2024).alias("p")).select("record_id", "p.*")
+    p = syslog.parse_lines(_lines(spark, d), "bsd", 2024, "p").select("record_id", "p.*")
     return longs(p.select("record_id", "timestamp", "format", "priority", "hostname", "tag", "program", "message"))
 
 
 @query
 def syslog_rfc5424(spark, d):
-    p = _lines(spark, d).select("record_id", syslog.parse_line("ietf").alias("p")).select("record_id", "p.*")
+    p = syslog.parse_lines(_lines(spark, d), "ietf", 2024, "p").select("record_id", "p.*")
     return longs(p.select("record_id", "timestamp", "format", "version", "hostname", "app_name", "proc_id", "msg_id", "message",
                           F.col("sd")["net@1.port"].alias("sd_port"), F.col("sd")["net@1.ip"].alias("sd_ip")))
 
@@ -135,7 +135,7 @@ def syslog_mixed_text(spark, d):
     """Lines that are no syslog are told apart: whole documents, every third one framed."""
     docs = table(spark, d, "documents")
     line = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<13>Jan  7 10:00:00 db app: "), F.col("text"))).otherwise(F.col("text"))
-    p = docs.select("doc_id", syslog.parse_line(line, 2024).alias("p"))
+    p = syslog.parse_lines(docs.select("doc_id", line.alias("line")), "line", 2024, "p")
     return p.select("doc_id", F.coalesce(F.col("p.format"), F.lit("none")).alias("format"),
                     F.coalesce(F.length(F.col("p.message")), F.lit(0)).cast("long").alias("message_chars"))
 

@@ -177,7 +177,7 @@ def infer_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 def read_syslog(spark: SparkSession, path: Paths, year: int | None = None) -> DataFrame:
     """Both syslog forms, one record per line; other lines are skipped."""
     lines = _text(spark, path).where(F.trim("value") != "")
-    parsed = lines.select("source_file", syslog.parse_line("value", year).alias("p")).where("p IS NOT NULL")
+    parsed = syslog.parse_lines(lines.where(syslog.is_line("value")), "value", year, "p")
     return parsed.select("source_file", "p.*").withColumn("source_format", F.lit("Syslog"))
 
 
@@ -202,7 +202,7 @@ def read_event_xml(spark: SparkSession, path: Paths) -> DataFrame:
 def parse_errors(spark: SparkSession, path: Paths, fmt: str) -> DataFrame:
     """Read and rejected lines per file."""
     lines = _text(spark, path).where(F.trim("value") != "")
-    fine = is_object(_strip(F.col("value"))) if fmt == "JSON" else syslog.parse_line("value").isNotNull()
+    fine = is_object(_strip(F.col("value"))) if fmt == "JSON" else syslog.is_line("value")
     return lines.groupBy("source_file").agg(F.count_if(fine).alias("parsed"), F.count_if(~fine).alias("rejected"))
 
 
