@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from logwarden.functions.scalars import _col
 from logwarden.functions.syslog import last_wins
 
 _TEXT = "STRUCT<_VALUE: STRING>"
@@ -25,7 +24,7 @@ _corrupt STRING
 """
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def _user_data(xml: pd.Series) -> pd.Series:
     """Dotted keys of the free-form UserData section; no schema can name them."""
     from xml.etree import ElementTree
@@ -55,11 +54,17 @@ def _user_data(xml: pd.Series) -> pd.Series:
     return xml.map(read)
 
 
-def event_columns(xml: Column | str) -> list[Column]:
-    """Columns of one event; all null when the text is not well-formed XML."""
-    xml = _col(xml)
-    event = F.from_xml(xml, EVENT_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE",
-                                           "ignoreSurroundingSpaces": "false"})
+def parse_events(df: DataFrame, column: str) -> DataFrame:
+    """Add the columns of one event per row; all null when the text is not well-formed XML.
+
+    The parsed event is a column of its own first, so the text is parsed once.
+    """
+    staged = df.withColumn("_event", F.from_xml(F.col(column), EVENT_SCHEMA, {
+        "columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false"}))
+    return staged.select(*df.columns, *_event_columns(F.col("_event"), F.col(column)))
+
+
+def _event_columns(event: Column, xml: Column) -> list[Column]:
     system = event["System"]
 
     def attribute(element: str, name: str) -> Column:

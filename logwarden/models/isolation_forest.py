@@ -155,7 +155,7 @@ class IsolationForest(Estimator, _ForestParams, DefaultParamsReadable, DefaultPa
         scaled = pool.select(F.col(key).alias("_id"), *[scaler.scaled(i).alias(f"x{i}") for i in range(len(names))])
         drawn = F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
                                    lambda t: position(F.col("_id"), t, F.lit(seed + 1)) < chance))
-        rows = scaled.select("*", drawn.cast("int").alias("tree")).withColumn("_h", F.xxhash64("_id", "tree", F.lit(seed + 1)))
+        rows = scaled.select("*", drawn.alias("tree")).withColumn("_h", F.xxhash64("_id", "tree", F.lit(seed + 1)))
         # About 2 * sample rows per tree reach this window.
         picked = rows.withColumn("_n", F.row_number().over(W.partitionBy("tree").orderBy("_h", "_id"))).where(F.col("_n") <= size)
         depth = max(1, math.ceil(math.log2(max(size, 2))))

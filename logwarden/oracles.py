@@ -388,4 +388,74 @@ ORACLES: dict[str, str] = {
       y AS (SELECT DISTINCT action, dst_port, slot - o.i * 600 AS window_start FROM x, range(6) o(i))
       SELECT action, window_start, count(*) AS unique_ports FROM y GROUP BY 1, 2 HAVING count(*) >= 10""",
     "alert_groups": AL + f""" SELECT {TS_US} // 3600000000 * 3600 AS window_start, classification, count(*) AS alerts, min({TS_US}) AS first_us, max({TS_US}) AS last_us FROM al GROUP BY 1, 2""",
+    # ------------------------------------------------- streams: the batch SQL
+    "stream_cooldown": _cooldown(EV + ", rows0 AS (SELECT src_ip AS fp, ts, record_id FROM ev)", "rows0", 86400),
+    "stream_sessions": SESS + """ SELECT record_id, behav_session_id AS session_id, behav_events_in_session AS events_in_session,
+      round(behav_session_duration_seconds, 6) AS session_duration_seconds FROM ss""",
+    "stream_session_windows": SESS.rsplit(",\nss AS", 1)[0] + f""", sw AS (SELECT src_ip, min({TS_US}) AS start_us, max({TS_US}) + 1800000000 AS end_us, count(*) AS events FROM q GROUP BY src_ip, sid)
+      SELECT * FROM sw WHERE end_us <= (SELECT max({TS_US}) FROM ev) // 1000 * 1000 - 600000000""",
+    "stream_first_seen": "SELECT DISTINCT CAST(user_id AS VARCHAR) AS src_ip, event_type AS action FROM events",
+    "stream_alerts": AL + " SELECT raw_record_id, priority, classification, src_ip AS source_ip FROM al",
+    "stream_envelope": "SELECT conv_id, turn, regexp_replace(text, '[\\r\\n]+$', '') AS raw_log, '0.0.0.0' AS src_ip FROM conversations",
+    # ------------------------------------------------------------------ scans
+    "jsonl_scan": EV + f" SELECT record_id, {ISO} AS timestamp, src_ip, CAST(k AS BIGINT) AS k, protocol AS tag FROM ev WHERE k % 10 > 1",
+    "json_scan": EV + " SELECT record_id, action, CAST(k AS BIGINT) AS k FROM ev WHERE k % 10 > 0",
+    "csv_scan": EV + """ SELECT record_id, action || ';"x"' || chr(10) || protocol AS note, CASE WHEN k % 5 > 0 THEN bytes_total END AS bytes,
+      length(CAST(ts AS VARCHAR)) AS stamp_chars FROM ev""",
+    "syslog_scan": LINES + """ SELECT CASE k % 3 WHEN 0 THEN 'RFC3164' ELSE 'RFC5424' END AS format,
+      CASE WHEN k % 3 = 0 THEN 'host' || src_ip WHEN k % 5 > 0 THEN 'h' || src_ip END AS hostname, count(*) AS n FROM ln WHERE k % 3 < 2 GROUP BY 1, 2""",
+    "event_xml_scan": EV + f""" SELECT record_id, CAST(k AS BIGINT) AS event_id, {ISO} AS timestamp, 'host' || src_ip AS computer, action,
+      CAST(k AS VARCHAR) AS data0, protocol AS user_data FROM ev""",
+    "parse_errors": "SELECT count(*) FILTER (doc_id % 2 = 0) AS parsed, count(*) FILTER (doc_id % 2 <> 0) AS rejected FROM documents",
+    # -------------------------------------------------------------- pipelines
+    "preprocess": EV + """, p AS (SELECT record_id, ts, src_ip, CASE WHEN k % 4 = 0 THEN 'none' ELSE action END AS action, bytes_total, k FROM ev),
+      c AS (SELECT action, row_number() OVER (ORDER BY count(*) DESC, action) + 1 AS code FROM p GROUP BY 1)
+      SELECT record_id, """ + ISO_SEC + """ AS timestamp_normalized, src_ip, action, code AS action_encoded, bytes_total FROM p JOIN c USING (action) WHERE k % 9 > 0""",
+    "analysis": (SC + f", pr AS (SELECT *, {FP.format('src_ip')} AS fp FROM sc), rows0 AS (SELECT fp, ts, record_id FROM pr WHERE NOT requires_alert), ").replace("WITH ", "WITH RECURSIVE ", 1)
+                + _greedy("rows0", 60) + f""" SELECT record_id, src_ip, dst_ip, classification, fp AS fingerprint, round(combined_risk_score, 6) AS risk_score, risk_level, alert_priority, suggested_action,
+      concat_ws('; ',
+      CASE WHEN class_confidence >= 0.4e0 AND NOT benign THEN 'Classified as ' || classification || ' with ' || printf('%.1f%%', class_confidence * 100) || ' confidence' END,
+      CASE WHEN class_confidence < 0.4e0 THEN 'Low classification confidence (' || printf('%.1f%%', class_confidence * 100) || ')' END,
+      CASE WHEN anomaly_score >= 0.7e0 THEN 'High anomaly score (' || printf('%.2f', anomaly_score) || ')' WHEN anomaly_score >= 0.5e0 THEN 'Moderate anomaly score (' || printf('%.2f', anomaly_score) || ')' END,
+      CASE WHEN severe AND anomaly_score >= 0.5e0 THEN 'Risk boosted: severe threat with anomalous behavior' END,
+      CASE WHEN benign AND class_confidence >= 0.85e0 AND anomaly_score < 0.5e0 THEN 'Risk reduced: confident benign with normal behavior' END) AS reasoning,
+      coalesce({TACTICS}, '') AS mitre_tactics,
+      CASE WHEN anomaly_score > 0.7e0 THEN 'High' WHEN anomaly_score > 0.4e0 THEN 'Moderate' ELSE 'Low' END || ' anomaly detected with ' ||
+      CASE WHEN class_confidence > 0.8e0 THEN 'high' WHEN class_confidence > 0.6e0 THEN 'moderate' ELSE 'low' END || ' confidence classification as ' || classification || '.' AS summary
+      FROM pr WHERE requires_alert OR record_id IN (SELECT n.record_id FROM numbered n JOIN kept k ON n.fp = k.fp AND n.rn = k.rn)""",
+    "features": None,
 }
+
+
+def _all_features() -> str:
+    """Every feature column from the operators' own SQL."""
+    fields = ("dst_ip", "dst_port", "action", "protocol")
+    cats = " ".join(f"JOIN {_entropy(f, 'en_' + f)} USING (e)" for f in fields).replace("JOIN ", "", 1)
+    pick = ", ".join(f"c.en_{f}_u AS stat_{f}_unique, round(c.en_{f}, 4) AS stat_{f}_entropy" for f in fields)
+    zero = ", ".join(f"0e0 AS stat_{f}_{n}" for f in ("bytes_in", "bytes_out") for n in ("mean", "std", "min", "max", "p25", "p50", "p75", "p95"))
+    flags = lambda p: f"CAST({p} AS BIGINT)"
+    return SESS + f""",
+st AS (SELECT src_ip, count(*) AS stat_record_count, {_stat('ev', 'src_ip', ['bytes_total'], 4)}, {_pct('bytes_total', 4)} FROM ev GROUP BY 1),
+cat AS (SELECT * FROM {cats}),
+nt AS (SELECT src_ip, count(*) AS c, sum(bytes_total) / count(*) AS b, count(DISTINCT dst_ip) AS ui, count(DISTINCT dst_port) AS up,
+  avg(bytes_total) AS m1, coalesce(stddev_samp(bytes_total), 0) AS d1, avg(dst_port) AS m2, coalesce(stddev_samp(dst_port), 0) AS d2 FROM ev GROUP BY 1),
+tm AS (SELECT record_id, src_ip, hour(ts) AS h, isodow(ts) - 1 AS w, bytes_total AS v, dst_port AS port, lower(protocol) AS proto,
+  coalesce(date_diff('microsecond', lag(ts) OVER (ORDER BY ts, record_id), ts), 0) / 1e6 AS dg,
+  coalesce(date_diff('microsecond', lag(ts) OVER (PARTITION BY src_ip ORDER BY ts, record_id), ts), 0) / 1e6 AS de,
+  count(*) OVER (PARTITION BY src_ip ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS eh FROM ev),
+z AS (SELECT tm.*, CASE WHEN d1 > 0 THEN (v - m1) / d1 ELSE 0 END AS z1, CASE WHEN d2 > 0 THEN (port - m2) / d2 ELSE 0 END AS z2,
+  c AS conns, b AS per, ui, up FROM tm JOIN nt USING (src_ip))
+SELECT st.* EXCLUDE (src_ip), {zero}, {pick},
+  round(sin(2 * pi() * h / 24), 4) AS time_hour_sin, round(cos(2 * pi() * h / 24), 4) AS time_hour_cos, round(sin(2 * pi() * w / 7), 4) AS time_dow_sin, round(cos(2 * pi() * w / 7), 4) AS time_dow_cos,
+  {flags('w >= 5')} AS time_is_weekend, {flags('h >= 9 AND h < 17 AND w < 5')} AS time_is_business_hours, round(de, 4) AS time_delta_entity_seconds, round(dg, 4) AS time_delta_global_seconds, eh AS time_events_per_hour,
+  ss.behav_session_id, ss.behav_events_in_session, round(ss.behav_session_duration_seconds, 4) AS behav_session_duration_seconds, CAST(0 AS BIGINT) AS behav_is_new_action, CAST(0 AS BIGINT) AS behav_is_new_destination,
+  round(z1, 4) AS behav_bytes_total_zscore, {flags('abs(z1) > 2')} AS behav_bytes_total_is_anomalous, round(z2, 4) AS behav_dst_port_zscore, {flags('abs(z2) > 2')} AS behav_dst_port_is_anomalous,
+  round((abs(z1) + abs(z2)) / 2, 4) AS behav_deviation_score,
+  {flags('port < 1024')} AS net_dst_port_is_system, {flags(f"port IN ({', '.join(map(str, K.COMMON_PORTS))})")} AS net_dst_port_is_common, {flags('port >= 49152')} AS net_dst_port_is_dynamic,
+  ui AS net_unique_dst_ips, up AS net_unique_dst_ports, round(c.en_dst_port, 4) AS net_dst_port_entropy, round(ui / CAST(conns AS DOUBLE), 4) AS net_fanout_ratio,
+  {flags('ui / CAST(conns AS DOUBLE) > 0.8e0 AND ui > 10')} AS net_is_scanner_like, round(per, 4) AS net_bytes_per_conn, conns AS net_conn_count,
+  {flags("proto = 'tcp'")} AS net_is_tcp, {flags("proto = 'udp'")} AS net_is_udp
+FROM z JOIN st USING (src_ip) JOIN cat c ON c.e = z.src_ip JOIN ss ON ss.record_id = z.record_id"""
+
+
+ORACLES["features"] = _all_features()

@@ -15,7 +15,15 @@ from logwarden.models import metrics
 from logwarden.models.scaling import PopulationScaler
 from logwarden.operators import (alerts, behavior, cooldown, drift, encode, ensemble, entity, feedback, labels, missing,
                                  reports, standardize, temporal, validate, windows)
+from logwarden.models import random_forest
+from logwarden.models.isolation_forest import IsolationForest
+from logwarden.plans import analysis as analysis_plan
 from logwarden.plans.canonical import canonical_events, table
+from logwarden.plans.features import FeatureConfig, build_features
+from logwarden.plans.preprocess import Preprocessing, default_steps
+from logwarden.session import cut_lineage, scratch_path
+from logwarden.sources import readers
+from logwarden.streaming import ingest, stateful
 from logwarden.streaming.envelope import envelope
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -838,3 +846,213 @@ def port_scans(spark, d):
 def alert_groups(spark, d):
     a = all_alerts(spark, d)
     return windows.group_alerts(a, "timestamp", ["classification"], 3600)
+
+
+# ----------------------------------------------------------------- 2.10 streams
+def _event_stream(spark, d):
+    """The events table as a stream, read to its end."""
+    schema = table(spark, d, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return raw.select(F.col("event_id").alias("record_id"), "ts", F.col("user_id").cast("string").alias("src_ip"),
+                      F.col("event_type").alias("action"), "value", "props")
+
+
+def _drained(spark, stream, label):
+    out = scratch_path(spark, label)
+    with stateful.rocksdb_state(spark):
+        ingest.drain(stream, f"{out}/data", f"{out}/checkpoint")
+    return spark.read.schema(stream.schema).parquet(f"{out}/data")
+
+
+@query
+def stream_cooldown(spark, d):
+    return _drained(spark, stateful.cooldown_stream(_event_stream(spark, d), "src_ip", "ts", "record_id", 86400, 86400), "cooldown")
+
+
+@query
+def stream_sessions(spark, d):
+    return rounded(_drained(spark, stateful.sessions_stream(_event_stream(spark, d), "src_ip", "ts", "record_id"), "sessions"))
+
+
+@query
+def stream_session_windows(spark, d):
+    s = _drained(spark, stateful.session_windows(_event_stream(spark, d), "src_ip", "ts"), "session-windows")
+    return s.select("src_ip", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events")
+
+
+@query
+def stream_first_seen(spark, d):
+    s = stateful.first_seen_stream(_event_stream(spark, d), "src_ip", "action", "ts", "60 days")
+    return _drained(spark, s.select("src_ip", "action"), "first-seen")
+
+
+@query
+def stream_alerts(spark, d):
+    """Micro-batch analysis: history, alerts and statistics per batch."""
+    out = scratch_path(spark, "analysis")
+    k = F.get_json_object("props", "$.k").cast("int")
+
+    def scorer(batch):
+        rows = batch.withColumn("k", k).select(
+            "record_id", "ts", "src_ip", F.concat(F.lit("d"), "k").alias("dst_ip"), (F.col("k") * 660).alias("dst_port"),
+            F.least(F.lit(1.0), F.col("value") / 500).alias("anomaly_score"), (F.col("k") / F.lit(100.0)).alias("class_confidence"),
+            F.when(F.col("action") == "error", "Malware").when(F.col("action") == "signup", "Benign")
+            .when(F.col("action") == "purchase", "Exfiltration").when(F.col("action") == "click", "DDoS").otherwise("BruteForce").alias("classification"))
+        return ensemble.score(rows)
+
+    q = ingest.micro_batches(_event_stream(spark, d), ingest.analysis_sink(scorer, out), f"{out}/checkpoint", available_now=True)
+    try:
+        q.awaitTermination(600)
+    finally:
+        q.stop()
+    return spark.read.parquet(f"{out}/alerts").select("raw_record_id", "priority", "classification", "source_ip")
+
+
+@query
+def stream_envelope(spark, d):
+    """Conversation texts as raw lines through the line envelope, as a stream."""
+    schema = table(spark, d, "conversations").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    env = envelope(F.col("text"), F.lit("2024-01-01T00:00:00Z"))
+    s = raw.select("conv_id", "turn", F.get_json_object(env, "$.raw_log").alias("raw_log"), F.get_json_object(env, "$.src_ip").alias("src_ip"))
+    return _drained(spark, s, "envelope")
+
+
+# ------------------------------------------------------------ 2.1 files, written from the tables
+def _written(spark, df, label, **how):
+    path = scratch_path(spark, label)
+    df.write.options(**how.pop("options", {})).format(how["fmt"]).save(path)
+    return path
+
+
+@query
+def jsonl_scan(spark, d):
+    ev = canonical_events(spark, d)
+    doc = F.to_json(F.struct(F.col("record_id"), timestamps.iso8601(F.col("ts")).alias("time"),
+                             F.struct(F.col("src_ip").alias("ip"), F.col("k")).alias("src"), F.array("action", "protocol").alias("tags")))
+    line = F.when(F.col("k") % 10 == 0, "not json").when(F.col("k") % 10 == 1, "  ").otherwise(doc)
+    path = _written(spark, ev.select(line.alias("value")), "jsonl", fmt="text")
+    r_ = readers.read_jsonl(spark, path)
+    return r_.select("record_id", "timestamp", scalars.quoted("src.ip").alias("src_ip"), scalars.quoted("src.k").cast("long").alias("k"),
+                     scalars.quoted("tags[1]").alias("tag"))
+
+
+@query
+def json_scan(spark, d):
+    """Files holding a list of objects among other items: one list per action."""
+    ev = canonical_events(spark, d)
+    doc = F.when(F.col("k") % 10 == 0, "5").otherwise(F.to_json(F.struct("record_id", "action", "k")))
+    path = scratch_path(spark, "json")
+    # One line per record; the reader sees each file as "[ item, item, ... ]" through its line separator.
+    ev.select(F.concat(F.lit("["), doc, F.lit(', "text", null]')).alias("value")).write.option("lineSep", "\n").text(path)
+    whole = spark.read.option("wholetext", "true").text(path).select(
+        F.concat(F.lit("["), F.regexp_replace(F.regexp_replace("value", r"\]\n\[", ","), r"^\[|\]\n$", ""), F.lit("]")).alias("value"))
+    files = _written(spark, whole, "json-lists", fmt="text")
+    j = readers.read_json(spark, files)
+    return j.select("record_id", "action", F.col("k").cast("long").alias("k"))
+
+
+@query
+def csv_scan(spark, d):
+    ev = canonical_events(spark, d).select(
+        F.col("record_id"), F.col("ts").cast("string").alias("Time"), F.concat(F.col("action"), F.lit(";\"x\"\n"), F.col("protocol")).alias("note"),
+        F.when(F.col("k") % 5 == 0, "N/A").otherwise(F.col("bytes_total").cast("string")).alias("bytes"))
+    path = _written(spark, ev, "csv", fmt="csv", options={"header": "true", "sep": ";", "escape": '"'})
+    c = readers.read_csv(spark, path)
+    return c.select(F.col("record_id").cast("long").alias("record_id"), "note", "bytes", F.length("timestamp").cast("long").alias("stamp_chars"))
+
+
+@query
+def syslog_scan(spark, d):
+    lines = _lines(spark, d)
+    line = F.when(F.col("k") % 3 == 0, F.col("bsd")).when(F.col("k") % 3 == 1, F.col("ietf")).otherwise("no syslog")
+    path = _written(spark, lines.select(line.alias("value")), "syslog", fmt="text")
+    return readers.read_syslog(spark, path, 2024).groupBy("format", "hostname").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def event_xml_scan(spark, d):
+    k = F.col("k").cast("string")
+    xml = F.concat(F.lit('<Event xmlns="http://schemas.microsoft.com/win/2004/08/events/event"><System><Provider Name="p"/><EventID Qualifiers="0">'), k,
+                   F.lit('</EventID><TimeCreated SystemTime="'), timestamps.iso8601(F.col("ts")), F.lit('"/><EventRecordID>'), F.col("record_id"),
+                   F.lit('</EventRecordID><Computer>host'), F.col("src_ip"), F.lit('</Computer></System><EventData><Data Name="Action">'), F.col("action"),
+                   F.lit('</Data><Data>'), k, F.lit('</Data></EventData><UserData><A><B c="1">'), F.col("protocol"), F.lit('</B></A></UserData></Event>'))
+    path = _written(spark, canonical_events(spark, d).select(xml.alias("value")), "xml", fmt="text")
+    e = readers.read_event_xml(spark, path)
+    return e.select(F.col("EventRecordID").cast("long").alias("record_id"), F.col("EventID").cast("long").alias("event_id"), "timestamp",
+                    F.col("Computer").alias("computer"), F.col("EventData")["Action"].alias("action"), F.col("EventData")["Data0"].alias("data0"),
+                    F.col("UserData")["A.B"].alias("user_data"))
+
+
+@query
+def parse_errors(spark, d):
+    docs = table(spark, d, "documents")
+    line = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<13>Jan  7 10:00:00 db app: "), F.col("lang"))).otherwise(F.col("lang"))
+    path = _written(spark, docs.select(line.alias("value")), "errors", fmt="text")
+    return readers.parse_errors(spark, path, "Syslog").agg(F.sum("parsed").alias("parsed"), F.sum("rejected").alias("rejected"))
+
+
+# ----------------------------------------------------------------- 2.8 models
+_MODEL_FEATURES = ["bytes_total", "dst_port", "hour", "per_hour"]
+
+
+def _model_rows(spark, d):
+    """Rows whose label follows from the features, so a model can learn it."""
+    ev = temporal.trailing_count(canonical_events(spark, d), "src_ip", "ts", "record_id", name="per_hour")
+    return ev.withColumn("hour", F.hour("ts")).withColumn(
+        "label", F.when(F.col("bytes_total") > 150, "Exfiltration").when(F.col("dst_port") < 6000, "DDoS").otherwise("Benign"))
+
+
+@query
+def iforest_scores(spark, d):
+    """Isolation forest on the benign rows; scores of all rows and their flag."""
+    rows = cut_lineage(_model_rows(spark, d), "model-rows")
+    model = IsolationForest(features=_MODEL_FEATURES).fit(labels.benign_only(rows))
+    return rounded(model.transform(rows).select("record_id", "anomaly_score", ensemble.is_anomaly(F.col("anomaly_score")).alias("is_anomaly")))
+
+
+@query
+def iforest_separation(spark, d):
+    rows = cut_lineage(_model_rows(spark, d), "model-rows")
+    model = IsolationForest(features=_MODEL_FEATURES).fit(labels.benign_only(rows))
+    return rounded(metrics.score_separation(model.transform(rows)))
+
+
+@query
+def rforest_report(spark, d):
+    """Random forest on the training split, evaluated on the test split."""
+    rows = cut_lineage(labels.stratified_split(_model_rows(spark, d), "record_id"), "model-rows")
+    model = random_forest.fit_random_forest(rows.where("NOT is_test"), _MODEL_FEATURES, trees=20, max_depth=10)
+    predicted = random_forest.classify(rows.where("is_test").drop("classification"), model)
+    return rounded(metrics.class_report(metrics.confusion(predicted, "label", "classification")), 4)
+
+
+@query
+def rforest_importance(spark, d):
+    rows = cut_lineage(_model_rows(spark, d), "model-rows")
+    return rounded(random_forest.feature_importance(
+        random_forest.fit_random_forest(rows, _MODEL_FEATURES, trees=20, max_depth=10), spark), 4)
+
+
+# --------------------------------------------------------------- whole pipelines
+@query
+def features(spark, d):
+    """All features of the pipeline, fitted on the batch itself."""
+    return rounded(longs(build_features(canonical_events(spark, d).drop("k"), FeatureConfig(ts="ts", keep_originals=False,
+                   include_only=None), None)), 4)
+
+
+@query
+def analysis(spark, d):
+    return analysis_plan.flagship(spark, d)
+
+
+@query
+def preprocess(spark, d):
+    ev = canonical_events(spark, d)
+    raw = ev.select("record_id", F.when(F.col("k") % 9 > 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise("?").alias("Time"),
+                    F.col("src_ip").alias("Source.IP"), F.when(F.col("k") % 4 == 0, "N/A").otherwise(F.col("action")).alias("EventType"),
+                    F.col("bytes_total").alias("Bytes"))
+    policy = missing.MissingPolicy(rules=[missing.FieldRule("action", "fill_default", "none")])
+    run = Preprocessing(default_steps(policy, ["action"]))
+    return run(raw).select("record_id", "timestamp_normalized", "src_ip", "action", F.col("action_encoded").cast("long").alias("action_encoded"), "bytes_total")

@@ -155,21 +155,21 @@ def infer_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     different types stays text, and the cell ``1`` counts as a number among
     numbers.
     """
-    typed = {c: scalars.infer_type(scalars.quoted(c)) for c in columns}
-    kinds = df.agg(*[F.collect_set(F.when(F.col(f"`{c}`").rlike(r"^\s*1\s*$"), "one").otherwise(t["kind"])).alias(f"k{i}")
-                     for i, (c, t) in enumerate(typed.items())]).first()
+    text = {c: _strip(scalars.quoted(c)) for c in columns}
+    kind = {c: F.when(t == "1", "one").otherwise(scalars.infer_type(scalars.quoted(c))["kind"]) for c, t in text.items()}
+    seen_kinds = df.agg(*[F.collect_set(k).alias(f"k{i}") for i, k in enumerate(kind.values())]).first()
     out = {}
-    for i, (c, t) in enumerate(typed.items()):
-        seen = set(kinds[i]) - {"null"}
-        text = _strip(scalars.quoted(c))
+    for i, (c, t) in enumerate(text.items()):
+        seen = set(seen_kinds[i]) - {"null"}
+        value = F.when(~F.lower(t).isin(K.CSV_NULL_TOKENS), t)
         if seen and seen <= {"one", "bool"}:
-            out[c] = t["as_bool"]
+            out[c] = F.when(value.isNotNull(), F.lower(t) != "false")
         elif seen and seen <= {"one", "int"}:
-            out[c] = F.when(t["kind"] != "null", text.try_cast("long"))
+            out[c] = value.try_cast("long")
         elif seen and seen <= {"one", "int", "float"}:
-            out[c] = F.when(t["kind"] != "null", text.try_cast("double"))
+            out[c] = value.try_cast("double")
         else:
-            out[c] = t["as_string"]
+            out[c] = value
     return df.select(*[out[c].alias(c) if c in out else scalars.quoted(c) for c in df.columns])
 
 
@@ -195,8 +195,7 @@ def read_event_xml(spark: SparkSession, path: Paths) -> DataFrame:
     start = F.instr("value", "<Event ") + F.when(F.instr("value", "<Event ") > 0, 0).otherwise(F.instr("value", "<Event>"))
     events = pieces.withColumn("_at", start).where("_at > 0").select(
         "source_file", F.concat(F.substr("value", F.col("_at")), F.lit("</Event>")).alias("_xml"))
-    rows = events.select("source_file", "_xml", *eventxml.event_columns("_xml"))
-    return rows.where("_corrupt_record IS NULL").drop("_corrupt_record").withColumn("source_format", F.lit("EVTX"))
+    return eventxml.parse_events(events, "_xml").where("_corrupt_record IS NULL").drop("_corrupt_record").withColumn("source_format", F.lit("EVTX"))
 
 
 def parse_errors(spark: SparkSession, path: Paths, fmt: str) -> DataFrame:
