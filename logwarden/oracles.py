@@ -430,12 +430,12 @@ ORACLES: dict[str, str] = {
 def _all_features() -> str:
     """Every feature column from the operators' own SQL."""
     fields = ("dst_ip", "dst_port", "action", "protocol")
-    cats = " ".join(f"JOIN {_entropy(f, 'en_' + f)} USING (e)" for f in fields).replace("JOIN ", "", 1)
-    pick = ", ".join(f"c.en_{f}_u AS stat_{f}_unique, round(c.en_{f}, 4) AS stat_{f}_entropy" for f in fields)
+    cats = _entropy(fields[0], "en_" + fields[0]) + "".join(f" JOIN {_entropy(f, 'en_' + f)} USING (e)" for f in fields[1:])
+    pick = ", ".join(f"c.en_{f}_u AS stat_{f}_unique, round(c.en_{f}, 6) AS stat_{f}_entropy" for f in fields)
     zero = ", ".join(f"0e0 AS stat_{f}_{n}" for f in ("bytes_in", "bytes_out") for n in ("mean", "std", "min", "max", "p25", "p50", "p75", "p95"))
     flags = lambda p: f"CAST({p} AS BIGINT)"
     return SESS + f""",
-st AS (SELECT src_ip, count(*) AS stat_record_count, {_stat('ev', 'src_ip', ['bytes_total'], 4)}, {_pct('bytes_total', 4)} FROM ev GROUP BY 1),
+st AS (SELECT src_ip, count(*) AS stat_record_count, {_stat('ev', 'src_ip', ['bytes_total'], 6)}, {_pct('bytes_total', 6)} FROM ev GROUP BY 1),
 cat AS (SELECT * FROM {cats}),
 nt AS (SELECT src_ip, count(*) AS c, sum(bytes_total) / count(*) AS b, count(DISTINCT dst_ip) AS ui, count(DISTINCT dst_port) AS up,
   avg(bytes_total) AS m1, coalesce(stddev_samp(bytes_total), 0) AS d1, avg(dst_port) AS m2, coalesce(stddev_samp(dst_port), 0) AS d2 FROM ev GROUP BY 1),
@@ -446,14 +446,14 @@ tm AS (SELECT record_id, src_ip, hour(ts) AS h, isodow(ts) - 1 AS w, bytes_total
 z AS (SELECT tm.*, CASE WHEN d1 > 0 THEN (v - m1) / d1 ELSE 0 END AS z1, CASE WHEN d2 > 0 THEN (port - m2) / d2 ELSE 0 END AS z2,
   c AS conns, b AS per, ui, up FROM tm JOIN nt USING (src_ip))
 SELECT st.* EXCLUDE (src_ip), {zero}, {pick},
-  round(sin(2 * pi() * h / 24), 4) AS time_hour_sin, round(cos(2 * pi() * h / 24), 4) AS time_hour_cos, round(sin(2 * pi() * w / 7), 4) AS time_dow_sin, round(cos(2 * pi() * w / 7), 4) AS time_dow_cos,
-  {flags('w >= 5')} AS time_is_weekend, {flags('h >= 9 AND h < 17 AND w < 5')} AS time_is_business_hours, round(de, 4) AS time_delta_entity_seconds, round(dg, 4) AS time_delta_global_seconds, eh AS time_events_per_hour,
-  ss.behav_session_id, ss.behav_events_in_session, round(ss.behav_session_duration_seconds, 4) AS behav_session_duration_seconds, CAST(0 AS BIGINT) AS behav_is_new_action, CAST(0 AS BIGINT) AS behav_is_new_destination,
-  round(z1, 4) AS behav_bytes_total_zscore, {flags('abs(z1) > 2')} AS behav_bytes_total_is_anomalous, round(z2, 4) AS behav_dst_port_zscore, {flags('abs(z2) > 2')} AS behav_dst_port_is_anomalous,
-  round((abs(z1) + abs(z2)) / 2, 4) AS behav_deviation_score,
+  round(sin(2 * pi() * h / 24), 6) AS time_hour_sin, round(cos(2 * pi() * h / 24), 6) AS time_hour_cos, round(sin(2 * pi() * w / 7), 6) AS time_dow_sin, round(cos(2 * pi() * w / 7), 6) AS time_dow_cos,
+  {flags('w >= 5')} AS time_is_weekend, {flags('h >= 9 AND h < 17 AND w < 5')} AS time_is_business_hours, round(de, 6) AS time_delta_entity_seconds, round(dg, 6) AS time_delta_global_seconds, eh AS time_events_per_hour,
+  ss.behav_session_id, ss.behav_events_in_session, round(ss.behav_session_duration_seconds, 6) AS behav_session_duration_seconds, CAST(0 AS BIGINT) AS behav_is_new_action, CAST(0 AS BIGINT) AS behav_is_new_destination,
+  round(z1, 6) AS behav_bytes_total_zscore, {flags('abs(z1) > 2')} AS behav_bytes_total_is_anomalous, round(z2, 6) AS behav_dst_port_zscore, {flags('abs(z2) > 2')} AS behav_dst_port_is_anomalous,
+  round((abs(z1) + abs(z2)) / 2, 6) AS behav_deviation_score,
   {flags('port < 1024')} AS net_dst_port_is_system, {flags(f"port IN ({', '.join(map(str, K.COMMON_PORTS))})")} AS net_dst_port_is_common, {flags('port >= 49152')} AS net_dst_port_is_dynamic,
-  ui AS net_unique_dst_ips, up AS net_unique_dst_ports, round(c.en_dst_port, 4) AS net_dst_port_entropy, round(ui / CAST(conns AS DOUBLE), 4) AS net_fanout_ratio,
-  {flags('ui / CAST(conns AS DOUBLE) > 0.8e0 AND ui > 10')} AS net_is_scanner_like, round(per, 4) AS net_bytes_per_conn, conns AS net_conn_count,
+  ui AS net_unique_dst_ips, up AS net_unique_dst_ports, round(c.en_dst_port, 6) AS net_dst_port_entropy, round(ui / CAST(conns AS DOUBLE), 6) AS net_fanout_ratio,
+  {flags('ui / CAST(conns AS DOUBLE) > 0.8e0 AND ui > 10')} AS net_is_scanner_like, round(per, 6) AS net_bytes_per_conn, conns AS net_conn_count,
   {flags("proto = 'tcp'")} AS net_is_tcp, {flags("proto = 'udp'")} AS net_is_udp
 FROM z JOIN st USING (src_ip) JOIN cat c ON c.e = z.src_ip JOIN ss ON ss.record_id = z.record_id"""
 

@@ -1038,8 +1038,7 @@ def rforest_importance(spark, d):
 @query
 def features(spark, d):
     """All features of the pipeline, fitted on the batch itself."""
-    return rounded(longs(build_features(canonical_events(spark, d).drop("k"), FeatureConfig(ts="ts", keep_originals=False,
-                   include_only=None), None)), 4)
+    return rounded(longs(build_features(canonical_events(spark, d).drop("k"), FeatureConfig(ts="ts", keep_originals=False))))
 
 
 @query

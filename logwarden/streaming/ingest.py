@@ -73,7 +73,7 @@ def append_history(scored: DataFrame, path: str, checkpoint: str, available_now:
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str, timeout: int = 600) -> None:
+def drain(stream: DataFrame, path: str, checkpoint: str, timeout: int = 3600) -> None:
     """Run a stream over everything available and write it to ``path``."""
     query = append_history(stream, path, checkpoint, available_now=True)
     try:

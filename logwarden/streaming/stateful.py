@@ -37,35 +37,52 @@ def _sorted(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class _Cooldown(StatefulProcessor):
-    def __init__(self, pause: int, ttl_ms: int):
-        self.pause, self.ttl_ms = pause, ttl_ms
+    def __init__(self, pause: int, ttl: int):
+        self.pause, self.ttl = pause, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "t long", ttlDurationMs=self.ttl_ms)
+        self.handle = handle
+        self.last = handle.getValueState("last", "t long")
+
+    def _expiry(self, t: int) -> int:
+        return (t + self.ttl) // 1000
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _sorted(rows)
-        last = self.last.get()[0] if self.last.exists() else None
+        before = last = self.last.get()[0] if self.last.exists() else None
         kept = []
         for t, i in zip(pdf["t"], pdf["id"]):
             if last is None or t - last >= self.pause:
                 last = int(t)
                 kept.append(i)
         if kept:
+            if before is not None:
+                self.handle.deleteTimer(self._expiry(before))
+            self.handle.registerTimer(self._expiry(last))
             self.last.update((last,))
-            yield pd.DataFrame({"id": kept})
+        yield pd.DataFrame({"id": pd.Series(kept, dtype="int64")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame({"id": pd.Series([], dtype="int64")})
 
     def close(self) -> None:
         pass
 
 
 def cooldown_stream(stream: DataFrame, fp: str, ts: str, record: str, seconds: float = K.COOLDOWN_SECONDS,
-                    ttl_seconds: int = K.STATE_TTL_SECONDS) -> DataFrame:
-    """Identifiers of rows kept by the cooldown; a fingerprint's state expires after ``ttl_seconds``."""
-    rows = stream.select(F.col(fp).alias("key"), micros(utc_wall(stream, ts)).alias("t"), F.col(record).cast("long").alias("id"))
-    ttl = max(int(ttl_seconds), int(seconds)) * 1000
-    return rows.groupBy("key").transformWithStateInPandas(
-        _Cooldown(int(seconds * 1_000_000), ttl), "id long", "append", "processingTime").withColumnRenamed("id", record)
+                    ttl_seconds: int = K.STATE_TTL_SECONDS, delay: str = "10 minutes") -> DataFrame:
+    """Identifiers of rows kept by the cooldown.
+
+    A fingerprint's state is dropped ``ttl_seconds`` of event time after its
+    last kept row; by then the cooldown is over, so results do not change.
+    Rows later than ``delay`` are left out.
+    """
+    rows = stream.select(F.col(fp).alias("key"), utc_wall(stream, ts).cast("timestamp").alias("_ts"),
+                         micros(utc_wall(stream, ts)).alias("t"), F.col(record).cast("long").alias("id"))
+    ttl = max(int(ttl_seconds), int(seconds)) * 1_000_000
+    return rows.withWatermark("_ts", delay).groupBy("key").transformWithStateInPandas(
+        _Cooldown(int(seconds * 1_000_000), ttl), "id long", "append", "eventTime").withColumnRenamed("id", record)
 
 
 class _Sessions(StatefulProcessor):
