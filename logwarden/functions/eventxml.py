@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from logwarden.functions.syslog import last_wins
+from logwarden.functions.syslog import last_wins, let
 
 _TEXT = "STRUCT<_VALUE: STRING>"
 EVENT_SCHEMA = """
@@ -74,12 +74,14 @@ def _event_columns(event: Column, xml: Column) -> list[Column]:
     def text(element: str) -> Column:
         return F.when(system.isNotNull(), F.coalesce(system[element], F.lit(""))).alias(element)
 
-    data = event["EventData"]["Data"]
-    unnamed = F.transform(data, lambda d, i: F.size(F.filter(
-        F.slice(data, 1, i), lambda e: e["_Name"].isNull() | e["_Name"].startswith("Data"))))
-    named = F.zip_with(data, unnamed, lambda d, n: F.struct(
-        F.coalesce(F.nullif(d["_Name"], F.lit("")), F.concat(F.lit("Data"), n)).alias("key"),
-        F.coalesce(d["_VALUE"], F.lit("")).alias("value")))
+    def keyed(data: Column) -> Column:
+        earlier = lambda i: F.size(F.filter(
+            F.slice(data, 1, i), lambda e: e["_Name"].isNull() | e["_Name"].startswith("Data")))
+        return F.transform(data, lambda d, i: F.struct(
+            F.coalesce(F.nullif(d["_Name"], F.lit("")), F.concat(F.lit("Data"), earlier(i))).alias("key"),
+            F.coalesce(d["_VALUE"], F.lit("")).alias("value")))
+
+    named = let(event["EventData"]["Data"], keyed)
     event_data = F.coalesce(F.map_from_entries(last_wins(named)), F.create_map().cast("map<string,string>"))
     binary = event["EventData"]["Binary"]
     with_binary = F.when(F.length(binary) > 0, F.map_concat(

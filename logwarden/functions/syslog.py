@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logwarden import constants as K
@@ -44,10 +46,15 @@ def decode_priority(pri: Column | str) -> list[Column]:
     ]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def last_wins(items: Column, key: str = "key") -> Column:
     """Drop array entries that have a later entry with the same key."""
-    return F.filter(items, lambda x, i: ~F.exists(
-        F.slice(items, i + 2, F.size(items)), lambda y: y[key] == x[key]))
+    return let(items, lambda v: F.filter(v, lambda x, i: ~F.exists(
+        F.slice(v, i + 2, F.size(v)), lambda y: y[key] == x[key])))
 
 
 def structured_data(sd: Column | str) -> Column:
@@ -79,8 +86,9 @@ def parse_lines(df: DataFrame, column: str, year: int | None = None, into: str =
     per line however often its groups are used.
     """
     line = _strip(F.col(column))
-    staged = df.withColumns({"_new": _groups(line, K.IETF_LINE, 9), "_tagged": _groups(line, K.BSD_TAGGED, 5),
-                             "_plain": _groups(line, K.BSD_PLAIN, 4)})
+    unmatched = F.col("_new").isNull()
+    staged = df.withColumn("_new", _groups(line, K.IETF_LINE, 9)).withColumns({
+        "_tagged": F.when(unmatched, _groups(line, K.BSD_TAGGED, 5)), "_plain": F.when(unmatched, _groups(line, K.BSD_PLAIN, 4))})
     new, tagged, plain = F.col("_new"), F.col("_tagged"), F.col("_plain")
     is_new = new.isNotNull()
     old_time = F.get(plain, F.lit(1))

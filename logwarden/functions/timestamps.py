@@ -12,11 +12,15 @@ from logwarden import constants as K
 from logwarden.functions.scalars import flag, quoted
 
 _ZONE = r"(Z|[+-]\d{2}:?\d{2})$"
-# Free-form layouts tried after the fixed ones, month before day.
+_TAIL = r"(\s*(Z|[+-]\d{2}:?\d{2}))?$"
+# Layout and the shape of the text it is tried on, month before day.
 FREE_FORMS = [
-    "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy h:mm:ss a",
-    "MM/dd/yyyy", "MMM d, yyyy HH:mm:ss", "MMM d yyyy HH:mm:ss", "d MMM yyyy HH:mm:ss",
-    "d MMM yyyy", "MMM d, yyyy",
+    ("yyyy/MM/dd HH:mm:ss", r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}"), ("yyyy/MM/dd", r"^\d{4}/\d{2}/\d{2}"),
+    ("MM/dd/yyyy HH:mm:ss", r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}"),
+    ("MM/dd/yyyy h:mm:ss a", r"^\d{2}/\d{2}/\d{4} \d{1,2}:\d{2}:\d{2} [AP]M"), ("MM/dd/yyyy", r"^\d{2}/\d{2}/\d{4}"),
+    ("MMM d, yyyy HH:mm:ss", r"^[A-Z][a-z]{2} \d{1,2}, \d{4} \d{2}:\d{2}:\d{2}"), ("MMM d, yyyy", r"^[A-Z][a-z]{2} \d{1,2}, \d{4}"),
+    ("MMM d yyyy HH:mm:ss", r"^[A-Z][a-z]{2} \d{1,2} \d{4} \d{2}:\d{2}:\d{2}"),
+    ("d MMM yyyy HH:mm:ss", r"^\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2}"), ("d MMM yyyy", r"^\d{1,2} [A-Z][a-z]{2} \d{4}"),
 ]
 
 
@@ -40,18 +44,18 @@ def parse_timestamp(c: Column | str, year: int | None = None) -> Column:
                                   r"([+-]\d{2}):?(\d{2})$", "$1$2")
         return F.try_to_timestamp(normal, F.lit(layout + "XX"))
 
-    iso = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}([T ]|\s+\d|$)"),
+    # One CASE: a layout is only tried on text of its shape, so a row runs one parser.
+    out = (F.when(s.rlike(r"^\d{10}$"), F.timestamp_seconds(s.try_cast("long")))
+           .when(s.rlike(r"^\d{13}$"), F.timestamp_millis(s.try_cast("long")))
+           .when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(s, F.lit("T00:00:00Z")).try_cast("timestamp"))
+           .when(s.rlike(r"^\d{4}-\d{2}-\d{2}([T ]|\s+\d)"),
                  _zoned(F.regexp_replace(s, r"^(\d{4}-\d{2}-\d{2})\s+(?=\d)", "$1T")).try_cast("timestamp"))
-    date_only = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(s, F.lit("T00:00:00Z")).try_cast("timestamp"))
-    clf = F.when(s.rlike(r"^\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2}"), with_zone(s, "dd/MMM/yyyy:HH:mm:ss"))
-    bsd = F.when(s.rlike(r"^[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}"),
-                 with_zone(F.concat(the_year, F.lit(" "), squeezed), "yyyy MMM d HH:mm:ss"))
-    free = [F.when(~s.rlike(r"^\d+$"), with_zone(squeezed, f)) for f in FREE_FORMS]
-    return F.coalesce(
-        F.when(s.rlike(r"^\d{10}$"), F.timestamp_seconds(s.try_cast("long"))),
-        F.when(s.rlike(r"^\d{13}$"), F.timestamp_millis(s.try_cast("long"))),
-        date_only, iso, clf, bsd, *free,
-    )
+           .when(s.rlike(r"^\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2}"), with_zone(s, "dd/MMM/yyyy:HH:mm:ss"))
+           .when(s.rlike(r"^[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}"),
+                 with_zone(F.concat(the_year, F.lit(" "), squeezed), "yyyy MMM d HH:mm:ss")))
+    for layout, shape in FREE_FORMS:
+        out = out.when(squeezed.rlike(shape + _TAIL), with_zone(squeezed, layout))
+    return out
 
 
 def to_utc(ts: Column) -> Column:

@@ -69,8 +69,12 @@ class Forest:
         self.path, self.roots = np.asarray(path, dtype=float), np.asarray(roots, dtype=np.int32)
         self.sample = sample
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
+    def scores(self, x: np.ndarray, chunk: int = 1024) -> np.ndarray:
         """Anomaly score in (0, 1]: 2 to the minus of relative mean depth."""
+        parts = [self._scores(x[i:i + chunk]) for i in range(0, len(x), chunk)]
+        return np.concatenate(parts) if parts else np.empty(0)
+
+    def _scores(self, x: np.ndarray) -> np.ndarray:
         at = np.broadcast_to(self.roots, (len(x), len(self.roots))).copy()
         rows = np.arange(len(x))[:, None]
         while True:

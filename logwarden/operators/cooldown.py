@@ -27,8 +27,8 @@ def fingerprint(classification: Column, anomaly: Column, source: Column) -> Colu
                                           F.coalesce(F.nullif(source, F.lit("")), F.lit("unknown"))), 256), 1, 16)
 
 
-def _segments(df: DataFrame, pause: int) -> DataFrame:
-    runs = running(make_runs(df, ["_fp"], ["_t", "_id"]), Measure("_prev", "lag", F.col("_t")))
+def _segments(runs: Runs, pause: int) -> DataFrame:
+    runs = running(runs, Measure("_prev", "lag", F.col("_t")))
     fresh = F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") >= pause)
     return running(runs, Measure("_seg", "sum", F.when(fresh, 1).otherwise(0))).finish().select("_fp", "_seg", "_t", "_id")
 
@@ -119,7 +119,9 @@ def kept_ids(df: DataFrame, fp: str, ts: str, record: str, seconds: float = K.CO
     """Identifiers of the rows that survive the cooldown."""
     pause = int(seconds * 1_000_000)
     rows = df.select(F.col(fp).alias("_fp"), micros(utc_wall(df, ts)).alias("_t"), F.col(record).alias("_id"))
-    runs = make_runs(_segments(rows, pause), ["_fp", "_seg"], ["_t", "_id"])
+    prints = make_runs(rows, ["_fp"], ["_t", "_id"])
+    # Without a large fingerprint there is no large segment.
+    runs = make_runs(_segments(prints, pause), ["_fp", "_seg"], ["_t", "_id"], cold=prints.hot is None)
     if runs.hot is None:
         kept = _fold(runs.df, pause)
     else:

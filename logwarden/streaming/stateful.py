@@ -78,7 +78,7 @@ def cooldown_stream(stream: DataFrame, fp: str, ts: str, record: str, seconds: f
     last kept row; by then the cooldown is over, so results do not change.
     Rows later than ``delay`` are left out.
     """
-    rows = stream.select(F.col(fp).alias("key"), utc_wall(stream, ts).cast("timestamp").alias("_ts"),
+    rows = stream.select(F.col(fp).alias("key"), F.timestamp_micros(micros(utc_wall(stream, ts))).alias("_ts"),
                          micros(utc_wall(stream, ts)).alias("t"), F.col(record).cast("long").alias("id"))
     ttl = max(int(ttl_seconds), int(seconds)) * 1_000_000
     return rows.withWatermark("_ts", delay).groupBy("key").transformWithStateInPandas(
@@ -128,7 +128,7 @@ def session_windows(stream: DataFrame, entity: str, ts: str, timeout: str = "30
     Late rows within ``delay`` still join their session.  Partial merging per
     task keeps a busy entity from sending every row to one task.
     """
-    timed = stream.withColumn("_ts", utc_wall(stream, ts).cast("timestamp")).withWatermark("_ts", delay)
+    timed = stream.withColumn("_ts", F.timestamp_micros(micros(utc_wall(stream, ts)))).withWatermark("_ts", delay)
     return timed.groupBy(entity, F.session_window("_ts", timeout).alias("w")).agg(
         F.count(F.lit(1)).alias("events")).select(entity, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
@@ -136,5 +136,5 @@ def session_windows(stream: DataFrame, entity: str, ts: str, timeout: str = "30
 def first_seen_stream(stream: DataFrame, entity: str, field: str, ts: str, delay: str = "30 days") -> DataFrame:
     """First row per (entity, value); a pair is forgotten once the watermark passes it by ``delay``."""
     timed = stream.where(F.col(entity).isNotNull() & F.col(field).isNotNull()).withColumn(
-        "_ts", utc_wall(stream, ts).cast("timestamp")).withWatermark("_ts", delay)
+        "_ts", F.timestamp_micros(micros(utc_wall(stream, ts)))).withWatermark("_ts", delay)
     return timed.dropDuplicatesWithinWatermark([entity, field]).drop("_ts")
