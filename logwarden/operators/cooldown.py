@@ -5,8 +5,10 @@ A row is kept when it is the first of its fingerprint or comes at least
 that long is kept in any case, so it starts a segment that does not depend on
 anything earlier.  Segments are short in normal traffic and are folded in the
 JVM.  A segment without any pause can be as long as the table; it is cut into
-runs, each run answers "where does the chain leave me if it enters there" for
-all entries at once, and the answers are chained.
+runs, and each run answers "which is my last kept time if the last one before me
+was x" for all x at once, as a step function.  Step functions of neighbouring
+runs are composed level by level and the entries are handed down again, so no
+task sees more than a few dozen of them.
 """
 
 from __future__ import annotations
@@ -50,42 +52,72 @@ def _chain(t: np.ndarray, pause: int) -> np.ndarray:
     return np.searchsorted(t, t + pause, side="left")
 
 
-def run_exits(pdf: pd.DataFrame, pause: int) -> pd.DataFrame:
-    """How a run answers every possible entry: sorted bounds and the last kept time for each.
+def _steps(start: int, bounds: np.ndarray, exits: np.ndarray, pause: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Shortest form of a step function: entry x takes the first bound >= x + pause and leaves at its exit.
 
-    An entry ``x`` (last kept time before the run) makes the first row at or
-    after ``x + pause`` the run's first kept row.  That row is among those less
-    than ``pause`` after the run's start, or the one right behind them.
+    Entries lie before ``start``, so bounds past the first one at or after
+    ``start + pause`` are never taken; of equal exits only the last is kept.
     """
-    pdf = pdf.sort_values(["_t", "_id"])
-    t = pdf["_t"].to_numpy()
+    reach = min(int(np.searchsorted(bounds, start + pause, side="left")) + 1, len(bounds))
+    bounds, exits = bounds[:reach], exits[:reach]
+    final = np.append(exits[1:] != exits[:-1], True)
+    return start, bounds[final], exits[final]
+
+
+def _after(x: np.ndarray, bounds: np.ndarray, exits: np.ndarray, pause: int) -> np.ndarray:
+    """Last kept time after a run that is entered with ``x``; ``x`` itself if the run keeps nothing."""
+    at = np.searchsorted(bounds, x + pause, side="left")
+    return np.where(at < len(bounds), exits[np.minimum(at, len(bounds) - 1)], x)
+
+
+def run_steps(pdf: pd.DataFrame, pause: int) -> pd.DataFrame:
+    """Step function of one run, from jump pointers over its rows."""
+    t = np.sort(pdf["_t"].to_numpy())
     n = len(t)
-    end = np.minimum(_chain(t, pause), n)
-    # Jump pointers: after k rounds ``last`` is where 2**k steps lead.
-    last = np.where(end < n, end, np.arange(n))
-    while True:
+    follow = _chain(t, pause)
+    last = np.where(follow < n, follow, np.arange(n))
+    while True:  # after k rounds ``last`` is where 2**k jumps lead
         further = last[last]
         if np.array_equal(further, last):
             break
         last = further
-    reach = min(int(np.searchsorted(t, t[0] + pause, side="left")) + 1, n)
-    exits = t[last[:reach]]
-    final = np.append(exits[1:] != exits[:-1], True)
-    return pd.DataFrame({"_fp": [pdf["_fp"].iloc[0]], "_seg": [pdf["_seg"].iloc[0]], RUN: [pdf[RUN].iloc[0]],
-                         "bounds": [t[:reach][final]], "exits": [exits[final]]})
-
-
-def chain_runs(pdf: pd.DataFrame, pause: int) -> pd.DataFrame:
-    """Entry of every run of one segment, from the answers of the runs before it."""
-    pdf = pdf.sort_values(RUN)
-    entries, last = [], None
+    return _table(pdf, int(pdf[RUN].iloc[0]), *_steps(int(t[0]), t, t[last], pause))
+
+
+def compose_steps(pdf: pd.DataFrame, base: int, pause: int) -> pd.DataFrame:
+    """Step function of neighbouring runs taken as one."""
+    pdf = pdf.sort_values("node")
+    start, bounds, exits = None, None, None
+    for s, b, e in zip(pdf["start"], pdf["bounds"], pdf["exits"]):
+        b, e = np.asarray(b), np.asarray(e)
+        if start is None:
+            start, bounds, exits = int(s), b, e
+            continue
+        # Entries too late for the earlier runs meet this one directly.
+        later = b > bounds[-1]
+        start, bounds, exits = _steps(start, np.append(bounds, b[later]),
+                                      np.append(_after(exits, b, e, pause), e[later]), pause)
+    return _table(pdf, int(pdf["node"].iloc[0]) // base, start, bounds, exits)
+
+
+def _table(pdf: pd.DataFrame, node: int, start: int, bounds: np.ndarray, exits: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"_fp": [pdf["_fp"].iloc[0]], "_seg": [pdf["_seg"].iloc[0]], "node": [node], "start": [start],
+                         "bounds": [bounds], "exits": [exits]})
+
+
+def entries_of(pdf: pd.DataFrame, pause: int) -> pd.DataFrame:
+    """Entry of each neighbouring run, given the entry of the first one (null at the very start)."""
+    pdf = pdf.sort_values("node")
+    last = pdf["entry"].iloc[0]
+    found = []
     for bounds, exits in zip(pdf["bounds"], pdf["exits"]):
-        entries.append(last)
-        at = 0 if last is None else int(np.searchsorted(bounds, last + pause, side="left"))
-        if at < len(bounds):
-            last = int(exits[at])
-    return pd.DataFrame({"_fp": pdf["_fp"].to_numpy(), "_seg": pdf["_seg"].to_numpy(), RUN: pdf[RUN].to_numpy(),
-                         "entry": pd.array(entries, dtype="Int64")})
+        found.append(None if pd.isna(last) else int(last))
+        if pd.isna(last):
+            last = exits[0]
+        else:
+            last = _after(np.array([int(last)]), np.asarray(bounds), np.asarray(exits), pause)[0]
+    return pd.DataFrame({"_fp": pdf["_fp"].to_numpy(), "_seg": pdf["_seg"].to_numpy(), "node": pdf["node"].to_numpy(),
+                         "entry": pd.array(found, dtype="Int64")})
 
 
 def kept_in_run(pdf: pd.DataFrame, pause: int) -> pd.DataFrame:
@@ -103,16 +135,27 @@ def kept_in_run(pdf: pd.DataFrame, pause: int) -> pd.DataFrame:
 
 def _long_segments(runs: Runs, pause: int) -> DataFrame:
     id_type = runs.df.schema["_id"].dataType.simpleString()
-    key = ["_fp", "_seg", RUN]
-    rows = runs.df.join(F.broadcast(runs.hot), ["_fp", "_seg"], "left_semi")
-    exits = rows.groupBy(*key).applyInPandas(
-        lambda pdf: run_exits(pdf, pause),
-        f"_fp string, _seg long, {RUN} long, bounds array<long>, exits array<long>")
-    entries = exits.groupBy("_fp", "_seg").applyInPandas(
-        lambda pdf: chain_runs(pdf, pause), f"_fp string, _seg long, {RUN} long, entry long")
-    # One entry per run of the cut segments, a number bounded by the marks.
-    return rows.join(F.broadcast(entries), key).groupBy(*key).applyInPandas(
-        lambda pdf: kept_in_run(pdf, pause), f"_id {id_type}")
+    segment, base = ["_fp", "_seg"], runs.base
+    table = "_fp string, _seg long, node long, start long, bounds array<long>, exits array<long>"
+    rows = runs.df.join(F.broadcast(runs.hot), segment, "left_semi")
+    levels = [rows.groupBy(*segment, RUN).applyInPandas(lambda pdf: run_steps(pdf, pause), table)]
+    # A run number has ``height`` digits; each level drops one, so a group has at most ``base`` members.
+    for _ in range(runs.height - 1):
+        levels.append(levels[-1].groupBy(*segment, F.floor(F.col("node") / base)).applyInPandas(
+            lambda pdf: compose_steps(pdf, base, pause), table))
+    above = None
+    for steps in reversed(levels):
+        parent = F.floor(F.col("node") / base).alias("parent")
+        if above is None:
+            members = steps.withColumn("entry", F.lit(None).cast("long")).withColumn("parent", parent)
+        else:
+            members = steps.withColumn("parent", parent).join(
+                above.select(*segment, F.col("node").alias("parent"), "entry"), [*segment, "parent"])
+        above = members.groupBy(*segment, "parent").applyInPandas(
+            lambda pdf: entries_of(pdf, pause), "_fp string, _seg long, node long, entry long")
+    # One small row per run of the cut segments, a number bounded by the marks.
+    entered = rows.join(F.broadcast(above.withColumnRenamed("node", RUN)), [*segment, RUN])
+    return entered.groupBy(*segment, RUN).applyInPandas(lambda pdf: kept_in_run(pdf, pause), f"_id {id_type}")
 
 
 def kept_ids(df: DataFrame, fp: str, ts: str, record: str, seconds: float = K.COOLDOWN_SECONDS) -> DataFrame:

@@ -17,7 +17,7 @@ found, no key is large and the plain window is used.
 from __future__ import annotations
 
 from collections import defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
@@ -41,6 +41,8 @@ class Runs:
     by: list[str]
     order: list[str]
     hot: DataFrame | None = None
+    height: int = 1  # run numbers have this many digits ...
+    base: int = FANOUT + 1  # ... in this base
 
     @property
     def keys(self) -> list[str]:
@@ -101,7 +103,7 @@ def make_runs(df: DataFrame, by: list[str], order: list[str], spread: list[str]
                .drop("_marks"))
     hot_type = T.StructType([df.schema[c] for c in by])
     hot = spark.createDataFrame(list(groups), hot_type)
-    return Runs(out.select(*df.columns, RUN), by, order, hot)
+    return Runs(out.select(*df.columns, RUN), by, order, hot, len(levels), fanout + 1)
 
 
 def _search_tree(groups: dict[tuple, list[tuple]], fanout: int) -> list[list[tuple]]:
@@ -170,7 +172,7 @@ def running(runs: Runs, *measures: Measure) -> Runs:
         else:
             raise ValueError(m.kind)
     if runs.hot is None:
-        return Runs(runs.df.withColumns(local), runs.by, runs.order)
+        return replace(runs, df=runs.df.withColumns(local))
 
     # One row per run of the cut keys: as many as there are marks and keys.
     place = F.struct(*runs.order)
@@ -215,7 +217,7 @@ def running(runs: Runs, *measures: Measure) -> Runs:
     if any(m.kind == "lag" for m in measures):
         inner["_l_first"] = F.row_number().over(ordered)
     out = runs.df.withColumns(inner).join(carry, runs.keys, "left").withColumns(final)
-    return Runs(out.select(*runs.df.columns, *local), runs.by, runs.order, runs.hot)
+    return replace(runs, df=out.select(*runs.df.columns, *local))
 
 
 def is_cold(df: DataFrame, by: list[str], order: list[str]) -> bool:

@@ -78,8 +78,11 @@ def test_percentiles_of_cut_keys(skewed, small_runs):
 
 
 @pytest.mark.parametrize("seconds", [60, 600, 86400])
-@pytest.mark.parametrize("every", [None, "6"])
-def test_cooldown_against_a_loop(spark, skewed, seconds, every):
+@pytest.mark.parametrize("every,fanout", [(None, 64), ("6", 64), ("4", 3)])
+def test_cooldown_against_a_loop(spark, skewed, seconds, every, fanout, monkeypatch):
+    make = runs.make_runs
+    # A small fan-out gives several levels of step functions.
+    monkeypatch.setattr(cooldown, "make_runs", lambda *a, **k: make(*a, fanout=fanout, **k))
     if every:
         spark.conf.set("logwarden.rowsPerRun", every)
     try:
@@ -118,3 +121,24 @@ def test_median_fill_with_cut_values(skewed, small_runs):
     d = skewed.withColumn("x", F.when(F.col("event_id") % 4 > 0, F.col("value")))
     values = sorted(r["x"] for r in d.collect() if r["x"] is not None)
     assert missing.fit_fills(d, {"x": "fill_median"}).first()[0] == pytest.approx(float(np.median(values)))
+
+
+def test_step_functions_compose(spark):
+    """Entering two runs one after the other equals entering their composition."""
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    for pause in (3, 10, 40):
+        for _ in range(30):
+            cuts = [np.sort(rng.integers(100, 160, size=rng.integers(1, 12))), np.sort(rng.integers(160, 220, size=rng.integers(1, 12)))]
+            frames = [pd.DataFrame({"_fp": "x", "_seg": 0, "_t": t, runs.RUN: i}) for i, t in enumerate(cuts)]
+            tables = pd.concat([cooldown.run_steps(f, pause) for f in frames])
+            whole = cooldown.compose_steps(tables, 65, pause).iloc[0]
+            start = int(cuts[0][0])
+            for x in range(start - pause - 2, start):
+                last = x
+                for t in np.concatenate(cuts):
+                    if t - last >= pause:
+                        last = int(t)
+                got = cooldown._after(np.array([x]), whole["bounds"], whole["exits"], pause)[0]
+                assert got == last
