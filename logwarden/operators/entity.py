@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logwarden import constants as K
 from logwarden.functions.scalars import flag, safe_divide
-from logwarden.operators.runs import Measure, make_runs, running
+from logwarden.operators.runs import Measure, is_cold, make_runs, running
 
 
 def _entropy(n: Column, n_log_n: Column) -> Column:
@@ -46,12 +46,12 @@ def percentile_profile(df: DataFrame, entity: str, field: str, percents: list[in
         sketch = rows.groupBy(entity).agg(F.percentile_approx("_v", shares, 10000).alias("_q"))
         return sketch.select(entity, *[F.coalesce(F.get("_q", F.lit(i)), F.lit(0.0)).alias(n)
                                        for i, n in enumerate(names)])
-    weights = rows.where(F.col("_v").isNotNull()).groupBy(entity, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    runs = make_runs(weights, [entity], ["_v"])
-    if runs.hot is None:
+    if is_cold(rows, [entity], ["_v"]):
         exact = rows.groupBy(entity).agg(F.percentile("_v", F.array(*[F.lit(s) for s in shares])).alias("_q"))
         return exact.select(entity, *[F.coalesce(F.get("_q", F.lit(i)), F.lit(0.0)).alias(n)
                                       for i, n in enumerate(names)])
+    weights = rows.where(F.col("_v").isNotNull()).groupBy(entity, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    runs = make_runs(weights, [entity], ["_v"])
     ranked = running(runs, Measure("_upto", "sum", F.col("_n"))).finish()
     totals = weights.groupBy(entity).agg(F.sum("_n").alias("_all"))
     placed = ranked.join(totals, entity)

@@ -30,10 +30,9 @@ def extract_timestamp(df: DataFrame, fields: list[str] | None = None, nested: bo
     fields = K.TIMESTAMP_FIELDS if fields is None else fields
     hits: list[str] = []
     for field in fields:
-        for column in df.columns:
-            same = column.lower() == field.lower() if ignore_case else column == field
-            if (same or (nested and column.endswith(f".{field}"))) and column not in hits:
-                hits.append(column)
+        same = [c for c in df.columns if (c.lower() == field.lower() if ignore_case else c == field)]
+        below = [c for c in df.columns if nested and c.endswith(f".{field}")]
+        hits += [c for c in same + below if c not in hits]
     return F.coalesce(*[_filled(df, h) for h in hits], F.lit(""))
 
 

@@ -407,6 +407,16 @@ ORACLES: dict[str, str] = {
     "event_xml_scan": EV + f""" SELECT record_id, CAST(k AS BIGINT) AS event_id, {ISO} AS timestamp, 'host' || src_ip AS computer, action,
       CAST(k AS VARCHAR) AS data0, protocol AS user_data FROM ev""",
     "parse_errors": "SELECT count(*) FILTER (doc_id % 2 = 0) AS parsed, count(*) FILTER (doc_id % 2 <> 0) AS rejected FROM documents",
+    "detect_delimiter": EV + """, h AS (SELECT doc_id, split_part(text, chr(10), 1) AS l FROM documents),
+      c AS (SELECT doc_id, length(l) - length(replace(l, ',', '')) AS a, length(l) - length(replace(l, ';', '')) AS b,
+        length(l) - length(replace(l, chr(9), '')) AS t, length(l) - length(replace(l, '|', '')) AS p FROM h)
+      SELECT doc_id, CASE WHEN greatest(a, b, t, p) = 0 OR a = greatest(a, b, t, p) THEN ',' WHEN b = greatest(a, b, t, p) THEN ';'
+        WHEN t = greatest(a, b, t, p) THEN chr(9) ELSE '|' END AS delimiter FROM c
+      UNION ALL SELECT 1000000000 + record_id, CASE k % 5 WHEN 0 THEN ';' WHEN 1 THEN chr(9) WHEN 2 THEN ';' ELSE ',' END FROM ev""",
+    "detect_format": EV + " SELECT record_id, CASE k % 6 WHEN 0 THEN 'CSV' WHEN 1 THEN 'Syslog' WHEN 2 THEN 'JSON' WHEN 3 THEN 'Syslog' WHEN 4 THEN 'CSV' END AS format FROM ev",
+    "step_stats": EV + """ SELECT 'timestamp_normalizer' AS step, count(*) AS n, count(*) FILTER (k % 9 > 0) AS with_time FROM ev
+      UNION ALL SELECT 'field_standardizer', count(*), count(*) FILTER (k % 9 > 0) FROM ev
+      UNION ALL SELECT 'missing_values', count(*), count(*) FILTER (k % 9 > 0) FROM ev WHERE k % 4 > 0""",
     # -------------------------------------------------------------- pipelines
     "preprocess": EV + """, p AS (SELECT record_id, ts, src_ip, CASE WHEN k % 4 = 0 THEN 'none' ELSE action END AS action, bytes_total, k FROM ev),
       c AS (SELECT action, row_number() OVER (ORDER BY count(*) DESC, action) + 1 AS code FROM p GROUP BY 1)

@@ -992,6 +992,38 @@ def parse_errors(spark, d):
     return readers.parse_errors(spark, path, "Syslog").agg(F.sum("parsed").alias("parsed"), F.sum("rejected").alias("rejected"))
 
 
+@query
+def detect_delimiter(spark, d):
+    """Delimiter of each document's first line and of header lines made from events."""
+    docs = table(spark, d, "documents").select("doc_id", readers.detect_delimiter(F.split_part("text", F.lit("\n"), F.lit(1))).alias("delimiter"))
+    k = F.col("k") % 5
+    header = F.when(k == 0, "a;b,c;d").when(k == 1, "a\tb\tc").when(k == 2, "a|b;c").when(k == 3, "a,b;c").otherwise("abc")
+    ev = canonical_events(spark, d).select((F.lit(1000000000) + F.col("record_id")).alias("doc_id"), readers.detect_delimiter(header).alias("delimiter"))
+    return docs.unionByName(ev)
+
+
+@query
+def detect_format(spark, d):
+    """Format of each page, document and event line by name and content."""
+    k = F.col("k") % 6
+    name = F.concat(F.lit("/logs/x"), F.col("record_id"), F.when(k == 0, ".CSV").when(k == 1, ".syslog").otherwise(".dat"))
+    head = (F.when(k == 2, F.concat(F.lit(" "), F.col("props"))).when(k == 3, F.concat(F.lit("<13>x "), F.col("action")))
+            .when(k == 4, F.concat(F.lit("a;b\n1;"), F.col("action"))).otherwise(F.concat(F.lit("a;b\n1 "), F.col("action"))))
+    ev = canonical_events(spark, d).withColumn("props", F.concat(F.lit('{"k": '), F.col("k"), F.lit("}")))
+    return ev.select("record_id", readers.detect_format(name, head).alias("format"))
+
+
+@query
+def step_stats(spark, d):
+    """Rows counted by each preprocessing step while the job runs."""
+    ev = canonical_events(spark, d)
+    raw = ev.select("record_id", F.when(F.col("k") % 9 > 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise("?").alias("Time"),
+                    F.when(F.col("k") % 4 > 0, F.col("action")).alias("EventType"))
+    run = Preprocessing(default_steps(missing.MissingPolicy(required=["action"])), observe=True)
+    run(raw).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(n, int(v["rows"]), int(v["with_time"])) for n, v in run.stats().items()], "step string, n long, with_time long")
+
+
 # ----------------------------------------------------------------- 2.8 models
 _MODEL_FEATURES = ["bytes_total", "dst_port", "hour", "per_hour"]
 

@@ -125,8 +125,9 @@ def sessions_stream(stream: DataFrame, entity: str, ts: str, record: str,
 def session_windows(stream: DataFrame, entity: str, ts: str, timeout: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
     """One row per closed session.
 
-    Late rows within ``delay`` still join their session.  Partial merging per
-    task keeps a busy entity from sending every row to one task.
+    Late rows within ``delay`` still join their session.  The session default
+    ``merge.sessions.in.local.partition`` keeps a busy entity from sending
+    every row to one task.
     """
     timed = stream.withColumn("_ts", F.timestamp_micros(micros(utc_wall(stream, ts)))).withWatermark("_ts", delay)
     return timed.groupBy(entity, F.session_window("_ts", timeout).alias("w")).agg(

@@ -68,7 +68,7 @@ def test_counts(scored):
     assert reports.threat_level(a.limit(0)).first()["threat_level"] == "normal"
 
 
-def test_drift_guards(spark):
+def test_drift_guards(spark, tmp_path):
     def history(n, high):
         return spark.range(n).select(
             F.col("id").alias("record_id"), F.expr("timestampadd(SECOND, CAST(id AS INT), TIMESTAMP_NTZ'2026-01-01 00:00:00')").alias("ts"),
@@ -80,6 +80,9 @@ def test_drift_guards(spark):
     r = report(105, 0.6)
     assert (r["window_size"], r["baseline_size"], r["anomaly_drift"]) == (100, 0, "NONE") and r["anomaly_score_mean"] == pytest.approx(0.6)
     r = report(300, 0.7)
+    for n in (300, 200):
+        drift.save_report(drift.drift_report(history(n, 0.7), "ts", "record_id"), str(tmp_path / "reports"))
+    assert drift.report_history(spark.read.parquet(str(tmp_path / "reports")), 1).count() == 1
     assert r["anomaly_change_pct"] == pytest.approx(40.0) and r["anomaly_drift"] == "MODERATE" and r["class_drift"] == "HIGH"
 
 
@@ -140,7 +143,7 @@ def test_random_forest(clusters, tmp_path):
     assert random_forest.feature_importance(model, clusters.sparkSession).count() == 3
 
 
-def test_features_and_analysis(spark, skewed, clusters):
+def test_features_and_analysis(spark, skewed, tmp_path):
     records = skewed.select(F.col("event_id").alias("record_id"), "ts", F.col("user").alias("src_ip"), F.col("event_type").alias("action"),
                             F.concat(F.lit("d"), F.col("event_id") % 7).alias("dst_ip"), (F.col("event_id") % 9 * 1000).cast("int").alias("dst_port"),
                             F.lit("TCP").alias("protocol"), F.col("value").alias("bytes_total"))
@@ -155,5 +158,9 @@ def test_features_and_analysis(spark, skewed, clusters):
     assert fresh.where("behav_is_new_action = 1").count() == records.where("src_ip IS NOT NULL").select("src_ip", "action").distinct().count()
 
     forest = IsolationForest(features=["bytes_total", "net_conn_count"], trees=10).fit(feats)
-    results, found = analyze(records, Models(forest, None), AnalysisConfig(features=config))
+    models = Models(forest, random_forest.fit_random_forest(
+        feats.withColumn("label", F.when(F.col("bytes_total") > 60, "Malware").otherwise("Benign")), ["bytes_total", "dst_port"], trees=5, max_depth=4))
+    models.save(str(tmp_path / "models"))
+    results, found = analyze(records, Models.load(str(tmp_path / "models")), AnalysisConfig(features=config))
+    assert set(r[0] for r in results.select("classification").distinct().collect()) == {"Malware", "Benign"}
     assert results.count() > 0 and found.count() == results.where("requires_alert").count()
