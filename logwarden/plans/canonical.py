@@ -9,12 +9,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share a scan of fewer pieces than cores among all of them.
+
+    A small file with one row group is one task however many cores there are;
+    an input with enough splits is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` seen as network log records with model outputs.
 
     Only the columns a query uses are read from the file.
     """
-    parsed = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    parsed = spread(table(spark, sf_dir, "events")).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     k = F.col("k")
     return parsed.select(
         F.col("event_id").alias("record_id"), "ts", F.col("user_id").cast("string").alias("src_ip"),
