@@ -115,14 +115,15 @@ class IsolationForestModel(Model, _ForestParams, DefaultParamsReadable, DefaultP
 
     def with_raw(self, df: DataFrame, name: str) -> DataFrame:
         """Add the raw forest score (higher is more anomalous)."""
-        forest = Forest(**json.loads(self.getOrDefault(self.forest)))
+        packed = json.loads(self.getOrDefault(self.forest))
+        arrays = {k: np.asarray(v) if isinstance(v, list) else v for k, v in packed.items()}
         scaler, n = self._scaler(), len(self.getOrDefault(self.features))
         # At most trees * (2 * sample - 1) nodes, whatever the data size.
-        shared = df.sparkSession.sparkContext.broadcast(forest)
+        shared = df.sparkSession.sparkContext.broadcast(arrays)
 
         @F.pandas_udf("double")
         def raw(x: pd.DataFrame) -> pd.Series:
-            return pd.Series(shared.value.scores(x.to_numpy(dtype=float)))
+            return pd.Series(Forest(**shared.value).scores(x.to_numpy(dtype=float)))
 
         return df.withColumn(name, raw(F.struct(*[scaler.scaled(i).alias(f"x{i}") for i in range(n)])))
 
