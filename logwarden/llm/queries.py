@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logwarden.llm.common import table
+from logwarden.llm.decontaminate import leaks
 from logwarden.llm.near_dups import NearDups, near_duplicates
+from logwarden.llm.rules import quality_rules
+from logwarden.llm.spans import substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,3 +25,20 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 def op10_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     found = near_duplicates(table(spark, d, "documents").select("doc_id", "text"), NearDups(shingle=3, percent=85))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op1_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return substring_dedup(table(spark, d, "documents").select("doc_id", "text"), count="n_cut")
+
+
+@query
+def op5_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    found = leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("cosine", 4).alias("cosine"), F.round("lcs", 4).alias("lcs"), F.round("answer", 4).alias("answer"))
+
+
+@query
+def op7_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    found = quality_rules(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels"))
+    return found.select("doc_id", "rules.*")
