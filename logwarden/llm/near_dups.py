@@ -142,14 +142,24 @@ def plausible(pairs: DataFrame, classes: DataFrame, p: NearDups) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDups, text: str, key: str) -> DataFrame:
-    """The pairs that are links on their full shingle sets, which are made anew for the classes concerned only."""
-    need = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    keys = cut_lineage(classes.join(need, "fp", "left_semi").select("text_key").distinct(), "near-need")
+def shingle_sets(fps: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDups, text: str) -> DataFrame:
+    """(fp, items) for the classes in ``fps``: their whole shingle sets, made anew from one text of each."""
+    keys = cut_lineage(classes.join(fps, "fp", "left_semi").select("text_key").distinct(), "near-need")
     texts = (docs.select(F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
              .join(small_or_shuffled(keys), "text_key", "left_semi").dropDuplicates(["text_key"]))
     held = signatures(texts.withColumn("doc_id", F.lit(0)), p, full=True).select("fp", "items")
-    held = cut_lineage(held.where("fp is not null"), "near-sets")
+    return cut_lineage(held.where("fp is not null"), "near-sets")
+
+
+def with_sets(pairs: DataFrame, held: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` with the sets of both ends as items_a and items_b."""
+    return (pairs.join(held.select(F.col("fp").alias(b), F.col("items").alias("items_b")), b)
+            .join(held.select(F.col("fp").alias(a), F.col("items").alias("items_a")), a))
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDups, text: str) -> DataFrame:
+    """The pairs that are links on their full shingle sets."""
+    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,53 +171,74 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDups
                     links.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).take(pa.array(links, pa.int64()))
 
-    both = (pairs.join(held.select(F.col("fp").alias("b"), F.col("items").alias("items_b")), "b")
-            .join(held.select(F.col("fp").alias("a"), F.col("items").alias("items_a")), "a"))
+    both = with_sets(pairs, shingle_sets(ends, classes, docs, p, text), "a", "b")
     return both.select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
 
 
-def links(classes: DataFrame, docs: DataFrame, p: NearDups, text: str, key: str) -> DataFrame:
-    """Confirmed links (a, b) between classes, enough to have the same components as all links.
+def departures(members: DataFrame, held: DataFrame, p: NearDups) -> DataFrame:
+    """How members differ from their hub: (hub, token, fp, c, probe, index), a row per shingle that one of the two has.
+
+    Let D(x) be the shingles in which x differs from hub h.  If x is not linked with h, a link
+    of x and y leaves them at most r = (100 - percent) / (100 + percent) times (|x| + |y|)
+    differences, while x has more than r (|x| + |h|) with h.  So over half of
+    (|D(y)| + r (|h| - |y|)) shingles lie in both D(x) and D(y), and any |D(y)| less
+    that many, plus one, of D(y) hold one of them.  Those are ``index`` rows, shingles
+    not in h first, as few others share them.  All of D(x) are ``probe`` rows if x is in another component than h.
+    """
+    rate = (100 - p.percent) / (100 + p.percent)
+    schema = "hub long, token long, fp long, c long, probe boolean, index boolean"
 
-    Members of a bucket are compared with one hub of it, the least after flipping some bits.
-    What that has joined needs no more pairs.  Buckets left in several components
-    get further hubs while that pays, and at last every pair across components that
-    was not yet compared, so no pair that shares a bucket goes unexamined.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hubs, fps, cs, mains = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+            at, tokens, probe, index = [], [], [], []
+            for i in range(batch.num_rows):
+                h, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (4, 5))
+                own, lost = np.setdiff1d(y, h, assume_unique=True), np.setdiff1d(h, y, assume_unique=True)
+                n = len(own) + len(lost)
+                first = n - int(np.floor((n + rate * (len(h) - len(y))) / 2 - 1e-9))
+                take = n if cs[i] != mains[i] else min(n, max(first, 0))
+                at.append(np.full(take, i))
+                tokens.append(np.r_[own, lost][:take])
+                probe.append(np.full(take, cs[i] != mains[i]))
+                index.append(np.arange(take) < first)
+            at = np.concatenate(at) if at else np.zeros(0, int)
+            join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+            yield pa.RecordBatch.from_arrays([pa.array(hubs[at]), pa.array(join(tokens, np.uint64).view(np.int64)), pa.array(fps[at]), pa.array(cs[at]),
+                                              pa.array(join(probe, bool)), pa.array(join(index, bool))], names=["hub", "token", "fp", "c", "probe", "index"])
+
+    both = with_sets(members, held, "hub", "fp")
+    return both.select("hub", "fp", "c", "main", F.col("items_a"), F.col("items_b")).mapInArrow(run, schema)
+
+
+def links(classes: DataFrame, docs: DataFrame, p: NearDups, text: str) -> DataFrame:
+    """Confirmed links (a, b) between classes that have the same components as all links of candidates.
+
+    The members of a bucket are first compared with one hub of it, the least.  Two members in one
+    component need no comparison.  Members that are not in their hub's component are then
+    searched among all members of that hub by :func:`departures`, which misses no link, so no bucket
+    is ever expanded into its pairs.
     """
     members = cut_lineage(bucket_keys(classes, p), "near-buckets")
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = cut_lineage(members.join(shared, "key", "left_semi"), "near-shared")
-    flips = [int(x) for x in np.random.default_rng(p.seed + 2).integers(-(2**62), 2**62, 12)]
-    tried = found = None
-    state = members.withColumn("c", F.col("fp"))
-    for turn in range(4):
-        if turn == 3:
-            hub = state.groupBy("key").agg(F.min("fp").alias("fp")).join(state, ["key", "fp"]).select("key", F.col("c").alias("main"))
-            odd = state.join(hub, "key").where("c != main").select("key", F.col("fp").alias("x"), F.col("c").alias("cx"))
-            pairs = odd.join(state, "key").where("c != cx").select(F.least("x", "fp").alias("a"), F.greatest("x", "fp").alias("b"))
-        else:
-            own = flips[:1] if turn == 0 else flips[4 * turn - 3 : 4 * turn + 1]
-            hubs = state.groupBy("key").agg(*[F.min(F.col("fp").bitwiseXOR(F.lit(x))).alias(f"h{i}") for i, x in enumerate(own)])
-            hubs = hubs.select("key", F.explode(F.array_distinct(F.array(
-                *[F.col(f"h{i}").bitwiseXOR(F.lit(x)) for i, x in enumerate(own)]))).alias("hub"))
-            pairs = state.join(hubs, "key").where("fp != hub").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs, "near-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+    hubs = members.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("hub")).where("n > 1").select("key", "hub")
+    star = cut_lineage(members.join(hubs, "key").where("fp != hub").select("hub", "fp").distinct(), "near-star")
+
+    def verify(pairs: DataFrame) -> DataFrame:
         likely = cut_lineage(plausible(pairs, classes, p), "near-likely")
-        sure = cut_lineage(confirmed(likely, classes, docs, p, text, key), "near-links")
-        found = sure if found is None else found.unionByName(sure)
-        if turn == 3:
-            break
-        label = components(found).withColumnRenamed("node", "fp")
-        state = members.join(label, "fp", "left").select("key", "fp", F.coalesce("label", "fp").alias("c"))
-        open_ = state.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-        state = cut_lineage(state.join(open_, "key", "left_semi"), "near-open")
-        if state.isEmpty():
-            break
-    return found
+        return cut_lineage(confirmed(likely, classes, docs, p, text), "near-links")
+
+    found = verify(star.select(F.col("hub").alias("a"), F.col("fp").alias("b")))
+    label = components(found)
+    state = (star.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("label", "fp")).drop("label")
+             .join(label.withColumnRenamed("node", "hub"), "hub", "left").withColumn("main", F.coalesce("label", "hub")).drop("label"))
+    # A hub with one member, or with all members in its component, leaves nothing to compare.
+    open_ = state.groupBy("hub").agg(F.count("*").alias("n"), F.max((F.col("c") != F.col("main")).cast("int")).alias("odd")).where("n > 1 and odd = 1")
+    state = cut_lineage(state.join(open_, "hub", "left_semi").select("hub", "fp", "c", "main"), "near-open")
+    ends = state.select("fp").unionByName(state.select(F.col("hub").alias("fp"))).distinct()
+    tokens = cut_lineage(departures(state, shingle_sets(ends, classes, docs, p, text), p), "near-departures")
+    probe = tokens.where("probe").select("hub", "token", F.col("fp").alias("x"), F.col("c").alias("cx"))
+    pairs = tokens.where("index").join(probe, ["hub", "token"]).where("c != cx").select(F.least("x", "fp").alias("a"), F.greatest("x", "fp").alias("b"))
+    return found.unionByName(verify(cut_lineage(pairs.distinct(), "near-pairs")))
 
 
 def near_duplicates(docs: DataFrame, p: NearDups = NearDups(), text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -223,7 +254,7 @@ def near_duplicates(docs: DataFrame, p: NearDups = NearDups(), text: str = "text
     rows = cut_lineage(signatures(docs, p, text, key), "near-rows")
     classes = cut_lineage(rows.where("fp is not null").groupBy("fp").agg(
         F.min("doc_id").alias("doc"), F.first("text_key").alias("text_key"), F.first("sig").alias("sig")), "near-classes")
-    found = links(classes, docs, p, text, key)
+    found = links(classes, docs, p, text)
     label = components(found).withColumnRenamed("node", "fp")
     of = classes.join(label, "fp", "left").select("fp", "doc", F.coalesce("label", "fp").alias("label"))
     least = of.groupBy("label").agg(F.min("doc").alias("component_id"))
