@@ -6,16 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from logwarden.llm.chat import PERSPECTIVES_SQL, perspectives
 from logwarden.llm.common import table
 from logwarden.llm.decontaminate import leaks
 from logwarden.llm.near_dups import NearDups, near_duplicates
 from logwarden.llm.rules import quality_rules
+from logwarden.llm.sentencepiece_codec import encode_decode
+from logwarden.llm.shards import minimax_shards
 from logwarden.llm.spans import substring_dedup
+from logwarden.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: A public vocabulary file; other callers name their own.
+PIECES = "piece_bpe_32k.model"
+
+
+def vocabulary(name: str = PIECES) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
     return fn
@@ -42,3 +56,27 @@ def op5_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     found = quality_rules(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels"))
     return found.select("doc_id", "rules.*")
+
+
+@query
+def op9_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return token_counts(table(spark, d, "documents").select("doc_id", "text"), vocabulary())
+
+
+@query
+def op8_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
+    return encode_decode(table(spark, d, "documents").select("doc_id", "text"), vocabulary())
+
+
+@query
+def op2_sharding(spark: SparkSession, d: str) -> DataFrame:
+    placed = minimax_shards(table(spark, d, "documents").select("doc_id", "text"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op6_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
+    return perspectives(table(spark, d, "conversations"))
+
+
+ORACLES["op6_chat_formatting"] = PERSPECTIVES_SQL
