@@ -10,6 +10,8 @@ from logwarden.llm.chat import PERSPECTIVES_SQL, perspectives
 from logwarden.llm.common import table
 from logwarden.llm.decontaminate import leaks
 from logwarden.llm.near_dups import NearDups, near_duplicates
+from logwarden.llm.pages import extract
+from logwarden.llm.quality_gam import quality_scores
 from logwarden.llm.rules import quality_rules
 from logwarden.llm.sentencepiece_codec import encode_decode
 from logwarden.llm.shards import minimax_shards
@@ -80,3 +82,14 @@ def op6_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
 
 
 ORACLES["op6_chat_formatting"] = PERSPECTIVES_SQL
+
+
+@query
+def op3_html_extraction(spark: SparkSession, d: str) -> DataFrame:
+    found = extract(table(spark, d, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op4_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
+    return quality_scores(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels"))
