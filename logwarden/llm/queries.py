@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from logwarden.llm.chat import PERSPECTIVES_SQL, perspectives
 from logwarden.llm.common import table
 from logwarden.llm.decontaminate import leaks
@@ -22,16 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-#: A public vocabulary file; other callers name their own.
-PIECES = "piece_bpe_32k.model"
-
-
-def vocabulary(name: str = PIECES) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
     return fn
@@ -62,12 +53,12 @@ def op7_quality_rules(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def op9_token_counts(spark: SparkSession, d: str) -> DataFrame:
-    return token_counts(table(spark, d, "documents").select("doc_id", "text"), vocabulary())
+    return token_counts(table(spark, d, "documents").select("doc_id", "text"), corpus_pipeline.vocabulary())
 
 
 @query
 def op8_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
-    return encode_decode(table(spark, d, "documents").select("doc_id", "text"), vocabulary())
+    return encode_decode(table(spark, d, "documents").select("doc_id", "text"), corpus_pipeline.vocabulary())
 
 
 @query
@@ -93,3 +84,8 @@ def op3_html_extraction(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op4_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     return quality_scores(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels"))
+
+
+@query
+def pipeline(spark: SparkSession, d: str) -> DataFrame:
+    return corpus_pipeline.run(spark, d)
