@@ -9,7 +9,7 @@ from math import comb, log
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from logwarden.llm.common import WordHasher, byte_blocks, shingles, small_or_shuffled, utf8
 from logwarden.llm.components import components
@@ -175,40 +175,56 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDups
     return both.select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
 
 
-def departures(members: DataFrame, held: DataFrame, p: NearDups) -> DataFrame:
-    """How members differ from their hub: (hub, token, fp, c, probe, index), a row per shingle that one of the two has.
+def departures(members: DataFrame, held: DataFrame) -> DataFrame:
+    """How members differ from their hub: a row per shingle that one of the two has and the other not.
 
-    Let D(x) be the shingles in which x differs from hub h.  If x is not linked with h, a link
-    of x and y leaves them at most r = (100 - percent) / (100 + percent) times (|x| + |y|)
-    differences, while x has more than r (|x| + |h|) with h.  So over half of
-    (|D(y)| + r (|h| - |y|)) shingles lie in both D(x) and D(y), and any |D(y)| less
-    that many, plus one, of D(y) hold one of them.  Those are ``index`` rows, shingles
-    not in h first, as few others share them.  All of D(x) are ``probe`` rows if x is in another component than h.
+    Columns: hub, token, fp, c, odd (not in the hub's component), size and hub_size of the sets, n such shingles.
     """
-    rate = (100 - p.percent) / (100 + p.percent)
-    schema = "hub long, token long, fp long, c long, probe boolean, index boolean"
+    schema = "hub long, token long, fp long, c long, odd boolean, size long, hub_size long, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hubs, fps, cs, mains = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
-            at, tokens, probe, index = [], [], [], []
-            for i in range(batch.num_rows):
-                h, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (4, 5))
-                own, lost = np.setdiff1d(y, h, assume_unique=True), np.setdiff1d(h, y, assume_unique=True)
-                n = len(own) + len(lost)
-                first = n - int(np.floor((n + rate * (len(h) - len(y))) / 2 - 1e-9))
-                take = n if cs[i] != mains[i] else min(n, max(first, 0))
-                at.append(np.full(take, i))
-                tokens.append(np.r_[own, lost][:take])
-                probe.append(np.full(take, cs[i] != mains[i]))
-                index.append(np.arange(take) < first)
-            at = np.concatenate(at) if at else np.zeros(0, int)
-            join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(hubs[at]), pa.array(join(tokens, np.uint64).view(np.int64)), pa.array(fps[at]), pa.array(cs[at]),
-                                              pa.array(join(probe, bool)), pa.array(join(index, bool))], names=["hub", "token", "fp", "c", "probe", "index"])
+            first = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
+            for begin in range(0, batch.num_rows, 256):
+                found, sizes, hub_sizes = [], [], []
+                part = range(begin, min(begin + 256, batch.num_rows))
+                for i in part:
+                    h, x = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (4, 5))
+                    found.append(np.setxor1d(h, x, assume_unique=True).view(np.int64))
+                    sizes.append(len(x))
+                    hub_sizes.append(len(h))
+                n = [len(d) for d in found]
+                at = np.repeat(np.array(part), n)
+                hub, fp, c, main = (x[at] for x in first)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (hub, np.concatenate(found), fp, c, c != main, np.repeat(sizes, n),
+                                                                        np.repeat(hub_sizes, n), np.repeat(n, n))], names=schema.replace(" long", "").replace(" boolean", "").split(", "))
 
     both = with_sets(members, held, "hub", "fp")
-    return both.select("hub", "fp", "c", "main", F.col("items_a"), F.col("items_b")).mapInArrow(run, schema)
+    return both.select("hub", "fp", "c", "main", "items_a", "items_b").mapInArrow(run, schema)
+
+
+def across(tokens: DataFrame, p: NearDups) -> DataFrame:
+    """Pairs (a, b) of members of one hub in different components that can be linked, by prefixes of their departures.
+
+    Let D(x) be the shingles in which x differs from hub h.  A link of x and y leaves them at most
+    R = r (|x| + |y|) differences, r = (100 - percent) / (100 + percent), so D(x) and D(y) share at least
+    (|D(x)| + |D(y)| - R) / 2.  One of them, x, is not linked with h and so has more than
+    r (|x| + |h|) departures: the two share more than (|D(y)| + r (|h| - |y|)) / 2.  As |D(x)| and |D(y)|
+    differ by R at most, they also share at least |D(x)| - R and |D(y)| - R.  Hence, with departures
+    ordered by how few members have them, the first |D| + 1 less that number of each hold a common one.
+    """
+    r = (100 - p.percent) / (100 + p.percent)
+    counts = tokens.groupBy("hub", "token").agg(F.count("*").alias("among"), F.max("odd").alias("sought"))
+    place = F.row_number().over(Window.partitionBy("hub", "fp").orderBy("among", "token"))
+    ranked = tokens.join(counts, ["hub", "token"]).withColumn("place", place).where("among > 1 and sought")
+    widest = F.col("n") - r * F.col("size") * (1 + 100 / p.percent)
+    as_any = F.col("n") - F.floor(F.greatest((F.col("n") + r * (F.col("hub_size") - F.col("size"))) / 2, widest) - 1e-6)
+    as_odd = F.col("n") - F.floor(F.greatest(F.lit(0.0), widest) - 1e-6)
+    index = ranked.where(F.col("place") <= as_any).select("hub", "token", "fp", "c", "size", "n")
+    probe = ranked.where(F.col("odd") & (F.col("place") <= as_odd)).select("hub", "token", *[F.col(v).alias(f"{v}_x") for v in ("fp", "c", "size", "n")])
+    fits = ((F.col("c") != F.col("c_x")) & (100 * F.least("size", "size_x") >= p.percent * F.greatest("size", "size_x"))
+            & (F.abs(F.col("n") - F.col("n_x")) <= r * (F.col("size") + F.col("size_x")) + 1e-6))
+    return index.join(probe, ["hub", "token"]).where(fits).select(F.least("fp", "fp_x").alias("a"), F.greatest("fp", "fp_x").alias("b")).distinct()
 
 
 def links(classes: DataFrame, docs: DataFrame, p: NearDups, text: str) -> DataFrame:
@@ -216,7 +232,7 @@ def links(classes: DataFrame, docs: DataFrame, p: NearDups, text: str) -> DataFr
 
     The members of a bucket are first compared with one hub of it, the least.  Two members in one
     component need no comparison.  Members that are not in their hub's component are then
-    searched among all members of that hub by :func:`departures`, which misses no link, so no bucket
+    searched among all members of that hub by :func:`across`, which misses no link, so no bucket
     is ever expanded into its pairs.
     """
     members = cut_lineage(bucket_keys(classes, p), "near-buckets")
@@ -235,10 +251,8 @@ def links(classes: DataFrame, docs: DataFrame, p: NearDups, text: str) -> DataFr
     open_ = state.groupBy("hub").agg(F.count("*").alias("n"), F.max((F.col("c") != F.col("main")).cast("int")).alias("odd")).where("n > 1 and odd = 1")
     state = cut_lineage(state.join(open_, "hub", "left_semi").select("hub", "fp", "c", "main"), "near-open")
     ends = state.select("fp").unionByName(state.select(F.col("hub").alias("fp"))).distinct()
-    tokens = cut_lineage(departures(state, shingle_sets(ends, classes, docs, p, text), p), "near-departures")
-    probe = tokens.where("probe").select("hub", "token", F.col("fp").alias("x"), F.col("c").alias("cx"))
-    pairs = tokens.where("index").join(probe, ["hub", "token"]).where("c != cx").select(F.least("x", "fp").alias("a"), F.greatest("x", "fp").alias("b"))
-    return found.unionByName(verify(cut_lineage(pairs.distinct(), "near-pairs")))
+    tokens = cut_lineage(departures(state, shingle_sets(ends, classes, docs, p, text)), "near-departures")
+    return found.unionByName(verify(cut_lineage(across(tokens, p), "near-pairs")))
 
 
 def near_duplicates(docs: DataFrame, p: NearDups = NearDups(), text: str = "text", key: str = "doc_id") -> DataFrame:
