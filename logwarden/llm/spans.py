@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
+from logwarden.session import cut_lineage
+
 #: A sentence with the white space after it; the pieces of a text join to the text.
 SENTENCE = re.compile(r"[^.!?。！？\n]*[.!?。！？\n]+[ \t\r\n\x0b\x0c]*|[^.!?。！？\n]+")
 
@@ -97,6 +99,7 @@ def repeated_ranges(docs: DataFrame, p: Spans = Spans(), text: str = "text", key
     found = spans(docs, p, text, key)
     many = (found.where("not again").groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
             .where("first < last").select("h1", "h2", "first"))
+    many = cut_lineage(many, "span-repeats")  # joined by shuffle on both sides, so that Spark can split a span that very many rows hold
     late = found.join(many, ["h1", "h2"], "left").where("again or doc > first")
     return late.groupBy("row_key").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
 
