@@ -68,7 +68,7 @@ def structured_data(sd: Column | str) -> Column:
         names = F.regexp_extract_all(element["body"], F.lit(K.SD_PARAM), F.lit(1))
         values = F.regexp_extract_all(element["body"], F.lit(K.SD_PARAM), F.lit(2))
         return F.zip_with(names, values, lambda n, v: F.struct(
-            F.concat(element["key"], F.lit("."), n).alias("key"), v.alias("value")))
+            F.concat(element["key"], F.lit("."), n).alias("key"), F.regexp_replace(v, K.SD_ESCAPED, "$1").alias("value")))
 
     return F.map_from_entries(last_wins(F.flatten(F.transform(elements, params))))
 

@@ -85,10 +85,6 @@ def micros(wall: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), wall)
 
 
-def seconds_between(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(1e6)
-
-
 def calendar_features(wall: Column, prefix: str = "time", cyclical: bool = True,
                       start_hour: int = K.BUSINESS_START_HOUR, end_hour: int = K.BUSINESS_END_HOUR,
                       weekend: list[int] | None = None) -> list[Column]:

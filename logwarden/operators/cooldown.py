@@ -175,7 +175,11 @@ def kept_ids(df: DataFrame, fp: str, ts: str, record: str, seconds: float = K.CO
 
 def suppress(df: DataFrame, fp: str, ts: str, record: str, seconds: float = K.COOLDOWN_SECONDS,
              bypass: Column | None = None) -> DataFrame:
-    """Drop suppressed rows; rows matching ``bypass`` (alerts) always pass and start no cooldown."""
+    """Drop suppressed rows; rows matching ``bypass`` (alerts) always pass and start no cooldown.
+
+    A null ``bypass`` does not match.
+    """
+    bypass = None if bypass is None else F.coalesce(bypass, F.lit(False))
     subject = df if bypass is None else df.where(~bypass)
     kept = subject.join(kept_ids(subject, fp, ts, record, seconds), record, "left_semi")
     return kept if bypass is None else df.where(bypass).unionByName(kept)

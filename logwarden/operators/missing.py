@@ -11,10 +11,6 @@ from logwarden import constants as K
 from logwarden.functions.scalars import is_missing, null_if_missing, quoted
 from logwarden.operators.runs import Measure, make_runs, running
 
-STRATEGIES = ["drop", "fill_default", "fill_mean", "fill_median", "fill_mode", "fill_zero",
-              "forward_fill", "flag_missing"]
-
-
 @dataclass(frozen=True)
 class FieldRule:
     field: str

@@ -10,8 +10,8 @@ two are combined.  The result equals the plain window.
 Cut points are rows picked by a hash of their order columns, one in
 ``rows_per_run``, so they follow the data: a burst in one second is cut as well
 as a year of steady traffic, and a lost task recomputes the same runs.  Their
-number is checked against :data:`MAX_MARKS` before they are used.  If none is
-found, no key is large and the plain window is used.
+number is checked against :data:`MAX_MARKS` before they are used.  Only keys that a
+denser sample shows to be large are cut; if there is none, the plain window is used.
 """
 
 from __future__ import annotations
@@ -56,10 +56,16 @@ class Runs:
 
 
 def _pick_marks(df: DataFrame, by: list[str], order: list[str], spread: list[str], every: int) -> list:
-    """Rows hashed to 0 modulo ``every``; thinned until at most MAX_MARKS remain."""
+    """Rows of large keys hashed to 0 modulo ``every``; thinned until at most MAX_MARKS remain.
+
+    A key is large if a sample eight times as dense, counted per key by Spark, says it has ``every`` rows.
+    """
     hashed = F.xxhash64(*by, *spread)
+    probe = max(1, every // 8)
+    sample = df.where(F.pmod(hashed, F.lit(probe)) == 0).select(*by, *order, hashed.alias("_hash")).distinct()
+    large = sample.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= max(2, every // probe)).drop("_n")
     while True:
-        marks = df.where(F.pmod(hashed, F.lit(every)) == 0).select(*by, *order).distinct()
+        marks = sample.where(F.pmod("_hash", F.lit(every)) == 0).join(large, by, "left_semi").select(*by, *order).distinct()
         rows = marks.limit(MAX_MARKS + 1).collect()
         if len(rows) <= MAX_MARKS:
             return rows

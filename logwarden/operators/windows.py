@@ -42,23 +42,29 @@ def trailing_zscore(df: DataFrame, entity: str, ts: str, field: str, tie: str, s
     """z-score against the entity's trailing window (both ends and the row included).
 
     As with the trailing count each row enters and later leaves running sums,
-    so a busy entity costs linear work.  Sums are kept in whole units of 1e-6,
-    hence nothing drifts when rows leave.
+    so a busy entity costs linear work.  A z-score does not change when all values
+    are shifted and scaled, so an entity's values are kept as whole units of
+    1e-10 of half their range, counted from its middle: sums are exact, nothing drifts when
+    rows leave, and they fit for any size of value and up to 1e9 rows in a window.
     """
     wall = micros(utc_wall(df, ts))
-    unit = F.round(F.col(field).cast("double") * 1e6).cast("decimal(20,0)")
-    live = df.withColumns({"_key": key_or_alone(F.col(entity), F.col(tie)), "_t": wall, "_sign": F.lit(1), "_v": unit})
+    value = F.col(field).cast("double")
+    ends = df.where(F.col(entity).isNotNull()).groupBy(F.col(entity).alias("_of")).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    ranged = df.join(ends, F.col(entity) == F.col("_of"), "left")
+    half = F.col("_hi") / 2 - F.col("_lo") / 2
+    unit = F.round(F.when(half > 0, (value - (F.col("_hi") / 2 + F.col("_lo") / 2)) / half * 1e10).when(value.isNotNull(), 0.0)).cast("decimal(12,0)")
+    live = ranged.withColumns({"_key": key_or_alone(F.col(entity), F.col(tie)), "_t": wall, "_sign": F.lit(1), "_v": unit})
     gone = live.where(F.col("_t").isNotNull()).select("_key", (F.col("_t") + F.lit(seconds * 1_000_000 + 1)).alias("_t"),
                                                       F.lit(-1).alias("_sign"), "_v", tie)
     both = live.unionByName(gone, allowMissingColumns=True)
     has = F.when(F.col("_v").isNotNull(), F.col("_sign"))
     runs = running(make_runs(both, ["_key"], ["_t"], spread=["_t", tie]),
                    Measure("_n", "range_sum", has), Measure("_s", "range_sum", F.col("_v") * F.col("_sign")),
-                   Measure("_q", "range_sum", (F.col("_v") * F.col("_v") * F.col("_sign")).cast("decimal(38,0)")))
+                   Measure("_q", "range_sum", (F.col("_v") * F.col("_v") * F.col("_sign")).cast("decimal(22,0)")))
     n = F.col("_n").cast("double")
     mean = F.col("_s").cast("double") / n
     # n * q - s * s is exact; only the final division rounds.
-    spread = (F.col("_n").cast("decimal(12,0)") * F.col("_q") - F.col("_s").cast("decimal(19,0)") * F.col("_s").cast("decimal(19,0)")).cast("double")
+    spread = (F.col("_n").cast("decimal(10,0)") * F.col("_q").cast("decimal(28,0)") - F.col("_s").cast("decimal(19,0)") * F.col("_s").cast("decimal(19,0)")).cast("double")
     std = F.sqrt(spread / (n * (n - 1)))
     z = F.when((F.col("_n") > 1) & (std > 0), (F.col("_v").cast("double") - mean) / std)
     return (runs.finish().where("_sign = 1").withColumn(name, F.when(F.col(entity).isNotNull(), F.coalesce(z, F.lit(0.0)))

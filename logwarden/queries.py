@@ -902,7 +902,7 @@ def stream_alerts(spark, d):
 
     q = ingest.micro_batches(_event_stream(spark, d), ingest.analysis_sink(scorer, out), f"{out}/checkpoint", available_now=True)
     try:
-        q.awaitTermination(600)
+        q.awaitTermination()
     finally:
         q.stop()
     return spark.read.parquet(f"{out}/alerts").select("raw_record_id", "priority", "classification", "source_ip")
@@ -987,7 +987,8 @@ def event_xml_scan(spark, d):
 @query
 def parse_errors(spark, d):
     docs = table(spark, d, "documents")
-    line = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<13>Jan  7 10:00:00 db app: "), F.col("lang"))).otherwise(F.col("lang"))
+    text = F.concat(F.lit("text: "), F.regexp_replace("text", r"\s+", " "))
+    line = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<13>Jan  7 10:00:00 db app: "), text)).otherwise(text)
     path = _written(spark, docs.select(line.alias("value")), "errors", fmt="text")
     return readers.parse_errors(spark, path, "Syslog").agg(F.sum("parsed").alias("parsed"), F.sum("rejected").alias("rejected"))
 
@@ -1004,7 +1005,7 @@ def detect_delimiter(spark, d):
 
 @query
 def detect_format(spark, d):
-    """Format of each page, document and event line by name and content."""
+    """Format of a file made of each event, by its name and content."""
     k = F.col("k") % 6
     name = F.concat(F.lit("/logs/x"), F.col("record_id"), F.when(k == 0, ".CSV").when(k == 1, ".syslog").otherwise(".dat"))
     head = (F.when(k == 2, F.concat(F.lit(" "), F.col("props"))).when(k == 3, F.concat(F.lit("<13>x "), F.col("action")))

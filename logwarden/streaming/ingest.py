@@ -73,22 +73,25 @@ def append_history(scored: DataFrame, path: str, checkpoint: str, available_now:
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str, timeout: int = 3600) -> None:
-    """Run a stream over everything available and write it to ``path``."""
+def drain(stream: DataFrame, path: str, checkpoint: str, timeout: int | None = None) -> None:
+    """Run a stream over everything available and write it to ``path``; a stream not done in ``timeout`` seconds is an error."""
     query = append_history(stream, path, checkpoint, available_now=True)
     try:
-        if not query.awaitTermination(timeout):
+        if timeout is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(timeout):
             raise TimeoutError(f"stream did not finish in {timeout} s")
     finally:
         query.stop()
 
 
 def ingestion_stats(query: StreamingQuery) -> dict:
-    """Rows, batches, rate and last activity from the query's progress."""
+    """Rows, batches, rate, rows dropped as too late and last activity, over the progress entries that Spark retains."""
     progress = [p for p in query.recentProgress]
     return {
         "batches": len(progress), "rows": sum(p.numInputRows for p in progress),
         "rows_per_second": max((p.processedRowsPerSecond or 0.0 for p in progress), default=0.0),
+        "rows_too_late": sum(int(s.numRowsDroppedByWatermark) for p in progress for s in p.stateOperators),
         "last_activity": progress[-1].timestamp if progress else None,
         "error": str(query.exception()) if query.exception() else None,
     }

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logwarden import constants as K
@@ -60,11 +60,11 @@ class _Cooldown(StatefulProcessor):
                 self.handle.deleteTimer(self._expiry(before))
             self.handle.registerTimer(self._expiry(last))
             self.last.update((last,))
-        yield pd.DataFrame({"id": pd.Series(kept, dtype="int64")})
+        yield pd.DataFrame({"id": pd.Series(kept, dtype=pdf["id"].dtype)})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
-        yield pd.DataFrame({"id": pd.Series([], dtype="int64")})
+        yield pd.DataFrame({"id": []})
 
     def close(self) -> None:
         pass
@@ -79,10 +79,10 @@ def cooldown_stream(stream: DataFrame, fp: str, ts: str, record: str, seconds: f
     Rows later than ``delay`` are left out.
     """
     rows = stream.select(F.col(fp).alias("key"), F.timestamp_micros(micros(utc_wall(stream, ts))).alias("_ts"),
-                         micros(utc_wall(stream, ts)).alias("t"), F.col(record).cast("long").alias("id"))
+                         micros(utc_wall(stream, ts)).alias("t"), F.col(record).alias("id"))
     ttl = max(int(ttl_seconds), int(seconds)) * 1_000_000
     return rows.withWatermark("_ts", delay).groupBy("key").transformWithStateInPandas(
-        _Cooldown(int(seconds * 1_000_000), ttl), "id long", "append", "eventTime").withColumnRenamed("id", record)
+        _Cooldown(int(seconds * 1_000_000), ttl), T.StructType([rows.schema["id"]]), "append", "eventTime").withColumnRenamed("id", record)
 
 
 class _Sessions(StatefulProcessor):
@@ -102,7 +102,8 @@ class _Sessions(StatefulProcessor):
                 start, number, events = t, number + 1, 0
             elif start is None:
                 start = t
-            events, last = events + 1, t
+            # A late row joins the running session and does not move its end back.
+            events, last = events + 1, t if last is None else max(last, t)
             out.append((i, number, events, max(t - start, 0) / 1e6))
         self.state.update((last, start, number, events))
         yield pd.DataFrame(out, columns=["id", "session_id", "events_in_session", "session_duration_seconds"])
@@ -113,12 +114,16 @@ class _Sessions(StatefulProcessor):
 
 def sessions_stream(stream: DataFrame, entity: str, ts: str, record: str,
                     timeout: float = K.SESSION_TIMEOUT_SECONDS) -> DataFrame:
-    """Running session values per event, as the batch operator gives them."""
+    """Running session values per event, as the batch operator gives them for rows in order.
+
+    The state of an entity is four numbers and stays, so that session numbers go on.
+    """
     rows = stream.where(F.col(entity).isNotNull()).select(
-        F.col(entity).cast("string").alias("key"), micros(utc_wall(stream, ts)).alias("t"), F.col(record).cast("long").alias("id"))
+        F.col(entity).cast("string").alias("key"), micros(utc_wall(stream, ts)).alias("t"), F.col(record).alias("id"))
+    id_type = rows.schema["id"].dataType.simpleString()
     return rows.groupBy("key").transformWithStateInPandas(
         _Sessions(int(timeout * 1_000_000)),
-        "id long, session_id long, events_in_session long, session_duration_seconds double",
+        f"id {id_type}, session_id long, events_in_session long, session_duration_seconds double",
         "append", "none").withColumnRenamed("id", record)
 
 
