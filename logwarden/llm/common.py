@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: ASCII white space, the separators of words in all operators.
@@ -25,17 +26,17 @@ def small_or_shuffled(narrow: DataFrame, rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(narrow) if narrow.limit(rows + 1).count() <= rows else narrow
 
 
-def byte_blocks(texts: Iterable[bytes], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """Cut a list of texts into (position of the first, texts) blocks of about ``most`` bytes; one text is never cut."""
-    first, block, size = 0, [], 0
-    for i, t in enumerate(texts):
-        if block and size + len(t) > most:
-            yield first, block
-            first, block, size = i, [], 0
-        block.append(t)
-        size += len(t)
-    if block:
-        yield first, block
+def text_slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of a batch with about ``most`` bytes of text, so that what is made of them stays small."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    first = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > first and size + n > most:
+            yield batch.slice(first, i - first)
+            first, size = i, 0
+        size += n
+    if len(sizes) > first:
+        yield batch.slice(first)
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
-from logwarden.llm.common import WordHasher, byte_blocks, mix
+from logwarden.llm.common import WordHasher, mix, text_slices
 from logwarden.llm.spans import row_key
 from logwarden.session import cut_lineage
 
@@ -63,12 +63,11 @@ def document_frequency(docs: DataFrame, p: Retrieval, text: str) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, counts, total = WordHasher(False, WORD_BYTES), np.zeros(p.buckets, np.int64), 0
-        for batch in batches:
-            for _, block in byte_blocks(lowered(batch.column(0))):
-                words, at = hasher(block)
-                unit, n = passages(at, p.stride)
-                counts += np.bincount(np.unique(unit << p.bits | bucket(words, p)) & (p.buckets - 1), minlength=p.buckets)
-                total += n
+        for part in (s for batch in batches for s in text_slices(batch, 0)):
+            words, at = hasher(lowered(part.column(0)))
+            unit, n = passages(at, p.stride)
+            counts += np.bincount(np.unique(unit << p.bits | bucket(words, p)) & (p.buckets - 1), minlength=p.buckets)
+            total += n
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[used, -1]), pa.array(np.r_[counts[used], total])], names=["bucket", "n"])
 
@@ -182,48 +181,48 @@ def search(docs: DataFrame, held, p: Retrieval, text: str, key: str) -> DataFram
         hasher = WordHasher(False, WORD_BYTES)
         idf, row_of, basis, latent, items, of_passage = held.value
         seek = sought(idf)
-        for batch in batches:
+        for batch in (s for b in batches for s in text_slices(b, 2, 1 << 19)):
             found = []
-            for first, block in byte_blocks(lowered(batch.column(2)), 1 << 19):
-                words, at = hasher(block)
-                if not len(words):
+            block = lowered(batch.column(2))
+            words, at = hasher(block)
+            if not len(words):
+                continue
+            unit, n = passages(at, p.stride)
+            text_of = np.zeros(n, np.int64)
+            text_of[unit] = np.repeat(np.arange(len(block)), np.diff(at))
+            # Passages are projected once; a window is a passage and the next one of its text.
+            buck = bucket(words, p)
+            weight = seek[buck]
+            mass = np.bincount(unit, weight**2, n)
+            known = (row_of[buck] >= 0) & (weight > 0)
+            u, r, v = unit[known], row_of[buck[known]], weight[known]
+            starts = np.flatnonzero(np.r_[True, u[1:] != u[:-1]]) if len(u) else np.zeros(0, int)
+            z = np.zeros((n, basis.shape[1]), np.float32)
+            for i, j, a, b in pieces(starts, len(u)):
+                z[u[starts[i:j]]] = np.add.reduceat(basis[r[a:b]] * v[a:b, None], starts[i:j] - a)
+            more = np.flatnonzero(text_of[:-1] == text_of[1:])
+            z[more] += z[more + 1]
+            mass[more] += mass[more + 1]
+            # Repeats within a window are left out of its norm, so that its cosine is never too small.
+            score = z @ latent.T / np.sqrt(mass).clip(1e-9)[:, None]
+            sure = set()
+            for window, q in np.argwhere(score >= p.cosine).tolist():
+                t, item = int(text_of[window]), of_passage[q]
+                if (t, item) in sure:
                     continue
-                unit, n = passages(at, p.stride)
-                text_of = np.zeros(n, np.int64)
-                text_of[unit] = np.repeat(np.arange(len(block)), np.diff(at))
-                # Passages are projected once; a window is a passage and the next one of its text.
-                buck = bucket(words, p)
-                weight = seek[buck]
-                mass = np.bincount(unit, weight**2, n)
-                known = (row_of[buck] >= 0) & (weight > 0)
-                u, r, v = unit[known], row_of[buck[known]], weight[known]
-                starts = np.flatnonzero(np.r_[True, u[1:] != u[:-1]]) if len(u) else np.zeros(0, int)
-                z = np.zeros((n, basis.shape[1]), np.float32)
-                for i, j, a, b in pieces(starts, len(u)):
-                    z[u[starts[i:j]]] = np.add.reduceat(basis[r[a:b]] * v[a:b, None], starts[i:j] - a)
-                more = np.flatnonzero(text_of[:-1] == text_of[1:])
-                z[more] += z[more + 1]
-                mass[more] += mass[more + 1]
-                # Repeats within a window are left out of its norm, so that its cosine is never too small.
-                score = z @ latent.T / np.sqrt(mass).clip(1e-9)[:, None]
-                sure = set()
-                for window, q in np.argwhere(score >= p.cosine).tolist():
-                    t, item = int(text_of[window]), of_passage[q]
-                    if (t, item) in sure:
-                        continue
-                    body, weights, answer = items[item]
-                    head = int(np.searchsorted(unit, window))
-                    region = words[max(at[t], head - len(body)) : min(at[t + 1], head + 2 * p.stride + len(body))]
-                    if weights[(body[:, None] == region).any(axis=1)].sum() < p.paraphrase * weights.sum():
-                        continue  # not even out of order
-                    share = weighted_lcs(body, weights, region) / weights.sum()
-                    if share >= p.paraphrase:
-                        tail = slice(answer, None)
-                        told = weighted_lcs(body[tail], weights[tail], region) / weights[tail].sum()
-                        if share >= p.verbatim or told >= p.answer:
-                            found.append((first + t, item, float(score[window, q]), share, told))
-                            if share >= p.verbatim:
-                                sure.add((t, item))
+                body, weights, answer = items[item]
+                head = int(np.searchsorted(unit, window))
+                region = words[max(at[t], head - len(body)) : min(at[t + 1], head + 2 * p.stride + len(body))]
+                if weights[(body[:, None] == region).any(axis=1)].sum() < p.paraphrase * weights.sum():
+                    continue  # not even out of order
+                share = weighted_lcs(body, weights, region) / weights.sum()
+                if share >= p.paraphrase:
+                    tail = slice(answer, None)
+                    told = weighted_lcs(body[tail], weights[tail], region) / weights[tail].sum()
+                    if share >= p.verbatim or told >= p.answer:
+                        found.append((t, item, float(score[window, q]), share, told))
+                        if share >= p.verbatim:
+                            sure.add((t, item))
             at_row = pa.array([f[0] for f in found], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at_row), batch.column(1).take(at_row), pa.array([f[1] for f in found], pa.int64()),

@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from logwarden.llm.common import WordHasher, byte_blocks, shingles, small_or_shuffled, utf8
+from logwarden.llm.common import WordHasher, shingles, small_or_shuffled, text_slices, utf8
 from logwarden.llm.components import components
 from logwarden.session import cut_lineage
 
@@ -66,16 +66,13 @@ def signatures(docs: DataFrame, p: NearDups, text: str = "text", key: str = "doc
         hasher, rng = WordHasher(), np.random.default_rng(p.seed)
         flips = rng.integers(0, 2**32, p.hashes, dtype=np.uint32)
         factors = rng.integers(0, 2**31, p.hashes, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-        for batch in batches:
-            texts, counts, prints, out = utf8(batch.column(2)), [], [], []
-            for _, block in byte_blocks(texts):
-                words, at = hasher(block)
-                sets = [np.unique(shingles(words[i:j], p.shingle)) for i, j in zip(at[:-1], at[1:])]
-                counts += [len(s) for s in sets]
-                prints += [xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None for s in sets]
-                out += [s.tobytes() if len(s) else None for s in sets] if full else minima(sets, flips, factors)
+        for part in (s for batch in batches for s in text_slices(batch, 2)):
+            words, at = hasher(utf8(part.column(2)))
+            sets = [np.unique(shingles(words[i:j], p.shingle)) for i, j in zip(at[:-1], at[1:])]
+            prints = [xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None for s in sets]
+            out = [s.tobytes() if len(s) else None for s in sets] if full else minima(sets, flips, factors)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(prints, pa.int64()), pa.array(out, pa.binary())],
+                [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.int64()), pa.array(out, pa.binary())],
                 names=["doc_id", "text_key", "n_shingles", "fp", "items" if full else "sig"])
 
     return docs.select(F.col(key).cast("long"), F.xxhash64(text), F.col(text).cast("string")).mapInArrow(run, schema)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
-from logwarden.llm.common import small_or_shuffled
+from logwarden.llm.common import small_or_shuffled, text_slices
 from logwarden.session import cut_lineage
 
 # Elements of HTML by the part they play.
@@ -163,7 +163,7 @@ def tree_rows(pages: DataFrame, html: str, url: str) -> DataFrame:
     """(host, path, kind, value): per page its style nodes, what each presents (its kinds of children) and the texts it contains."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (s for b in batches for s in text_slices(b, 1)):
             rows, paths, kinds, values = [], [], [], []
             for n, page in enumerate(batch.column(1).to_pylist()):
                 seen = read(page or "")

@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from logwarden.llm.common import text_slices
+
 FEATURES = ("log_words", "word_length", "upper", "symbols", "digits", "punctuation", "other_bytes", "distinct_words", "top_word", "repeated_lines",
             "line_words", "sentence_words", "marked_words", "bare_words", "byte_entropy", "repeated_runs", "capital_words", "double_marks")
 
@@ -174,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Gam = Gam(), text: str = "text"
     rows = docs.select(F.col(key).cast("long").alias("__key"), F.col(text).cast("string").alias("__text")).join(F.broadcast(known), F.col("__key") == F.col("__id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (s for b in batches for s in text_slices(b, 2)):
             x = features(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x.tolist(), pa.list_(pa.float32()))], names=["key", "y", "x"])
 
@@ -195,7 +197,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, p: Gam = Gam(), text: str
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, p, text, key))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (s for b in batches for s in text_slices(b, 2)):
             score = model.value.score(features(batch.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array(score >= 0.5).cast(pa.int32())],
                                              names=["doc_id", "held_out", "score", "predicted"])

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from logwarden.llm.common import byte_blocks
+from logwarden.llm.common import text_slices
 from logwarden.llm.pretokens import check_cuts, pretokens
 from logwarden.llm.spmodel import BPE, NORMAL, SPACE_MARK, Model, parse
 
@@ -108,15 +108,14 @@ def encode_decode(docs: DataFrame, model_path: str, threads: int = 2, held: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(data.value, threads)
-        for batch in batches:
-            for first, block in byte_blocks([t or "" for t in batch.column(1).to_pylist()]):
-                if len(codec.place) > held:
-                    codec.clear()
-                ids, same, back = codec.encode(block)
-                sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(block)), pa.array(sizes, pa.int64()), lists, pa.array(same), pa.array(back)],
-                                                 names=["doc_id", "n_tokens", "ids", "parity", "round_trip"])
+        for part in (s for batch in batches for s in text_slices(batch, 1)):
+            if len(codec.place) > held:
+                codec.clear()
+            ids, same, back = codec.encode([t or "" for t in part.column(1).to_pylist()])
+            sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), lists, pa.array(same), pa.array(back)],
+                                             names=["doc_id", "n_tokens", "ids", "parity", "round_trip"])
 
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(
         run, "doc_id long, n_tokens long, ids array<int>, parity boolean, round_trip boolean")

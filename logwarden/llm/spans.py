@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
+from logwarden.llm.common import text_slices
 from logwarden.session import cut_lineage
 
 #: A sentence with the white space after it; the pieces of a text join to the text.
@@ -54,7 +55,7 @@ def spans(docs: DataFrame, p: Spans, text: str, key: str) -> DataFrame:
     """(doc, row_key, h1, h2, start, stop, again) of every span of every whole text; ``again``: seen earlier in the same text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (s for b in batches for s in text_slices(b, 2)):
             rows, start, stop, again, marks = [], [], [], [], bytearray()
             for n, t in enumerate(batch.column(2).to_pylist()):
                 seen: set[bytes] = set()

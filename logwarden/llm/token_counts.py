@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from logwarden.llm.common import byte_blocks
+from logwarden.llm.common import text_slices
 from logwarden.llm.pretokens import check_cuts, pretokens
 from logwarden.llm.spmodel import BPE, NORMAL, SPACE_MARK, Model, parse
 
@@ -128,18 +128,16 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, held: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger, known = Merger(parse(data.value)), {}
-        for batch in batches:
+        for batch in (s for b in batches for s in text_slices(b, 1)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
-            tokens: list[int] = []
-            for _, block in byte_blocks(texts):
-                cut = [pretokens(t) for t in block]
-                if len(known) > held:
-                    known = {}
-                new = list(set().union(*cut) - known.keys())
-                for i in range(0, len(new), 20_000):
-                    known.update(zip(new[i : i + 20_000], merger.counts(new[i : i + 20_000]).tolist()))
-                tokens += [sum(map(known.__getitem__, words)) for words in cut]
+            cut = [pretokens(t) for t in texts]
+            if len(known) > held:
+                known = {}
+            new = list(set().union(*cut) - known.keys())
+            for i in range(0, len(new), 20_000):
+                known.update(zip(new[i : i + 20_000], merger.counts(new[i : i + 20_000]).tolist()))
+            tokens = [sum(map(known.__getitem__, words)) for words in cut]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
                                              names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
