@@ -34,14 +34,58 @@ def _text(spark: SparkSession, path: Paths, **options: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ JSON
+def variant_type(text: str) -> T.DataType:
+    """The type that ``schema_of_variant`` describes; always-null and mixed fields are text."""
+    at = 0
+
+    def name() -> str:
+        nonlocal at
+        if text[at] != "`":
+            start, at = at, text.index(":", at)
+            return text[start:at]
+        out, at = [], at + 1
+        while text[at] != "`" or text.startswith("``", at):
+            at += 1 + text.startswith("``", at)
+            out.append(text[at - 1])
+        at += 1
+        return "".join(out)
+
+    def kind() -> T.DataType:
+        nonlocal at
+        if text.startswith("OBJECT<", at):
+            at += len("OBJECT<")
+            fields = []
+            while text[at] != ">":
+                at += 2 * text.startswith(", ", at)
+                field = name()
+                at += len(": ")
+                fields.append(T.StructField(field, kind()))
+            at += 1
+            return T.StructType(fields)
+        if text.startswith("ARRAY<", at):
+            at += len("ARRAY<")
+            items = kind()
+            at += 1
+            return T.ArrayType(items)
+        start = at
+        depth = 0
+        while at < len(text) and (depth or text[at] not in ",>"):
+            depth += (text[at] == "(") - (text[at] == ")")
+            at += 1
+        plain = text[start:at]
+        return T.StringType() if plain in ("VOID", "VARIANT") else T.DataType.fromDDL(plain)
+
+    return kind()
+
+
 def _objects(records: DataFrame, schema: T.StructType | str | None, flatten: bool, lengths: dict | None) -> DataFrame:
     """(source_file, value: object text) -> flat columns."""
     if schema is None:
         # One narrow pass finds the widest schema, as Spark's own JSON reader does.
         found = records.select(F.expr("schema_of_variant_agg(try_parse_json(value))")).first()[0]
-        if not found.startswith("OBJECT<"):
+        schema = variant_type(found) if found.startswith("OBJECT<") else None
+        if not schema:
             return records.select("source_file")
-        schema = found.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
     parsed = records.select("source_file", F.from_json("value", schema).alias("_r")).select("source_file", "_r.*")
     return jsonflat.flatten(parsed, [c for c in parsed.columns if c != "source_file"], lengths) if flatten else parsed
 
@@ -119,33 +163,47 @@ def detect_delimiter(line: Column) -> Column:
     return out
 
 
-def _first_line(head: Column) -> Column:
-    return F.split_part(F.regexp_replace(head, "^﻿", ""), F.lit("\n"), F.lit(1))
+def csv_layouts(spark: SparkSession, path: Paths, pattern: str | None = None, delimiter: str | None = None) -> dict[tuple[str, str, bool], list[str]]:
+    """Files by (delimiter, header line, whether they are not UTF-8).
+
+    Spark reads the lines, so any file system it knows will do; a row per file comes back, as
+    the reader needs the list of files in any case.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true")
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("path"),
+                                     F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("at"))
+    found = lines.groupBy("path").agg(F.min_by("value", "at").alias("header"), F.max(~F.is_valid_utf8("value")).alias("foreign"))
+    header = F.regexp_replace("header", "^\ufeff|\r$", "")
+    rows = found.select("path", header.alias("header"), "foreign", (F.lit(delimiter) if delimiter else detect_delimiter(header)).alias("d")).collect()
+    groups: dict[tuple[str, str, bool], list[str]] = {}
+    for r in sorted(rows, key=lambda r: r["path"]):
+        groups.setdefault((r["d"], r["header"], r["foreign"]), []).append(r["path"])
+    return groups
 
 
 def read_csv(spark: SparkSession, path: Paths, delimiter: str | None = None, infer_types: bool = True,
-             mode: str = "PERMISSIVE", multiline: bool = True) -> DataFrame:
+             mode: str = "PERMISSIVE", multiline: bool = True, pattern: str | None = None) -> DataFrame:
     """CSV with a header row; the delimiter is found per file unless given.
 
-    With ``multiline`` quoted fields may hold line breaks, and a file is one
-    task; turn it off for large files without such fields.
+    Files may have different headers: columns are matched by name, and what a file lacks is null.  A file
+    that is not UTF-8 is read as Latin-1; short rows are filled with nulls.  With ``multiline`` quoted fields may
+    hold line breaks, and a file is one task; turn it off for large files without such fields.
     """
-    if delimiter is None:
-        found = file_heads(spark, path).select("path", detect_delimiter(_first_line(F.col("head"))).alias("d")).collect()
-        groups = {d: [r["path"] for r in found if r["d"] == d] for d in {r["d"] for r in found}}
-    else:
-        groups = {delimiter: path}
     frames = []
-    for d, paths in sorted(groups.items()):
+    for (d, _, foreign), paths in sorted(csv_layouts(spark, path, pattern, delimiter).items()):
         reader = spark.read.options(header="true", sep=d, multiLine=str(multiline).lower(), mode=mode, quote='"', escape='"',
-                                    encoding="UTF-8", recursiveFileLookup="true")
+                                    encoding="ISO-8859-1" if foreign else "UTF-8")
         raw = reader.csv(paths).select("*", F.col("_metadata.file_path").alias("source_file"))
-        named = {c: c.strip().lstrip("﻿") for c in raw.columns}
+        named = {c: c.strip().lstrip("\ufeff") for c in raw.columns}
         kept = raw.select(*[scalars.quoted(c).alias(n) for c, n in named.items() if n and not n.startswith("_c")])
         data = [c for c in kept.columns if c != "source_file"]
-        kept = kept.where(F.coalesce(*[F.nullif(scalars.quoted(c), F.lit("")) for c in data]).isNotNull())
-        frames.append(infer_columns(kept, data) if infer_types else kept)
-    return _finish(union_all(frames), "CSV", K.CSV_TIMESTAMP_FIELDS, nested=False, ignore_case=True)
+        if data:
+            frames.append(kept.where(F.coalesce(*[F.nullif(scalars.quoted(c), F.lit("")) for c in data]).isNotNull()))
+    rows = union_all(frames) if frames else spark.createDataFrame([], "source_file string")
+    data = [c for c in rows.columns if c != "source_file"]
+    return _finish(infer_columns(rows, data) if infer_types and data else rows, "CSV", K.CSV_TIMESTAMP_FIELDS, nested=False, ignore_case=True)
 
 
 def infer_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -181,11 +239,6 @@ def read_syslog(spark: SparkSession, path: Paths, year: int | None = None) -> Da
     return parsed.select("source_file", "p.*").withColumn("source_format", F.lit("Syslog"))
 
 
-def spread_map(df: DataFrame, column: str, keys: list[str], prefix: str) -> DataFrame:
-    """Named entries of a map column as columns."""
-    return df.select("*", *[F.try_element_at(F.col(column), F.lit(k)).alias(f"{prefix}{k}") for k in keys])
-
-
 def read_event_xml(spark: SparkSession, path: Paths) -> DataFrame:
     """Windows events exported as XML.
 

@@ -2,37 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from logwarden.operators.labels import map_labels, normalize_training_columns
-from logwarden.sources.readers import union_all
+from logwarden.sources.readers import read_csv
 
-# The 78 flow features of the supervised data sets, in order.
-FLOW_FEATURES = """
-destination_port flow_duration total_fwd_packets total_backward_packets total_length_of_fwd_packets
-total_length_of_bwd_packets fwd_packet_length_max fwd_packet_length_min fwd_packet_length_mean fwd_packet_length_std
-bwd_packet_length_max bwd_packet_length_min bwd_packet_length_mean bwd_packet_length_std flow_bytes/s flow_packets/s
-flow_iat_mean flow_iat_std flow_iat_max flow_iat_min fwd_iat_total fwd_iat_mean fwd_iat_std fwd_iat_max fwd_iat_min
-bwd_iat_total bwd_iat_mean bwd_iat_std bwd_iat_max bwd_iat_min fwd_psh_flags bwd_psh_flags fwd_urg_flags bwd_urg_flags
-fwd_header_length bwd_header_length fwd_packets/s bwd_packets/s min_packet_length max_packet_length packet_length_mean
-packet_length_std packet_length_variance fin_flag_count syn_flag_count rst_flag_count psh_flag_count ack_flag_count
-urg_flag_count cwe_flag_count ece_flag_count down/up_ratio average_packet_size avg_fwd_segment_size
-avg_bwd_segment_size fwd_header_length.1 fwd_avg_bytes/bulk fwd_avg_packets/bulk fwd_avg_bulk_rate bwd_avg_bytes/bulk
-bwd_avg_packets/bulk bwd_avg_bulk_rate subflow_fwd_packets subflow_fwd_bytes subflow_bwd_packets subflow_bwd_bytes
-init_win_bytes_forward init_win_bytes_backward act_data_pkt_fwd min_seg_size_forward active_mean active_std active_max
-active_min idle_mean idle_std idle_max idle_min
-""".split()
 
+def load_dataset(spark: SparkSession, path: str, max_rows_per_file: int | None = None, labels: dict[str, str] | None = None) -> DataFrame:
+    """All CSV files below ``path``: columns matched by name, names normalized, labels mapped.
 
-def load_dataset(spark: SparkSession, path: str, max_rows_per_file: int | None = None, encoding: str = "UTF-8",
-                 labels: dict[str, str] | None = None) -> DataFrame:
-    """All CSV files below ``path``: malformed rows dropped, names normalized, labels mapped."""
-    options = dict(header="true", inferSchema="true", mode="DROPMALFORMED", encoding=encoding,
-                   recursiveFileLookup="true", pathGlobFilter="*.csv")
-    if max_rows_per_file is None:
-        raw = spark.read.options(**options).csv(path)
-    else:
-        files = [r["path"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-                 .option("pathGlobFilter", "*.csv").load(path).select("path").orderBy("path").collect()]
-        raw = union_all([spark.read.options(**options).csv(f).limit(max_rows_per_file) for f in files])
-    return map_labels(normalize_training_columns(raw), extra=labels)
+    ``max_rows_per_file`` takes the first rows of each file, a bound on what a model is trained with.
+    """
+    raw = read_csv(spark, path, delimiter=",", multiline=False, pattern="*.csv").drop("timestamp", "source_format")
+    if max_rows_per_file is not None:
+        # Ids grow along a file; Spark keeps the first rows of each piece before it shuffles.
+        first = F.row_number().over(Window.partitionBy("source_file").orderBy("_at"))
+        raw = raw.withColumn("_at", F.monotonically_increasing_id()).withColumn("_n", first).where(F.col("_n") <= max_rows_per_file).drop("_at", "_n")
+    return map_labels(normalize_training_columns(raw.drop("source_file")), extra=labels)

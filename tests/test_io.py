@@ -4,9 +4,10 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from logwarden.operators import ensemble, reports
+from logwarden.functions import syslog
+from logwarden.operators import cooldown, ensemble, reports
 from logwarden.sources import readers, tail
-from logwarden.sources.training import FLOW_FEATURES, load_dataset
+from logwarden.sources.training import load_dataset
 from logwarden.streaming import ingest, stateful
 
 
@@ -76,7 +77,6 @@ def test_directory_and_registry(spark, folder):
 
 
 def test_training_load(spark, tmp_path):
-    assert len(FLOW_FEATURES) == 78
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "x.csv").write_text(" Flow Duration,Src IP, Label\n1,a,BENIGN\n2,b,DoS Hulk\n3,c,DoS Hulk\n")
     (tmp_path / "y.csv").write_text(" Flow Duration,Src IP, Label\n4,a,Bot\n")
@@ -86,6 +86,65 @@ def test_training_load(spark, tmp_path):
     assert load_dataset(spark, str(tmp_path), max_rows_per_file=1).count() == 2
 
 
+def test_files_with_different_headers_are_matched_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("timestamp,src_ip,dst_ip\n2024-01-01T00:00:00Z,1.1.1.1,2.2.2.2\n")
+    (tmp_path / "b.csv").write_text("user,timestamp,action\nbob,2024-01-02T00:00:00Z,login\nann,2024-01-03T00:00:00Z\n")
+    (tmp_path / "c.csv").write_bytes("user;action\nJos\u00e9;out\n".encode("latin-1"))
+    (tmp_path / "d.csv").write_text("")
+    rows = {r["timestamp"] or r["user"]: r for r in readers.read_csv(spark, str(tmp_path)).collect()}
+    assert rows["2024-01-01T00:00:00Z"]["src_ip"] == "1.1.1.1" and rows["2024-01-01T00:00:00Z"]["user"] is None
+    assert (rows["2024-01-02T00:00:00Z"]["user"], rows["2024-01-02T00:00:00Z"]["action"]) == ("bob", "login")
+    assert rows["2024-01-03T00:00:00Z"]["action"] is None and rows["Jos\u00e9"]["action"] == "out" and len(rows) == 4
+    empty = readers.read_csv(spark, f"{tmp_path}/d.csv")
+    assert empty.count() == 0 and {"timestamp", "source_file", "source_format"} <= set(empty.columns)
+
+
+def test_training_files_with_swapped_columns(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("Flow Duration, Label\n1,BENIGN\n2,Bot\n")
+    (tmp_path / "y.csv").write_text(" Label,Flow Duration\nDDoS,3\nDDoS\n")
+    got = sorted((r["flow_duration"] or 0, r["label"]) for r in load_dataset(spark, str(tmp_path)).collect())
+    assert got == [(0, "DDoS"), (1, "Benign"), (2, "Malware"), (3, "DDoS")]
+
+
+def test_json_names_and_mixed_types(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"VOID_reason":"x","OBJECT<":{"a b":[{"c":1.5}]},"n":null,"m":1,"t`q":true}\n{"m":"text","VOID_reason":"y"}\n{"m":{"k":2}}\n')
+    rows = readers.read_jsonl(spark, str(tmp_path / "a.jsonl"), flatten=False)
+    assert sorted(r["VOID_reason"] for r in rows.where("VOID_reason is not null").collect()) == ["x", "y"]
+    assert sorted(r["m"] for r in rows.groupBy("m").count().collect()) == ["1", "text", '{"k":2}']
+    assert dict(rows.dtypes)["n"] == "string" and rows.where("`t\u0060\u0060q`").first()["OBJECT<"]["a b"][0]["c"] == 1.5
+
+
+def test_suppression_keeps_rows_with_a_null_bypass(spark):
+    df = spark.createDataFrame([(1, "a", 0, None), (2, "b", 0, True), (3, "c", 0, False)], "id long, fp string, s long, pass boolean").withColumn("ts", F.timestamp_seconds("s"))
+    assert {r["id"] for r in cooldown.suppress(df, "fp", "ts", "id", 60, F.col("pass")).collect()} == {1, 2, 3}
+
+
+def test_a_corrupt_file_is_an_error(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    part = next((tmp_path / "t").glob("*.parquet"))
+    (tmp_path / "t" / "broken.parquet").write_bytes(part.read_bytes()[:500])
+    with pytest.raises(Exception):
+        spark.read.parquet(str(tmp_path / "t")).agg(F.sum("id")).collect()
+
+
+def test_late_rows_do_not_split_a_session(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    src.mkdir()
+    for n, times in enumerate([[0, 1700], [100], [2000], [9000]]):
+        (src / f"{n}.json").write_text("".join(f'{{"id":"r{t}","e":"x","t":{t}}}\n' for t in times))
+        os.utime(src / f"{n}.json", (time.time() - 100 + n, time.time() - 100 + n))
+    stream = spark.readStream.schema("id STRING, e STRING, t LONG").option("maxFilesPerTrigger", 1).json(str(src)).withColumn("ts", F.timestamp_seconds("t"))
+    with stateful.rocksdb_state(spark):
+        ingest.drain(stateful.sessions_stream(stream, "e", "ts", "id"), out, str(tmp_path / "cp"))
+    assert {r["id"]: r["session_id"] for r in spark.read.parquet(out).collect()} == {"r0": 0, "r1700": 0, "r100": 0, "r2000": 0, "r9000": 1}
+
+
+def test_escapes_in_structured_data(spark):
+    line = r'<165>1 2026-01-07T10:00:04Z h app - - [m@1 a="x\"y\\z\] w" b="2"][n c=""] the message'
+    r = syslog.parse_lines(spark.createDataFrame([(line,)], "value string"), "value", 2026).first()["parsed"]
+    assert r["sd"] == {"m@1.a": 'x"y\\z] w', "m@1.b": "2", "n.c": ""} and r["message"] == "the message"
+
+
 def test_growing_files_ranges(tmp_path):
     f = tmp_path / "a.log"
     f.write_bytes(b"one\n\ntwo two\r\nthree\nhalf")
