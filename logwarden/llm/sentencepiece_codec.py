@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -48,9 +49,13 @@ def build(model: Model) -> Tokenizer:
 
 
 class Codec:
-    """Ids of pretokens, each encoded, decoded and verified once and remembered in flat arrays."""
+    """Ids of pretokens, each encoded, decoded and verified once and remembered in flat arrays.
 
-    def __init__(self, data: bytes, threads: int):
+    When ``held`` pretokens are known, further ones are encoded for one call and forgotten, as the most
+    frequent are met first.
+    """
+
+    def __init__(self, data: bytes, threads: int, held: int):
         from sentencepiece import SentencePieceProcessor
 
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
@@ -58,15 +63,12 @@ class Codec:
         model = parse(data)
         check_cuts(model)
         self.mark = model.pieces.index(SPACE_MARK)
-        self.tokenizer, self.reference, self.threads = build(model), SentencePieceProcessor(model_proto=data), threads
-        self.clear()
-
-    def clear(self) -> None:
+        self.tokenizer, self.reference, self.threads, self.held = build(model), SentencePieceProcessor(model_proto=data), threads, held
         self.place: dict[str, int] = {}
         self.ids, self.starts, self.sizes, self.same, self.back = (np.zeros(0, t) for t in (np.int32, np.int64, np.int64, bool, bool))
 
     def learn(self, words: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         want = self.reference.encode(words, num_threads=self.threads)
         if "" in words:  # a space at the end of a text: the mark alone, while an empty text has no dummy prefix
             got[words.index("")] = want[words.index("")] = [self.mark]
@@ -82,6 +84,7 @@ class Codec:
         """Per text: ids, whether both libraries agree, whether decoding gives the text."""
         cut = [pretokens(t) for t in texts]
         new = list(set().union(*cut) - self.place.keys())
+        before, ids_before = len(self.place), len(self.ids)
         for i in range(0, len(new), 20_000):
             self.learn(new[i : i + 20_000])
         ids, same, back = [], [], []
@@ -91,10 +94,21 @@ class Codec:
             ids.append(self.ids[np.arange(size.sum()) + np.repeat(self.starts[at] - np.cumsum(size) + size, size)])
             same.append(bool(self.same[at].all()))
             back.append(bool(self.back[at].all()) and SPACE_MARK not in text)
+        if len(self.place) > self.held:
+            for word in new:
+                del self.place[word]
+            self.ids = self.ids[:ids_before].copy()
+            self.starts, self.sizes, self.same, self.back = (x[:before].copy() for x in (self.starts, self.sizes, self.same, self.back))
         return ids, same, back
 
 
-def encode_decode(docs: DataFrame, model_path: str, threads: int = 2, held: int = 200_000, text: str = "text", key: str = "doc_id") -> DataFrame:
+@lru_cache(maxsize=1)
+def codec_of(data: bytes, threads: int, held: int) -> Codec:
+    """The codec of a worker process, which keeps what it has learned from one task to the next."""
+    return Codec(data, threads, held)
+
+
+def encode_decode(docs: DataFrame, model_path: str, threads: int = 2, held: int = 400_000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, ids, parity, round_trip, for a SentencePiece model file.
 
     Whole texts are cut into pretokens, and every pretoken is encoded by the tokenizers library in
@@ -107,10 +121,8 @@ def encode_decode(docs: DataFrame, model_path: str, threads: int = 2, held: int
         data = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(data.value, threads)
+        codec = codec_of(data.value, threads, held)
         for part in (s for batch in batches for s in text_slices(batch, 1)):
-            if len(codec.place) > held:
-                codec.clear()
             ids, same, back = codec.encode([t or "" for t in part.column(1).to_pylist()])
             sizes = np.fromiter(map(len, ids), np.int32, len(ids))
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.concatenate(ids)))

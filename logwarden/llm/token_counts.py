@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +117,12 @@ def first_of(take: np.ndarray, seq: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def merger_of(data: bytes) -> tuple[Merger, dict[str, int]]:
+    """The merger of a worker process and the counts it knows, which stay from one task to the next."""
+    return Merger(parse(data)), {}
+
+
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, held: int = 500_000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit, for a BPE model file of SentencePiece.
 
@@ -127,17 +134,18 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, held: int
         data = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger, known = Merger(parse(data.value)), {}
+        merger, known = merger_of(data.value)
         for batch in (s for b in batches for s in text_slices(b, 1)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
             cut = [pretokens(t) for t in texts]
-            if len(known) > held:
-                known = {}
             new = list(set().union(*cut) - known.keys())
             for i in range(0, len(new), 20_000):
                 known.update(zip(new[i : i + 20_000], merger.counts(new[i : i + 20_000]).tolist()))
             tokens = [sum(map(known.__getitem__, words)) for words in cut]
+            if len(known) > held:  # the most frequent are met first and stay
+                for word in new:
+                    del known[word]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
                                              names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
