@@ -57,6 +57,13 @@ def classify(df: DataFrame, model: PipelineModel | None) -> DataFrame:
     if model is None:
         return df.withColumns({"classification": F.lit("Unknown"), "class_confidence": F.lit(0.0),
                                "class_probabilities": F.create_map().cast("map<string,double>")})
+    if not (isinstance(model, PipelineModel) and len(model.stages) == 4 and hasattr(model.stages[3], "getLabels")):
+        # Any other model: its transform gives the classification, and the rest where it can.
+        out = model.transform(df)
+        if "classification" not in out.columns:
+            raise ValueError("a classifier must add a column classification")
+        absent = {"class_confidence": F.lit(1.0), "class_probabilities": F.create_map(F.col("classification"), F.lit(1.0))}
+        return out.withColumns({n: c for n, c in absent.items() if n not in out.columns})
     features = feature_list(model)
     inputs = df.select("*", *[(cleaned(f) if f in df.columns else F.lit(0.0)).alias(f"_f{i}") for i, f in enumerate(features)])
     assembler = VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="_features")

@@ -49,12 +49,17 @@ def train(labelled: DataFrame, features: list[str], record: str = "record_id", t
 
 
 def score(df: DataFrame, models: Models, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
-    """Model outputs and ensemble columns; without a model its output is 0 or 'Unknown'."""
+    """Model outputs and ensemble columns; without a model its output is 0 or 'Unknown'.
+
+    Any object with ``transform`` serves: a detector adds ``anomaly_score`` from 0 to 1, a classifier
+    ``classification`` and, if it can, ``class_confidence`` and ``class_probabilities``.
+    """
     forest = models.isolation_forest
     if forest is None:
         df = df.withColumn("anomaly_score", F.lit(0.0))
     else:
-        names = forest.getOrDefault(forest.features)
+        # Features that the frame lacks count as 0; a foreign detector need not name its own.
+        names = forest.getOrDefault(forest.features) if isinstance(forest, IsolationForestModel) else []
         absent = {n: F.lit(0.0) for n in names if n not in df.columns}
         df = forest.transform(df.withColumns(absent) if absent else df).drop(*absent)
     return ensemble.score(classify(df, models.random_forest), config=config.scoring)

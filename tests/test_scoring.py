@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from logwarden.models import metrics, random_forest
 from logwarden.models.isolation_forest import IsolationForest, IsolationForestModel
 from logwarden.operators import alerts, drift, ensemble, feedback, labels, reports
-from logwarden.plans.analysis import AnalysisConfig, Models, analyze
+from logwarden.plans.analysis import AnalysisConfig, Models, analyze, score
 from logwarden.plans.features import FeatureConfig, build_features, definitions
 
 CASES = [
@@ -164,3 +164,20 @@ def test_features_and_analysis(spark, skewed, tmp_path):
     results, found = analyze(records, Models.load(str(tmp_path / "models")), AnalysisConfig(features=config))
     assert set(r[0] for r in results.select("classification").distinct().collect()) == {"Malware", "Benign"}
     assert results.count() > 0 and found.count() == results.where("requires_alert").count()
+
+
+def test_foreign_models_plug_in(spark):
+    class Detector:
+        def transform(self, df):
+            return df.withColumn("anomaly_score", F.when(F.col("bytes_total") > 100, 0.9).otherwise(0.1))
+
+    class Classifier:
+        def transform(self, df):
+            return df.withColumn("classification", F.when(F.col("bytes_total") > 100, "Malware").otherwise("Benign"))
+
+    df = spark.createDataFrame([(1, 500.0), (2, 5.0)], "record_id long, bytes_total double")
+    rows = {r["record_id"]: r for r in score(df, Models(Detector(), Classifier())).collect()}
+    assert (rows[1]["classification"], rows[1]["anomaly_score"], rows[1]["class_confidence"]) == ("Malware", 0.9, 1.0)
+    assert rows[1]["combined_risk_score"] > rows[2]["combined_risk_score"]
+    with pytest.raises(ValueError):
+        score(df, Models(Detector(), Detector()))
