@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
-from logwarden.llm.common import small_or_shuffled, text_slices
+from logwarden.llm.common import text_slices
 from logwarden.session import cut_lineage
 
 # Elements of HTML by the part they play.
@@ -44,6 +44,7 @@ TEXTUAL = "blockquote|caption|code|dd|dt|figcaption|h[1-6]|li|p|pre|q|td|th|tr"
 
 NAME = re.compile(r"[a-z]+")
 SEPARATOR = ">"
+MOST_BROADCAST = 16_000_000  # characters
 IN_MAIN = re.compile("(^|>)(article|main|[^>]*\\[main\\])(\\.[^>]*)?>")
 
 
@@ -234,5 +235,7 @@ def extract(pages: DataFrame, p: StyleTree = StyleTree(), html: str = "html", ur
     low = importance(pages, p, html, url).where((F.col("score") < p.least) & (F.col("m") >= p.pages))
     low = low.where(~F.col("path").rlike(f"(^|{SEPARATOR})({TEXTUAL}|article|body|html|main)(\\.[^{SEPARATOR}]*)?$"))
     noise = cut_lineage(low.groupBy(F.col("host").alias("__host")).agg(F.collect_set("path").alias("__noise")), "page-noise")
-    named = pages.withColumn("__of", host(F.col(url))).join(small_or_shuffled(noise, 10_000), F.col("__of") == F.col("__host"), "left")
+    # The list of all sites is broadcast if its text was measured to be small.
+    size = noise.agg(F.sum(F.length(F.array_join("__noise", "")) + F.length("__host") + 100)).first()[0] or 0
+    named = pages.withColumn("__of", host(F.col(url))).join(F.broadcast(noise) if size <= MOST_BROADCAST else noise, F.col("__of") == F.col("__host"), "left")
     return named.withColumn(into, main_text(F.col(html).cast("string"), F.col("__noise"))).drop("__of", "__host", "__noise")
