@@ -208,7 +208,8 @@ def across(tokens: DataFrame, p: NearDups) -> DataFrame:
     (|D(x)| + |D(y)| - R) / 2.  One of them, x, is not linked with h and so has more than
     r (|x| + |h|) departures: the two share more than (|D(y)| + r (|h| - |y|)) / 2.  As |D(x)| and |D(y)|
     differ by R at most, they also share at least |D(x)| - R and |D(y)| - R.  Hence, with departures
-    ordered by how few members have them, the first |D| + 1 less that number of each hold a common one.
+    ordered by how few members have them, the first |D| + 1 less that number of each hold a common one,
+    the first of all common ones, and enough must follow it in both.
     """
     r = (100 - p.percent) / (100 + p.percent)
     counts = tokens.groupBy("hub", "token").agg(F.count("*").alias("among"), F.max("odd").alias("sought"))
@@ -217,10 +218,14 @@ def across(tokens: DataFrame, p: NearDups) -> DataFrame:
     widest = F.col("n") - r * F.col("size") * (1 + 100 / p.percent)
     as_any = F.col("n") - F.floor(F.greatest((F.col("n") + r * (F.col("hub_size") - F.col("size"))) / 2, widest) - 1e-6)
     as_odd = F.col("n") - F.floor(F.greatest(F.lit(0.0), widest) - 1e-6)
-    index = ranked.where(F.col("place") <= as_any).select("hub", "token", "fp", "c", "size", "n")
-    probe = ranked.where(F.col("odd") & (F.col("place") <= as_odd)).select("hub", "token", *[F.col(v).alias(f"{v}_x") for v in ("fp", "c", "size", "n")])
+    names = ("fp", "c", "size", "n", "place")
+    index = ranked.where(F.col("place") <= as_any).select("hub", "token", *names)
+    probe = ranked.where(F.col("odd") & (F.col("place") <= as_odd)).select("hub", "token", *[F.col(v).alias(f"{v}_x") for v in names])
+    # If this shingle is their first common one, no more than what follows in either can be common.
+    after = 1 + F.least(F.col("n") - F.col("place"), F.col("n_x") - F.col("place_x"))
     fits = ((F.col("c") != F.col("c_x")) & (100 * F.least("size", "size_x") >= p.percent * F.greatest("size", "size_x"))
-            & (F.abs(F.col("n") - F.col("n_x")) <= r * (F.col("size") + F.col("size_x")) + 1e-6))
+            & (F.abs(F.col("n") - F.col("n_x")) <= r * (F.col("size") + F.col("size_x")) + 1e-6)
+            & (2 * after >= F.col("n") + F.col("n_x") - r * (F.col("size") + F.col("size_x")) - 1e-6))
     return index.join(probe, ["hub", "token"]).where(fits).select(F.least("fp", "fp_x").alias("a"), F.greatest("fp", "fp_x").alias("b")).distinct()
 
 
