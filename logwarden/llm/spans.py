@@ -23,7 +23,8 @@ NO_ID = 2**63 - 1
 @dataclass(frozen=True)
 class Spans:
     """A span starts at every sentence and ends with the first by which it has ``sentences``
-    sentences and ``least_words`` words, or ``words`` words.  The second rule lets long sentences repeat alone,
+    sentences and ``least_words`` words, or ``words`` words; read backwards, one ends at every sentence.  Every longer
+    run is made of such spans to its first and last sentence.  The second rule lets long sentences repeat alone,
     the third keeps a few very short ones from counting as a repeat."""
 
     sentences: int = 3
@@ -40,15 +41,30 @@ def runs(text: str, p: Spans) -> Iterator[tuple[int, int, bytes]]:
             place.append(i)
             size.append(len(words))
             mark.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")))
+    def enough(sentences: int, total: int) -> bool:
+        return total >= p.words or (sentences >= p.sentences and total >= p.least_words)
+
+    def span(i: int, j: int) -> tuple[int, int, bytes]:
+        return place[i], place[j - 1] + 1, xxhash.xxh3_128_digest(b"".join(mark[i:j]))
+
     j = total = 0
+    ends = []
     for i in range(len(place)):
-        while j < len(place) and not (total >= p.words or (j - i >= p.sentences and total >= p.least_words)):
+        while j < len(place) and not enough(j - i, total):
             total += size[j]
             j += 1
-        if total < p.words and not (j - i >= p.sentences and total >= p.least_words):
-            return
-        yield place[i], place[j - 1] + 1, xxhash.xxh3_128_digest(b"".join(mark[i:j]))
+        if not enough(j - i, total):
+            break
+        ends.append(j)
+        yield span(i, j)
         total -= size[i]
+    # The shortest span to end at j starts at the last i whose own shortest span ends by j.
+    i = -1
+    for j in range(1, len(place) + 1):
+        while i + 1 < len(ends) and ends[i + 1] <= j:
+            i += 1
+        if i >= 0 and ends[i] < j:
+            yield span(i, j)
 
 
 def spans(docs: DataFrame, p: Spans, text: str, key: str) -> DataFrame:

@@ -63,3 +63,37 @@ def test_one_long_sentence_repeats_alone_but_short_ones_do_not(spark):
 
 def test_empty_table(spark):
     assert substring_dedup(odd_docs(spark, [])).collect() == []
+
+
+def brute_any_run(rows, p=Spans()):
+    """A sentence goes if any run with it, of any length that meets the rule, was found earlier."""
+    seen, out = set(), []
+    for d, text in rows:
+        parts = SENTENCE.findall(text)
+        at = [i for i, s in enumerate(parts) if s.split()]
+        gone = set()
+        for i in range(len(at)):
+            for j in range(i + 1, len(at) + 1):
+                run = tuple(tuple(parts[k].split()) for k in at[i:j])
+                n = sum(map(len, run))
+                if n >= p.words or j - i >= p.sentences and n >= p.least_words:
+                    if run in seen:
+                        gone.update(range(at[i], at[j - 1] + 1))
+                    seen.add(run)
+        out.append((d, "".join(s for i, s in enumerate(parts) if i not in gone)))
+    return sorted(out, key=str)
+
+
+def test_sentences_at_the_end_of_a_repeated_passage_go(spark):
+    rng = random.Random(9)
+    passage = " ".join(sentence(rng, n) for n in (30, 12, 12))
+    rows = [(i, f"{sentence(rng, 9)} {passage} {sentence(rng, 20)}") for i in range(2)]
+    out = dict(got(substring_dedup(odd_docs(spark, rows))))
+    assert out[0] == rows[0][1] and passage.split(". ")[2] not in out[1] and out[1] == rows[1][1].replace(passage + " ", "")
+
+
+def test_equals_brute_force_over_runs_of_any_length(spark):
+    rng = random.Random(10)
+    shared = [" ".join(sentence(rng, rng.choice([2, 5, 12, 18, 30])) for _ in range(rng.randint(1, 5))) for _ in range(8)]
+    rows = [(i, " ".join(x for _ in range(4) for x in (sentence(rng, rng.choice([3, 9, 24])), rng.choice(shared)))) for i in range(60)]
+    assert got(substring_dedup(odd_docs(spark, rows))) == brute_any_run(rows)
