@@ -29,7 +29,8 @@ COMMON = 2.3
 class Retrieval:
     """``stride`` words make a passage, two passages in a row a window.  ``buckets`` bounds the hashed
     vocabulary, ``rank`` the latent space, ``block`` the benchmark items held by each task at
-    once; more items are searched block by block.  A window is a candidate at ``cosine``.  A
+    once; more items are searched block by block.  Item passages that keep less than ``kept`` of their length in
+    the latent space are compared by all their words instead.  A window is a candidate at ``cosine``.  A
     candidate is a leak if the matched words, weighted by rarity and in order, have a share of
     ``verbatim`` of the item, or of ``paraphrase`` when its answer (last sentence) has ``answer``."""
 
@@ -39,6 +40,7 @@ class Retrieval:
     oversample: int = 16
     power: int = 2
     block: int = 4096
+    kept: float = 0.9
     cosine: float = 0.2
     verbatim: float = 0.6
     paraphrase: float = 0.4
@@ -179,8 +181,9 @@ def search(docs: DataFrame, held, p: Retrieval, text: str, key: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(False, WORD_BYTES)
-        idf, row_of, basis, latent, items, of_passage = held.value
+        idf, row_of, basis, latent, items, of_passage, whole = held.value
         seek = sought(idf)
+        n_whole = len(of_passage) - len(latent)
         for batch in (s for b in batches for s in text_slices(b, 2, 1 << 19)):
             found = []
             block = lowered(batch.column(2))
@@ -204,25 +207,36 @@ def search(docs: DataFrame, held, p: Retrieval, text: str, key: str) -> DataFram
             z[more] += z[more + 1]
             mass[more] += mass[more + 1]
             # Repeats within a window are left out of its norm, so that its cosine is never too small.
-            score = z @ latent.T / np.sqrt(mass).clip(1e-9)[:, None]
+            z /= np.sqrt(mass).clip(1e-9)[:, None]
+            of_word = np.searchsorted(unit, np.arange(n + 1))
             sure = set()
-            for window, q in np.argwhere(score >= p.cosine).tolist():
-                t, item = int(text_of[window]), of_passage[q]
-                if (t, item) in sure:
-                    continue
-                body, weights, answer = items[item]
-                head = int(np.searchsorted(unit, window))
-                region = words[max(at[t], head - len(body)) : min(at[t + 1], head + 2 * p.stride + len(body))]
-                if weights[(body[:, None] == region).any(axis=1)].sum() < p.paraphrase * weights.sum():
-                    continue  # not even out of order
-                share = weighted_lcs(body, weights, region) / weights.sum()
-                if share >= p.paraphrase:
-                    tail = slice(answer, None)
-                    told = weighted_lcs(body[tail], weights[tail], region) / weights[tail].sum()
-                    if share >= p.verbatim or told >= p.answer:
-                        found.append((t, item, float(score[window, q]), share, told))
-                        if share >= p.verbatim:
-                            sure.add((t, item))
+            for i in range(0, n, 256):
+                j = min(i + 256, n)
+                score = z[i:j] @ latent.T
+                if n_whole:
+                    # A passage more than asked for, as windows reach into the next one.
+                    here = slice(of_word[i], of_word[min(j + 1, n)])
+                    full = whole.dots(buck[here], unit[here] - i, weight[here], min(j + 1, n) - i, n_whole)
+                    both = more[(more >= i) & (more < j)] - i
+                    full[both] += full[both + 1]
+                    score = np.hstack([score, full[: j - i] / np.sqrt(mass[i:j]).clip(1e-9)[:, None]])
+                for window, q in np.argwhere(score >= p.cosine).tolist():
+                    t, item = int(text_of[i + window]), of_passage[q]
+                    if (t, item) in sure:
+                        continue
+                    body, weights, answer = items[item]
+                    head = int(of_word[i + window])
+                    region = words[max(at[t], head - len(body)) : min(at[t + 1], head + 2 * p.stride + len(body))]
+                    if weights[(body[:, None] == region).any(axis=1)].sum() < p.paraphrase * weights.sum():
+                        continue  # not even out of order
+                    share = weighted_lcs(body, weights, region) / weights.sum()
+                    if share >= p.paraphrase:
+                        tail = slice(answer, None)
+                        told = weighted_lcs(body[tail], weights[tail], region) / weights[tail].sum()
+                        if share >= p.verbatim or told >= p.answer:
+                            found.append((t, item, float(score[window, q]), share, told))
+                            if share >= p.verbatim:
+                                sure.add((t, item))
             at_row = pa.array([f[0] for f in found], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at_row), batch.column(1).take(at_row), pa.array([f[1] for f in found], pa.int64()),
@@ -233,6 +247,25 @@ def search(docs: DataFrame, held, p: Retrieval, text: str, key: str) -> DataFram
     return rows.groupBy("doc_id", "row_key", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"), F.max("answer").alias("answer"))
 
 
+class Postings:
+    """Vectors of item passages by bucket, for dot products with all their words."""
+
+    def __init__(self, idx: list, val: list, buckets: int):
+        bucket = np.concatenate(idx).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        self.row = np.repeat(np.arange(len(idx)), [len(x) for x in idx]).astype(np.int32)[order]
+        self.val = np.concatenate(val).astype(np.float32)[order]
+        self.at = np.searchsorted(bucket[order], np.arange(buckets + 1)).astype(np.int64)
+
+    def dots(self, bucket: np.ndarray, unit: np.ndarray, weight: np.ndarray, n: int, width: int) -> np.ndarray:
+        """(n, width): per unit the sum over its words."""
+        first, size = self.at[bucket], self.at[bucket + 1] - self.at[bucket]
+        size = np.where(weight > 0, size, 0)
+        place = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+        cell = np.repeat(unit * width, size) + self.row[place]
+        return np.bincount(cell, np.repeat(weight, size) * self.val[place], n * width).reshape(n, width).astype(np.float32)
+
+
 def pieces(starts: np.ndarray, end: int, most: int = 256) -> Iterator[tuple[int, int, int, int]]:
     """Groups of up to ``most`` windows with the range of their words."""
     for i in range(0, len(starts), most):
@@ -266,8 +299,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Retrieval = Retrieval(), tex
         if not len(listed_vectors):
             continue
         latent = np.vstack([np.array(v, np.float32) @ basis[row_of[i]] for i, v in zip(listed_vectors.idx, listed_vectors.val)])
-        latent /= np.linalg.norm(latent, axis=1, keepdims=True).clip(1e-9)
-        held = spark.sparkContext.broadcast((idf, row_of, basis, latent, item_words(block.toPandas(), idf, p), listed_vectors["item"].tolist()))
+        length = np.linalg.norm(latent, axis=1)
+        near, lossy = np.flatnonzero(length >= p.kept), np.flatnonzero(length < p.kept)
+        latent = latent[near] / length[near, None]
+        whole = Postings([listed_vectors.idx[i] for i in lossy], [listed_vectors.val[i] for i in lossy], p.buckets) if len(lossy) else None
+        of_passage = listed_vectors["item"].to_numpy()[np.r_[near, lossy]].tolist()
+        held = spark.sparkContext.broadcast((idf, row_of, basis, latent, item_words(block.toPandas(), idf, p), of_passage, whole))
         parts.append(search(docs, held, p, text, key))
     out = parts[0] if parts else spark.createDataFrame([], "doc_id long, row_key long, item_id long, cosine double, lcs double, answer double")
     for more in parts[1:]:

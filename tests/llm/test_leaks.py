@@ -83,3 +83,23 @@ def test_odd_rows_and_items(spark):
 def test_empty_tables(spark):
     assert leaks(odd_docs(spark, []), bench(spark, [(1, "some words of an item that is not there")])).collect() == []
     assert leaks(odd_docs(spark), bench(spark, [])).collect() == []
+
+
+def test_copies_of_one_of_thousands_of_independent_items_are_found(spark):
+    """Exact TF-IDF search with the LCS finds all copies; the latent space holds few of so many items."""
+    rng = random.Random(11)
+    for n in (1000, 4096):
+        items = [(i, " ".join(f"w{rng.randrange(60_000)}" for _ in range(rng.randint(20, 60)))) for i in range(n)]
+        rows, truth = [], set()
+        for d in range(150):
+            text = [f"w{rng.randrange(60_000)}" for _ in range(rng.randint(60, 200))]
+            item = rng.randrange(n)
+            copy = items[item][1].split()
+            if d % 3 == 0:
+                copy = [f"w{rng.randrange(60_000)}" if rng.random() < 0.3 else w for w in copy]
+            at = rng.randrange(len(text))
+            rows.append((d, " ".join(text[:at] + copy + text[at:])))
+            truth.add((d, item))
+        found = {(r.doc_id, r.item_id) for r in leaks(odd_docs(spark, rows), bench(spark, items)).collect()}
+        assert found <= truth and len(found) >= 0.9 * len(truth), (n, len(found))
+        assert {(d, i) for d, i in truth if d % 3} <= found
