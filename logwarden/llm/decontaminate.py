@@ -84,7 +84,7 @@ def document_frequency(docs: DataFrame, p: Retrieval, text: str) -> np.ndarray:
 
 
 def sought(idf: np.ndarray) -> np.ndarray:
-    """Weights for the search: words that lie in over a tenth of all passages, and in over 50, count nothing."""
+    """Weights for the search: words that lie in over a tenth of all passages, and in over 50, count nothing, save in passages made of them."""
     return np.where(idf > COMMON, idf, 0).astype(np.float32)
 
 
@@ -98,7 +98,10 @@ def passages(at: np.ndarray, size: int) -> tuple[np.ndarray, int]:
 
 
 def item_passages(items: DataFrame, idf, p: Retrieval, text: str, key: str) -> DataFrame:
-    """(item, part, idx, val): unit TF-IDF vectors of the passages of every item, cut evenly."""
+    """(item, part, idx, val): unit TF-IDF vectors of the passages of every item, cut evenly.
+
+    A passage of which over three quarters count nothing for the search has a vector of those words as well, with part -1 - part.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, weights = WordHasher(False, WORD_BYTES), sought(idf.value)
@@ -114,6 +117,9 @@ def item_passages(items: DataFrame, idf, p: Retrieval, text: str, key: str) -> D
                         val = n * weights[idx]
                         if val.any():
                             rows.append((ids[k], part, idx[val > 0], val[val > 0] / np.linalg.norm(val)))
+                        if 4 * n[val > 0].sum() < len(piece):
+                            val = n * np.where(val > 0, 0, idf.value[idx])
+                            rows.append((ids[k], -1 - part, idx[val > 0], val[val > 0] / np.linalg.norm(val)))
             yield pa.RecordBatch.from_pydict({"item": pa.array([r[0] for r in rows], pa.int64()), "part": pa.array([r[1] for r in rows], pa.int32()),
                                               "idx": pa.array([r[2] for r in rows], pa.list_(pa.int64())),
                                               "val": pa.array([r[3].tolist() for r in rows], pa.list_(pa.float32()))})
@@ -181,7 +187,7 @@ def search(docs: DataFrame, held, p: Retrieval, text: str, key: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(False, WORD_BYTES)
-        idf, row_of, basis, latent, items, of_passage, whole = held.value
+        idf, row_of, basis, latent, items, of_passage, whole, common = held.value
         seek = sought(idf)
         n_whole = len(of_passage) - len(latent)
         for batch in (s for b in batches for s in text_slices(b, 2, 1 << 19)):
@@ -197,6 +203,7 @@ def search(docs: DataFrame, held, p: Retrieval, text: str, key: str) -> DataFram
             buck = bucket(words, p)
             weight = seek[buck]
             mass = np.bincount(unit, weight**2, n)
+            rest = np.bincount(unit, np.where(weight > 0, 0, idf[buck]) ** 2, n)  # of the common words, for items made of them
             known = (row_of[buck] >= 0) & (weight > 0)
             u, r, v = unit[known], row_of[buck[known]], weight[known]
             starts = np.flatnonzero(np.r_[True, u[1:] != u[:-1]]) if len(u) else np.zeros(0, int)
@@ -206,6 +213,7 @@ def search(docs: DataFrame, held, p: Retrieval, text: str, key: str) -> DataFram
             more = np.flatnonzero(text_of[:-1] == text_of[1:])
             z[more] += z[more + 1]
             mass[more] += mass[more + 1]
+            rest[more] += rest[more + 1]
             # Repeats within a window are left out of its norm, so that its cosine is never too small.
             z /= np.sqrt(mass).clip(1e-9)[:, None]
             of_word = np.searchsorted(unit, np.arange(n + 1))
@@ -216,10 +224,10 @@ def search(docs: DataFrame, held, p: Retrieval, text: str, key: str) -> DataFram
                 if n_whole:
                     # A passage more than asked for, as windows reach into the next one.
                     here = slice(of_word[i], of_word[min(j + 1, n)])
-                    full = whole.dots(buck[here], unit[here] - i, weight[here], min(j + 1, n) - i, n_whole)
+                    full = whole.dots(buck[here], unit[here] - i, idf[buck[here]], min(j + 1, n) - i, n_whole)
                     both = more[(more >= i) & (more < j)] - i
                     full[both] += full[both + 1]
-                    score = np.hstack([score, full[: j - i] / np.sqrt(mass[i:j]).clip(1e-9)[:, None]])
+                    score = np.hstack([score, full[: j - i] / np.sqrt(np.where(common, rest[i:j, None], mass[i:j, None])).clip(1e-9)])
                 for window, q in np.argwhere(score >= p.cosine).tolist():
                     t, item = int(text_of[i + window]), of_passage[q]
                     if (t, item) in sure:
@@ -260,7 +268,6 @@ class Postings:
     def dots(self, bucket: np.ndarray, unit: np.ndarray, weight: np.ndarray, n: int, width: int) -> np.ndarray:
         """(n, width): per unit the sum over its words."""
         first, size = self.at[bucket], self.at[bucket + 1] - self.at[bucket]
-        size = np.where(weight > 0, size, 0)
         place = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
         cell = np.repeat(unit * width, size) + self.row[place]
         return np.bincount(cell, np.repeat(weight, size) * self.val[place], n * width).reshape(n, width).astype(np.float32)
@@ -280,8 +287,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Retrieval = Retrieval(), tex
     Every whole text is searched in overlapping windows; case and punctuation don't count.  Texts and
     items without words (null, empty) find nothing, items without item_id are left out, rows without
     doc_id are reported with a null id.  Rows of repeated documents share one result row.  Items that repeat an
-    item_id are searched as one item by the first of their texts in order.  An item made of words alone that are
-    in over a tenth of all passages can't be told from other text and is not found.  Empty tables give no rows.
+    item_id are searched as one item by the first of their texts in order.  Item passages made of words
+    that are in over a tenth of all passages, as leaks themselves can make them, are compared by those words.  Empty tables give no rows.
     """
     spark = docs.sparkSession
     listed = benchmark.where(F.col(item_key).isNotNull()).groupBy(F.col(item_key).cast("long").alias("item_id")).agg(F.min(item_text).alias("text"))
@@ -292,19 +299,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Retrieval = Retrieval(), tex
     for b in range(n_blocks):
         block = listed.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b) if n_blocks > 1 else listed
         vectors = cut_lineage(item_passages(block, shared, p, "text", "item_id"), "leak-items")
-        where, basis = randomised_svd(vectors, p)
+        where, basis = randomised_svd(vectors.where("part >= 0"), p)
         row_of = np.full(p.buckets, -1, np.int32)
         row_of[where] = np.arange(len(where))
         listed_vectors = vectors.toPandas()  # of the block's items only
         if not len(listed_vectors):
             continue
-        latent = np.vstack([np.array(v, np.float32) @ basis[row_of[i]] for i, v in zip(listed_vectors.idx, listed_vectors.val)])
+        common = listed_vectors.part.to_numpy() < 0
+        latent = np.zeros((len(common), basis.shape[1]), np.float32)
+        for i in np.flatnonzero(~common):
+            latent[i] = np.array(listed_vectors.val[i], np.float32) @ basis[row_of[listed_vectors.idx[i]]]
         length = np.linalg.norm(latent, axis=1)
         near, lossy = np.flatnonzero(length >= p.kept), np.flatnonzero(length < p.kept)
         latent = latent[near] / length[near, None]
         whole = Postings([listed_vectors.idx[i] for i in lossy], [listed_vectors.val[i] for i in lossy], p.buckets) if len(lossy) else None
         of_passage = listed_vectors["item"].to_numpy()[np.r_[near, lossy]].tolist()
-        held = spark.sparkContext.broadcast((idf, row_of, basis, latent, item_words(block.toPandas(), idf, p), of_passage, whole))
+        held = spark.sparkContext.broadcast((idf, row_of, basis, latent, item_words(block.toPandas(), idf, p), of_passage, whole, common[lossy]))
         parts.append(search(docs, held, p, text, key))
     out = parts[0] if parts else spark.createDataFrame([], "doc_id long, row_key long, item_id long, cosine double, lcs double, answer double")
     for more in parts[1:]:

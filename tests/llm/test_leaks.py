@@ -103,3 +103,12 @@ def test_copies_of_one_of_thousands_of_independent_items_are_found(spark):
         found = {(r.doc_id, r.item_id) for r in leaks(odd_docs(spark, rows), bench(spark, items)).collect()}
         assert found <= truth and len(found) >= 0.9 * len(truth), (n, len(found))
         assert {(d, i) for d, i in truth if d % 3} <= found
+
+
+def test_an_item_in_a_third_of_all_rows_is_found_in_each(spark):
+    rng = random.Random(12)
+    item = sentence(rng, 24)
+    page = f"{sentence(rng, 20)} {item} {sentence(rng, 16)}"
+    rows = [(i, page if i % 3 == 0 else f"{prose(rng, 1)} {item} {prose(rng, 1)}" if i % 30 == 1 else prose(rng, 7)) for i in range(300)]
+    found = leaks(odd_docs(spark, rows), bench(spark, [(1, item), (2, sentence(rng, 20))])).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, 1) for i in range(300) if i % 3 == 0 or i % 30 == 1}
