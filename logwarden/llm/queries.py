@@ -10,13 +10,16 @@ import corpus_pipeline
 from logwarden.llm.chat import PERSPECTIVES_SQL, perspectives
 from logwarden.llm.common import table
 from logwarden.llm.decontaminate import leaks
+from logwarden.llm.mixing import mix
 from logwarden.llm.near_dups import NearDups, near_duplicates
 from logwarden.llm.pages import extract
+from logwarden.llm.periodic import periodic_runs, strongest, with_planted_periods
 from logwarden.llm.quality_gam import quality_scores
 from logwarden.llm.rules import quality_rules
 from logwarden.llm.sentencepiece_codec import encode_decode
 from logwarden.llm.shards import minimax_shards
 from logwarden.llm.spans import substring_dedup
+from logwarden.llm.spelling import occurrences, spelling_variants, with_planted_errors
 from logwarden.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +89,26 @@ def op4_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     return quality_scores(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels"))
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, d: str) -> DataFrame:
+    return spelling_variants(with_planted_errors(occurrences(table(spark, d, "documents").select("doc_id", "text"))))
+
+
+@query
+def op12_source_mixing(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    found = periodic_runs(with_planted_periods(table(spark, d, "documents").select("doc_id", "text"))).withColumn("best", strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    joined = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.*", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(joined, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 @query
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     return corpus_pipeline.run(spark, d)
