@@ -6,11 +6,10 @@ broadcasts a small profile and splits a skewed partition of a large join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from logwarden import constants as K
 from logwarden.functions.scalars import flag, safe_divide
-from logwarden.operators.runs import Measure, is_cold, make_runs, running
 
 
 def _entropy(n: Column, n_log_n: Column) -> Column:
@@ -31,42 +30,64 @@ def numeric_profile(df: DataFrame, entity: str, fields: list[str], prefix: str =
 
 def percentile_profile(df: DataFrame, entity: str, field: str, percents: list[int] | None = None,
                        prefix: str = "stat", approximate: bool = False) -> DataFrame:
-    """Percentiles per entity with linear interpolation.
+    """Percentiles of one field per entity, see :func:`percentile_profiles`."""
+    return percentile_profiles(df, entity, [field], percents, prefix, approximate)
 
-    Exact by default.  Entities small enough for one task use the built-in
-    aggregate.  If any entity is large, equal values are first counted and the
-    wanted ranks are then found in a running count that is cut into runs, so no
-    task ever holds an entity's values.  ``approximate`` uses a bounded sketch.
+
+def percentile_profiles(df: DataFrame, entity: str, fields: list[str], percents: list[int] | None = None, prefix: str = "stat",
+                        approximate: bool = False, accuracy: int = 5000, whole: int = 10_000) -> DataFrame:
+    """Percentiles of all fields per entity with linear interpolation; 0 where a field has no values.
+
+    Exact by default, in two scans whatever the number of fields and the size of entities.  The first
+    makes a mergeable quantile sketch per entity and field, which brackets every wanted rank by twice four times the sketch's
+    error.  The second counts values: those inside a bracket one by one, those between two brackets
+    together.  So an entity with n values sends about ``8 * n * percents / accuracy`` of them on, and not more than
+    ``whole`` if it has no more.  Should a rank fall outside its bracket the job fails; no wrong value is returned.
+    ``approximate`` returns the sketch's own values.
     """
     percents = K.PERCENTILES if percents is None else percents
-    rows = df.where(F.col(entity).isNotNull()).select(entity, F.col(field).cast("double").alias("_v"))
-    names = [f"{prefix}_{field}_p{p}" for p in percents]
     shares = [p / 100.0 for p in percents]
+    inner = [f"_v{i}" for i in range(len(fields))]
+    rows = df.where(F.col(entity).isNotNull()).select(entity, *[F.col(f).cast("double").alias(v) for f, v in zip(fields, inner)])
+    names = [[f"{prefix}_{f}_p{p}" for p in percents] for f in fields]
     if approximate:
-        sketch = rows.groupBy(entity).agg(F.percentile_approx("_v", shares, 10000).alias("_q"))
-        return sketch.select(entity, *[F.coalesce(F.get("_q", F.lit(i)), F.lit(0.0)).alias(n)
-                                       for i, n in enumerate(names)])
-    if is_cold(rows, [entity], ["_v"]):
-        exact = rows.groupBy(entity).agg(F.percentile("_v", F.array(*[F.lit(s) for s in shares])).alias("_q"))
-        return exact.select(entity, *[F.coalesce(F.get("_q", F.lit(i)), F.lit(0.0)).alias(n)
-                                      for i, n in enumerate(names)])
-    weights = rows.where(F.col("_v").isNotNull()).groupBy(entity, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    runs = make_runs(weights, [entity], ["_v"])
-    ranked = running(runs, Measure("_upto", "sum", F.col("_n"))).finish()
-    totals = weights.groupBy(entity).agg(F.sum("_n").alias("_all"))
-    placed = ranked.join(totals, entity)
+        sketch = rows.groupBy(entity).agg(*[F.percentile_approx(v, shares, 10000).alias(v) for v in inner])
+        return sketch.select(entity, *[F.coalesce(F.get(v, F.lit(i)), F.lit(0.0)).alias(n) for v, of in zip(inner, names) for i, n in enumerate(of)])
+    reach = 4.0 / accuracy
+    ends = [min(max(s + d, 0.0), 1.0) for s in shares for d in (-reach, reach)]
+    sketch = rows.groupBy(entity).agg(*[F.count(v).alias(f"{v}_n") for v in inner], *[F.percentile_approx(v, ends, accuracy).alias(f"{v}_q") for v in inner])
+    brackets = sketch.select(F.col(entity).alias("_of"), *[F.when(F.col(f"{v}_n") > whole, F.col(f"{v}_q")).alias(f"{v}_q") for v in inner])
+
+    def place(i: int, v: str):
+        """The value itself, or between brackets the end of the bracket below; ``between`` sorts those after the end itself."""
+        low, high = ([F.get(f"{v}_q", F.lit(2 * k + e)) for k in range(len(shares))] for e in (0, 1))
+        kept = F.col(f"{v}_q").isNull()
+        below = F.lit(float("-inf"))
+        for a, b in zip(low, high):
+            kept = kept | F.col(v).between(a, b)
+            below = F.greatest(below, F.when(F.col(v) > b, b))
+        return F.struct(F.lit(i).alias("field"), F.when(kept, F.col(v)).otherwise(below).alias("at"), (~kept).alias("between"), F.col(v).isNotNull().alias("is_value"))
+
+    # Field -1 stands for the entity itself, which may have no values at all.
+    entity_row = F.struct(F.lit(-1).alias("field"), F.lit(0.0).alias("at"), F.lit(False).alias("between"), F.lit(True).alias("is_value"))
+    each = F.explode(F.array(entity_row, *[place(i, v) for i, v in enumerate(inner)]))
+    placed = rows.join(brackets, F.col(entity) == F.col("_of")).select(entity, each.alias("p")).where("p.is_value")
+    counts = placed.groupBy(entity, "p.field", "p.at", "p.between").agg(F.count(F.lit(1)).alias("n"))
+    mine = W.partitionBy(entity, "field")
+    ranked = counts.withColumns({"upto": F.sum("n").over(mine.orderBy("at", "between")), "all": F.sum("n").over(mine)})
     picks = []
-    for s, n in zip(shares, names):
-        position = F.lit(s) * (F.col("_all") - 1)
-        for end, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            holds = (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))
-            picks.append(F.max(F.when(holds, F.col("_v"))).alias(f"{n}_{end}"))
-        picks.append(F.max(position - F.floor(position)).alias(f"{n}_at"))
-    found = placed.groupBy(entity).agg(*picks)
-    filled = rows.select(entity).distinct().join(found, entity, "left")
-    return filled.select(entity, *[
+    for i, of in enumerate(names):
+        for s, name in zip(shares, of):
+            position = F.lit(s) * (F.col("all") - 1)
+            for end, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
+                holds = (F.col("field") == i) & (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
+                value = F.when(F.col("between"), F.raise_error(F.lit("a percentile lies outside its bracket"))).otherwise(F.col("at"))
+                picks.append(F.max(F.when(holds, value)).alias(f"{name}_{end}"))
+            picks.append(F.max(F.when(F.col("field") == i, position - F.floor(position))).alias(f"{name}_at"))
+    found = ranked.groupBy(entity).agg(*picks)
+    return found.select(entity, *[
         F.coalesce(F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_at"), F.lit(0.0)).alias(n)
-        for n in names])
+        for of in names for n in of])
 
 
 def category_profile(df: DataFrame, entity: str, fields: list[str], prefix: str = "stat") -> DataFrame:

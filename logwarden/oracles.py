@@ -437,35 +437,50 @@ ORACLES: dict[str, str] = {
 }
 
 
-def _all_features() -> str:
-    """Every feature column from the operators' own SQL."""
+def _all_features(fitted: bool = False) -> str:
+    """Every feature column from the operators' own SQL; ``fitted`` on the events before a day and of the events since."""
     fields = ("dst_ip", "dst_port", "action", "protocol")
     cats = _entropy(fields[0], "en_" + fields[0]) + "".join(f" JOIN {_entropy(f, 'en_' + f)} USING (e)" for f in fields[1:])
     pick = ", ".join(f"c.en_{f}_u AS stat_{f}_unique, round(c.en_{f}, 6) AS stat_{f}_entropy" for f in fields)
     zero = ", ".join(f"0e0 AS stat_{f}_{n}" for f in ("bytes_in", "bytes_out") for n in ("mean", "std", "min", "max", "p25", "p50", "p75", "p95"))
     flags = lambda p: f"CAST({p} AS BIGINT)"
-    return SESS + f""",
+    day = "TIMESTAMP '2024-01-04 00:00:00'"
+    start = SESS.replace("\nev AS (", "\nevery AS (", 1).replace(",\np AS (", f",\nold AS (SELECT * FROM every WHERE ts < {day}), ev AS (SELECT * FROM every WHERE ts >= {day}),\np AS (", 1) if fitted else SESS
+    learned = "old" if fitted else "ev"
+    new = lambda v, n: (f"CAST(row_number() OVER (PARTITION BY src_ip, {v} ORDER BY ts, record_id) = 1 AND (src_ip, {v}) NOT IN (SELECT src_ip, {v} FROM old) AS BIGINT)"
+                        if fitted else "CAST(0 AS BIGINT)") + f" AS behav_is_new_{n}"
+    shares = ", ".join(f", coalesce(round((SELECT count(*) FROM old WHERE {part.format('old.ts')} = {at}) / CAST((SELECT count(*) FROM old) AS DOUBLE), 6), 0) AS time_{n}_share"
+                       for n, part, at in (("hour", "hour({})", "h"), ("dow", "isodow({}) - 1", "w"))).replace(", ,", ",") if fitted else ""
+    return start + f""",
 st AS (SELECT src_ip, count(*) AS stat_record_count, {_stat('ev', 'src_ip', ['bytes_total'], 6)}, {_pct('bytes_total', 6)} FROM ev GROUP BY 1),
 cat AS (SELECT * FROM {cats}),
-nt AS (SELECT src_ip, count(*) AS c, sum(bytes_total) / count(*) AS b, count(DISTINCT dst_ip) AS ui, count(DISTINCT dst_port) AS up,
-  avg(bytes_total) AS m1, coalesce(stddev_samp(bytes_total), 0) AS d1, avg(dst_port) AS m2, coalesce(stddev_samp(dst_port), 0) AS d2 FROM ev GROUP BY 1),
+nt AS (SELECT src_ip, count(*) AS c, sum(bytes_total) / count(*) AS b, count(DISTINCT dst_ip) AS ui, count(DISTINCT dst_port) AS up FROM ev GROUP BY 1),
+ld AS (SELECT src_ip, avg(bytes_total) AS m1, coalesce(stddev_samp(bytes_total), 0) AS d1, avg(dst_port) AS m2, coalesce(stddev_samp(dst_port), 0) AS d2 FROM {learned} GROUP BY 1),
+nw AS (SELECT record_id, {new('action', 'action')}, {new('dst_ip', 'destination')} FROM ev),
 tm AS (SELECT record_id, src_ip, hour(ts) AS h, isodow(ts) - 1 AS w, bytes_total AS v, dst_port AS port, lower(protocol) AS proto,
   coalesce(date_diff('microsecond', lag(ts) OVER (ORDER BY ts, record_id), ts), 0) / 1e6 AS dg,
   coalesce(date_diff('microsecond', lag(ts) OVER (PARTITION BY src_ip ORDER BY ts, record_id), ts), 0) / 1e6 AS de,
   count(*) OVER (PARTITION BY src_ip ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS eh FROM ev),
 z AS (SELECT tm.*, CASE WHEN d1 > 0 THEN (v - m1) / d1 ELSE 0 END AS z1, CASE WHEN d2 > 0 THEN (port - m2) / d2 ELSE 0 END AS z2,
-  c AS conns, b AS per, ui, up FROM tm JOIN nt USING (src_ip))
+  c AS conns, b AS per, ui, up FROM tm JOIN nt USING (src_ip) LEFT JOIN ld USING (src_ip))
 SELECT st.* EXCLUDE (src_ip), {zero}, {pick},
   round(sin(2 * pi() * h / 24), 6) AS time_hour_sin, round(cos(2 * pi() * h / 24), 6) AS time_hour_cos, round(sin(2 * pi() * w / 7), 6) AS time_dow_sin, round(cos(2 * pi() * w / 7), 6) AS time_dow_cos,
-  {flags('w >= 5')} AS time_is_weekend, {flags('h >= 9 AND h < 17 AND w < 5')} AS time_is_business_hours, round(de, 6) AS time_delta_entity_seconds, round(dg, 6) AS time_delta_global_seconds, eh AS time_events_per_hour,
-  ss.behav_session_id, ss.behav_events_in_session, round(ss.behav_session_duration_seconds, 6) AS behav_session_duration_seconds, CAST(0 AS BIGINT) AS behav_is_new_action, CAST(0 AS BIGINT) AS behav_is_new_destination,
+  {flags('w >= 5')} AS time_is_weekend, {flags('h >= 9 AND h < 17 AND w < 5')} AS time_is_business_hours, round(de, 6) AS time_delta_entity_seconds, round(dg, 6) AS time_delta_global_seconds, eh AS time_events_per_hour{shares},
+  ss.behav_session_id, ss.behav_events_in_session, round(ss.behav_session_duration_seconds, 6) AS behav_session_duration_seconds, nw.behav_is_new_action, nw.behav_is_new_destination,
   round(z1, 6) AS behav_bytes_total_zscore, {flags('abs(z1) > 2')} AS behav_bytes_total_is_anomalous, round(z2, 6) AS behav_dst_port_zscore, {flags('abs(z2) > 2')} AS behav_dst_port_is_anomalous,
   round((abs(z1) + abs(z2)) / 2, 6) AS behav_deviation_score,
   {flags('port < 1024')} AS net_dst_port_is_system, {flags(f"port IN ({', '.join(map(str, K.COMMON_PORTS))})")} AS net_dst_port_is_common, {flags('port >= 49152')} AS net_dst_port_is_dynamic,
   ui AS net_unique_dst_ips, up AS net_unique_dst_ports, round(c.en_dst_port, 6) AS net_dst_port_entropy, round(ui / CAST(conns AS DOUBLE), 6) AS net_fanout_ratio,
   {flags('ui / CAST(conns AS DOUBLE) > 0.8e0 AND ui > 10')} AS net_is_scanner_like, round(per, 6) AS net_bytes_per_conn, conns AS net_conn_count,
   {flags("proto = 'tcp'")} AS net_is_tcp, {flags("proto = 'udp'")} AS net_is_udp
-FROM z JOIN st USING (src_ip) JOIN cat c ON c.e = z.src_ip JOIN ss ON ss.record_id = z.record_id"""
+FROM z JOIN st USING (src_ip) JOIN cat c ON c.e = z.src_ip JOIN ss ON ss.record_id = z.record_id JOIN nw ON nw.record_id = z.record_id"""
 
 
 ORACLES["features"] = _all_features()
+ORACLES["features_fitted"] = _all_features(fitted=True)
+ORACLES["first_time_batches"] = EV + """, b AS (SELECT *, CASE WHEN k % 4 = 1 THEN 0 ELSE 1 END AS batch FROM ev)
+SELECT record_id, CAST(action IS NOT NULL AND row_number() OVER (PARTITION BY src_ip, action ORDER BY batch, ts, record_id) = 1 AS BIGINT) AS new_action,
+  CAST(dst_ip IS NOT NULL AND row_number() OVER (PARTITION BY src_ip, dst_ip ORDER BY batch, ts, record_id) = 1 AS BIGINT) AS new_destination FROM b"""
+ORACLES["stat_percentiles_fields"] = "SELECT l_returnflag AS flag, " + ", ".join(
+    f"round(quantile_cont({c}, {p / 100}), 6) AS stat_{n}_p{p}" for c, n in (("l_extendedprice", "price"), ("l_quantity", "quantity"), ("l_tax", "l_tax")) for p in (5, 25, 50, 75, 99)
+) + " FROM lineitem GROUP BY 1"

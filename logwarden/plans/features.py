@@ -1,4 +1,4 @@
-"""The feature pipeline: statistical, temporal, behavioural and network features.
+"""The feature pipeline: extractors fitted on one frame and applied to another.
 
 All ordered features share the key and time columns, so without a large key
 they share one shuffle of the rows; profiles are aggregated on the side and
@@ -7,158 +7,114 @@ joined on the same key.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import dataclasses
+import json
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml import Estimator, Model
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logwarden import constants as K
-from logwarden.functions.scalars import port_flags
-from logwarden.functions.timestamps import calendar_features, utc_wall
-from logwarden.operators import behavior, entity as ent, temporal
 from logwarden.operators.runs import is_cold, keyed
 from logwarden.operators.standardize import select_features
+from logwarden.plans.extractors import Feature, FeatureConfig, State, extractor
+from logwarden.session import cut_lineage
 
-
-@dataclass(frozen=True)
-class Feature:
-    """Name, meaning, kind, number type, default and bounds of a feature."""
-
-    name: str
-    description: str
-    kind: str
-    dtype: str = "double"
-    default: float = 0.0
-    minimum: float | None = None
-    maximum: float | None = None
-
-
-@dataclass(frozen=True)
-class FeatureConfig:
-    entity: str = "src_ip"
-    ts: str = "timestamp_normalized"
-    record: str = "record_id"
-    action: str = "action"
-    dst: str = "dst_ip"
-    port: str = "dst_port"
-    protocol: str = "protocol"
-    size: str = "bytes_total"
-    numeric: list[str] = field(default_factory=lambda: ["bytes_total", "bytes_in", "bytes_out"])
-    categorical: list[str] = field(default_factory=lambda: ["dst_ip", "dst_port", "action", "protocol"])
-    percentiles: list[int] = field(default_factory=lambda: list(K.PERCENTILES))
-    deviation: list[str] = field(default_factory=lambda: ["bytes_total", "dst_port"])
-    groups: list[str] = field(default_factory=lambda: ["statistical", "temporal", "behavioral", "network"])
-    include_only: list[str] | None = None
-    exclude: list[str] = field(default_factory=list)
-    keep_originals: bool = True
-    cyclical: bool = True
-    approximate_percentiles: bool = False
+NUMBERS = ("byte", "short", "int", "bigint", "smallint", "tinyint", "float", "double", "boolean", "decimal")
 
 
 def definitions(config: FeatureConfig = FeatureConfig()) -> list[Feature]:
     """Every feature the configuration produces, in order."""
-    c, out = config, []
-    flags = dict(dtype="int", minimum=0, maximum=1)
-    if "statistical" in c.groups:
-        out.append(Feature("stat_record_count", "rows of the entity", "statistical", "long", minimum=0))
-        for f in c.numeric:
-            out += [Feature(f"stat_{f}_{s}", f"{s} of {f}", "statistical") for s in ("mean", "std", "min", "max")]
-            out += [Feature(f"stat_{f}_p{p}", f"percentile {p} of {f}", "statistical") for p in c.percentiles]
-        for f in c.categorical:
-            out += [Feature(f"stat_{f}_unique", f"distinct {f}", "statistical", "long", minimum=0),
-                    Feature(f"stat_{f}_entropy", f"entropy of {f} in bits", "statistical", minimum=0)]
-    if "temporal" in c.groups:
-        clock = ["hour_sin", "hour_cos", "dow_sin", "dow_cos"] if c.cyclical else ["hour", "day_of_week"]
-        out += [Feature(f"time_{n}", "clock position", "temporal") for n in clock]
-        out += [Feature("time_is_weekend", "weekend", "temporal", **flags),
-                Feature("time_is_business_hours", "business hours", "temporal", **flags),
-                Feature("time_delta_entity_seconds", "since the entity's last event", "temporal", minimum=0),
-                Feature("time_delta_global_seconds", "since the last event", "temporal", minimum=0),
-                Feature("time_events_per_hour", "entity events in the past hour", "temporal", "long", minimum=0)]
-    if "behavioral" in c.groups:
-        out += [Feature("behav_session_id", "session number", "behavioral", "long", minimum=0),
-                Feature("behav_events_in_session", "events so far", "behavioral", "long", minimum=1),
-                Feature("behav_session_duration_seconds", "seconds so far", "behavioral", minimum=0),
-                Feature("behav_is_new_action", "first time action", "behavioral", **flags),
-                Feature("behav_is_new_destination", "first time destination", "behavioral", **flags)]
-        for f in c.deviation:
-            out += [Feature(f"behav_{f}_zscore", f"z-score of {f}", "behavioral"),
-                    Feature(f"behav_{f}_is_anomalous", f"unusual {f}", "behavioral", **flags)]
-        out.append(Feature("behav_deviation_score", "mean absolute z-score", "behavioral", minimum=0))
-    if "network" in c.groups:
-        out += [Feature(f"net_{n}", n.replace("_", " "), "network", **flags)
-                for n in ("dst_port_is_system", "dst_port_is_common", "dst_port_is_dynamic")]
-        out += [Feature("net_unique_dst_ips", "distinct peers", "network", "long", minimum=0),
-                Feature("net_unique_dst_ports", "distinct ports", "network", "long", minimum=0),
-                Feature("net_dst_port_entropy", "port entropy in bits", "network", minimum=0),
-                Feature("net_fanout_ratio", "peers per connection", "network", minimum=0, maximum=1),
-                Feature("net_is_scanner_like", "high fan-out", "network", **flags),
-                Feature("net_bytes_per_conn", "mean bytes", "network", minimum=0),
-                Feature("net_conn_count", "connections", "network", "long", minimum=0),
-                Feature("net_is_tcp", "TCP", "network", **flags), Feature("net_is_udp", "UDP", "network", **flags)]
-    chosen = [d for d in out if not c.include_only or d.name in c.include_only]
-    return [d for d in chosen if d.name not in c.exclude]
+    out = [d for g in config.groups for d in extractor(g).definitions(config)]
+    chosen = [d for d in out if not config.include_only or d.name in config.include_only]
+    return [d for d in chosen if d.name not in config.exclude]
 
 
-def build_features(df: DataFrame, config: FeatureConfig = FeatureConfig(), baseline: DataFrame | None = None) -> DataFrame:
-    """Add all features.
+def fit_states(df: DataFrame, config: FeatureConfig) -> dict[str, State]:
+    """What every extractor learns from ``df``; nothing is computed before a table is used."""
+    if config.entity not in df.columns:
+        return {g: {} for g in config.groups}
+    return {g: extractor(g).fit(df, config) for g in config.groups}
 
-    ``baseline`` holds earlier records; first-time flags and z-scores are
-    relative to it.  Without one they are relative to ``df`` itself, as when a
-    pipeline is fitted on the batch it transforms.
-    """
+
+def add_features(df: DataFrame, config: FeatureConfig, states: dict[str, State]) -> DataFrame:
+    """``df`` with the features of all extractors, given what they learned; a feature that is no number is an error."""
     c = config
-    have = set(df.columns)
-    if c.entity not in have:
+    wanted = definitions(c)
+    if c.entity not in df.columns:
         # No entity, no features: all defaults.
-        return df.withColumns({d.name: F.lit(d.default).cast(d.dtype) for d in definitions(c)})
-    history = df if baseline is None else baseline
-    has_ts = c.ts in have
-    calendar = calendar_features(utc_wall(df, c.ts), cyclical=c.cyclical) if has_ts and "temporal" in c.groups else []
-    ports = port_flags(c.port, c.protocol) if "network" in c.groups and {c.port, c.protocol} <= have else []
-    rows = df.select("*", *calendar, *ports)
-
-    if has_ts:
-        if "temporal" in c.groups:
-            rows = temporal.delta_global(rows, c.ts, c.record)
-        rows, added = keyed(rows, c.entity, c.ts, c.record)
+        return df.withColumns({d.name: F.lit(d.default).cast(d.dtype) for d in wanted})
+    if c.ts in df.columns:
+        rows, added = keyed(df, c.entity, c.ts, c.record)
         cold = is_cold(rows, ["_key"], ["_t", c.record])
-        if "temporal" in c.groups:
-            rows = temporal.trailing_count(rows, c.entity, c.ts, c.record, cold=cold)
-            rows = temporal.delta_entity(rows, c.entity, c.ts, c.record, cold=cold)
-        if "behavioral" in c.groups:
-            rows = behavior.sessions(rows, c.entity, c.ts, c.record, cold=cold)
-            for f, name in ((c.action, "behav_is_new_action"), (c.dst, "behav_is_new_destination")):
-                if f in have:
-                    known = behavior.known_values(history, c.entity, f)
-                    rows = behavior.first_seen(rows, c.entity, f, c.ts, c.record, name, known, cold=cold)
     else:
-        rows, added = rows.withColumn("_key", F.col(c.entity).cast("string")), ["_key"]
-
-    def profile_key(p: DataFrame) -> DataFrame:
-        return p.withColumn("_key", F.col(c.entity).cast("string")).drop(c.entity)
-
-    # Profiles of the batch: every source aggregates first and joins on the rows' key.
-    numeric, categorical = [f for f in c.numeric if f in have], [f for f in c.categorical if f in have]
-    if "statistical" in c.groups:
-        profile = ent.numeric_profile(df, c.entity, numeric)
-        for f in numeric:
-            profile = profile.join(ent.percentile_profile(
-                df, c.entity, f, c.percentiles, approximate=c.approximate_percentiles), c.entity)
-        if categorical:
-            profile = profile.join(ent.category_profile(df, c.entity, categorical), c.entity)
-        rows = ent.attach(rows, profile_key(profile), "_key")
-    if "network" in c.groups and {c.dst, c.port, c.size} <= have:
-        rows = ent.attach(rows, profile_key(ent.network_profile(df, c.entity, c.dst, c.port, c.size)), "_key")
-    fields = [f for f in c.deviation if f in have]
-    if "behavioral" in c.groups and fields:
-        stats = profile_key(behavior.deviation_baseline(history, c.entity, fields))
-        rows = behavior.deviation(rows, "_key", fields, stats)
+        rows, added, cold = df.withColumn("_key", F.col(c.entity).cast("string")), ["_key"], True
+    for g in c.groups:
+        rows = extractor(g).transform(rows, df, c, states.get(g, {}), cold)
     rows = rows.drop(*added)
-
-    wanted = definitions(c)
     missing = {d.name: F.lit(d.default).cast(d.dtype) for d in wanted if d.name not in rows.columns}
     if missing:
         rows = rows.withColumns(missing)
     names = [d.name for d in wanted]
+    kinds = dict(rows.dtypes)
+    wrong = [n for n in names if not kinds[n].startswith(NUMBERS)]
+    if wrong:
+        raise ValueError("features must be numbers: " + ", ".join(f"{n} is {kinds[n]}" for n in wrong))
     base = df.columns if c.keep_originals else []
-    return select_features(rows.select(*[f"`{n}`" for n in base], *names), names)
+    return select_features(rows.select(*[f"`{n}`" for n in base], *[f"`{n}`" for n in names]), names)
+
+
+def build_features(df: DataFrame, config: FeatureConfig = FeatureConfig(), baseline: DataFrame | None = None) -> DataFrame:
+    """Add all features.
+
+    ``baseline`` holds earlier records; first-time flags and z-scores are
+    relative to it.  Without one the extractors are fitted on ``df`` itself, so every pair is
+    known and first-time flags are 0.
+    """
+    states = fit_states(df if baseline is None else baseline, config)
+    if baseline is None:
+        for state in states.values():
+            state.pop("known_pairs", None)
+    return add_features(df, config, states)
+
+
+class FeaturePipeline(Estimator):
+    """Fits the extractors named in ``config.groups``."""
+
+    def __init__(self, config: FeatureConfig = FeatureConfig()):
+        super().__init__()
+        self.config = config
+
+    def _fit(self, dataset: DataFrame) -> FeaturePipelineModel:
+        # Written once, so that every use of the model sees the same tables.
+        states = {g: {n: cut_lineage(t, f"fitted-{g}-{n}") for n, t in state.items()} for g, state in fit_states(dataset, self.config).items()}
+        return FeaturePipelineModel(self.config, states)
+
+
+class FeaturePipelineModel(Model):
+    """Fitted extractors: their configuration and their tables, both of which :meth:`save` keeps."""
+
+    def __init__(self, config: FeatureConfig, states: dict[str, State]):
+        super().__init__()
+        self.config, self.states = config, states
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return add_features(dataset, self.config, self.states)
+
+    def save(self, path: str) -> None:
+        """One Parquet table per learned table below ``path``, and the configuration as a line of JSON, written last."""
+        tables = [(g, n) for g, state in self.states.items() for n in state]
+        for g, n in tables:
+            self.states[g][n].write.mode("overwrite").parquet(f"{path}/{g}/{n}")
+        spark = SparkSession.active()
+        about = json.dumps({"config": dataclasses.asdict(self.config), "tables": tables})
+        spark.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+
+    @staticmethod
+    def load(path: str) -> FeaturePipelineModel:
+        """The stored model; extractors of your own must be registered before."""
+        spark = SparkSession.active()
+        about = json.loads(spark.read.text(f"{path}/metadata").first().value)
+        config = FeatureConfig(**about["config"])
+        states: dict[str, State] = {extractor(g).name: {} for g in config.groups}
+        for g, n in about["tables"]:
+            states[g][n] = spark.read.parquet(f"{path}/{g}/{n}")
+        return FeaturePipelineModel(config, states)

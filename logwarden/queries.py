@@ -19,7 +19,9 @@ from logwarden.models import random_forest
 from logwarden.models.isolation_forest import IsolationForest
 from logwarden.plans import analysis as analysis_plan
 from logwarden.plans.canonical import canonical_events, table
-from logwarden.plans.features import FeatureConfig, build_features
+from logwarden.operators.history import KnownPairs, first_time, known_pairs
+from logwarden.plans.extractors import FeatureConfig
+from logwarden.plans.features import FeaturePipeline, FeaturePipelineModel, build_features
 from logwarden.plans.preprocess import Preprocessing, default_steps
 from logwarden.session import cut_lineage, scratch_path
 from logwarden.sources import readers
@@ -343,6 +345,13 @@ def stat_percentiles(spark, d):
     return rounded(entity.percentile_profile(canonical_events(spark, d), "src_ip", "bytes_total"), 4)
 
 
+@query
+def stat_percentiles_fields(spark, d):
+    """Three fields of large entities at once: most values are counted between brackets."""
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"), "l_tax")
+    return rounded(entity.percentile_profiles(rows, "flag", ["price", "quantity", "l_tax"], [5, 25, 50, 75, 99], whole=1000), 6)
+
+
 @query
 def stat_percentiles_lineitem(spark, d):
     return rounded(entity.percentile_profile(table(spark, d, "lineitem"), "l_suppkey", "l_extendedprice"), 6)
@@ -497,6 +506,29 @@ def new_destination(spark, d):
     return behavior.first_seen(after, "src_ip", "dst_ip", "ts", "record_id", "is_new", known).select("record_id", "is_new")
 
 
+@query
+def first_time_batches(spark, d):
+    """Two batches in a row against a stored history; the second is run twice, as after a failure."""
+    ev = canonical_events(spark, d)
+    store = KnownPairs(scratch_path(spark, "known-pairs"), parts=16)
+    fields = {"action": "new_action", "dst_ip": "new_destination"}
+    out = []
+    for number, batch in ((0, ev.where("k % 4 = 1")), (1, ev.where("k % 4 <> 1")), (1, ev.where("k % 4 <> 1"))):
+        flagged = first_time(batch, "src_ip", fields, "ts", "record_id", store, number).select("record_id", *fields.values())
+        out.append(cut_lineage(flagged, "flagged"))
+        store.append(known_pairs(batch, "src_ip", list(fields)), number)
+    return longs(out[0].unionByName(out[2]))
+
+
+@query
+def features_fitted(spark, d):
+    """All features of the later half, with extractors fitted on the earlier half, stored and loaded."""
+    before, after = _split_at(canonical_events(spark, d).drop("k"))
+    path = scratch_path(spark, "feature-pipeline")
+    FeaturePipeline(FeatureConfig(ts="ts", keep_originals=False, clock_shares=True)).fit(before).save(path)
+    return rounded(longs(FeaturePipelineModel.load(path).transform(after)))
+
+
 @query
 def drift_windows(spark, d):
     w = drift.drift_windows(history(spark, d), "ts", "record_id", 200, 300)
