@@ -3,8 +3,8 @@
 A row is kept when it is the first of its fingerprint or comes at least
 ``seconds`` after the last *kept* row.  A row whose gap to the row before it is
 that long is kept in any case, so it starts a segment that does not depend on
-anything earlier.  Segments are short in normal traffic and are folded in the
-JVM.  A segment without any pause can be as long as the table; it is cut into
+anything earlier.  Segments are short in normal traffic and are handled many at a time
+by jump pointers.  A segment without any pause can be as long as the table; it is cut into
 runs, and each run answers "which is my last kept time if the last one before me
 was x" for all x at once, as a step function.  Step functions of neighbouring
 runs are composed level by level and the entries are handed down again, so no
@@ -13,13 +13,15 @@ task sees more than a few dozen of them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logwarden import constants as K
 from logwarden.functions.timestamps import micros, utc_wall
-from logwarden.operators.runs import RUN, Measure, Runs, make_runs, running
+from logwarden.operators.runs import RUN, Measure, Runs, group_bounds, make_runs, running, whole_groups
 
 
 def fingerprint(classification: Column, anomaly: Column, source: Column) -> Column:
@@ -36,15 +38,54 @@ def _segments(runs: Runs, pause: int) -> DataFrame:
 
 
 def _fold(rows: DataFrame, pause: int) -> DataFrame:
-    """Kept (_fp, _id) of segments that fit one task."""
-    grouped = rows.groupBy("_fp", "_seg").agg(F.sort_array(F.collect_list(F.struct("_t", "_id"))).alias("rows"))
-    first = F.get("rows", F.lit(0))
-    kept = F.aggregate(
-        F.slice("rows", 2, F.size("rows")),
-        F.struct(first["_t"].alias("last"), F.array(first["_id"]).alias("ids")),
-        lambda acc, r: F.when(r["_t"] - acc["last"] >= pause, F.struct(
-            r["_t"].alias("last"), F.concat(acc["ids"], F.array(r["_id"])).alias("ids"))).otherwise(acc))
-    return grouped.select(F.explode(kept["ids"]).alias("_id"))
+    """Kept (_id) of segments that fit one task."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_groups(frames, ["_fp", "_seg"]):
+            yield frame[["_id"]][kept_rows(frame["_t"].to_numpy(), group_bounds(frame, ["_fp", "_seg"]), pause)]
+
+    ordered = rows.repartition("_fp", "_seg").sortWithinPartitions("_fp", "_seg", "_t", "_id")
+    return ordered.mapInPandas(run, f"_id {rows.schema['_id'].dataType.simpleString()}")
+
+
+def kept_rows(t: np.ndarray, bounds: np.ndarray, pause: int) -> np.ndarray:
+    """Which rows of sorted groups are kept, the first of each to begin with.
+
+    Every row points to the first one at least ``pause`` later.  Pointers are doubled round by round, and the rows
+    found so far reach as many again, so the rounds grow with the logarithm of the kept rows.
+    """
+    n, starts, size = len(t), bounds[:-1], np.diff(bounds)
+    spans = (t[bounds[1:] - 1] - t[starts]).astype(float) + pause + 1
+    if spans.sum() > 2**62:  # the groups' times do not fit behind each other
+        half = len(starts) // 2
+        if not half:
+            return _walked(t, pause)
+        cut = bounds[half]
+        return np.r_[kept_rows(t[:cut], bounds[: half + 1], pause), kept_rows(t[cut:], bounds[half:] - cut, pause)]
+    # Groups behind each other on one line, a pause apart.
+    step = np.r_[0, (t[bounds[1:] - 1] - t[starts] + pause + 1).cumsum()[:-1]]
+    line = t + np.repeat(step - t[starts], size)
+    follow = np.searchsorted(line, line + pause, side="left")
+    jump = np.append(np.where(follow < np.repeat(bounds[1:], size), follow, n), n)
+    reached = starts
+    while True:
+        more = jump[reached]
+        more = more[more < n]
+        if not len(more):
+            break
+        reached = np.concatenate([reached, more])
+        jump = jump[jump]
+    kept = np.zeros(n, bool)
+    kept[reached] = True
+    return kept
+
+
+def _walked(t: np.ndarray, pause: int) -> np.ndarray:
+    """The same for one group of times that are centuries apart, row by row."""
+    kept, last = np.zeros(len(t), bool), None
+    for i, x in enumerate(t.tolist()):
+        if last is None or x - last >= pause:
+            kept[i], last = True, x
+    return kept
 
 
 def _chain(t: np.ndarray, pause: int) -> np.ndarray:

@@ -17,8 +17,11 @@ denser sample shows to be large are cut; if there is none, the plain window is u
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from logwarden.functions.timestamps import micros, utc_wall
@@ -226,6 +229,30 @@ def running(runs: Runs, *measures: Measure) -> Runs:
     return replace(runs, df=out.select(*runs.df.columns, *local))
 
 
+def whole_groups(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of whole groups from a task's frames, which are sorted by ``by``: many small groups at a time, or one large one."""
+    held: list[pd.DataFrame] = []
+    for frame in filter(len, frames):
+        held.append(frame)
+        if tuple(frame[by].iloc[-1]) == tuple(held[0][by].iloc[0]):
+            continue
+        together = pd.concat(held, ignore_index=True)
+        cut = int(group_bounds(together, by)[-2])
+        yield together.iloc[:cut].reset_index(drop=True)
+        held = [together.iloc[cut:]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def group_bounds(frame: pd.DataFrame, by: list[str]) -> np.ndarray:
+    """Where the groups of a sorted frame start, and its length."""
+    fresh = np.zeros(len(frame) - 1, bool)
+    for c in by:
+        values = frame[c].to_numpy()
+        fresh |= values[1:] != values[:-1]
+    return np.r_[0, np.flatnonzero(fresh) + 1, len(frame)]
+
+
 def is_cold(df: DataFrame, by: list[str], order: list[str]) -> bool:
     """True if no key is large: one narrow scan that answers for several operators."""
     return not _pick_marks(df, by, order, order, rows_per_run(df.sparkSession))

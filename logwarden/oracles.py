@@ -478,6 +478,7 @@ FROM z JOIN st USING (src_ip) JOIN cat c ON c.e = z.src_ip JOIN ss ON ss.record_
 
 ORACLES["features"] = _all_features()
 ORACLES["features_fitted"] = _all_features(fitted=True)
+ORACLES["trailing_zscore_outlier"] = ORACLES["trailing_zscore"].replace("FROM ev\n", "FROM (SELECT * REPLACE (CASE WHEN record_id % 997 = 5 THEN 1e12 ELSE bytes_total END AS bytes_total) FROM ev)\n", 1)
 ORACLES["first_time_batches"] = EV + """, b AS (SELECT *, CASE WHEN k % 4 = 1 THEN 0 ELSE 1 END AS batch FROM ev)
 SELECT record_id, CAST(action IS NOT NULL AND row_number() OVER (PARTITION BY src_ip, action ORDER BY batch, ts, record_id) = 1 AS BIGINT) AS new_action,
   CAST(dst_ip IS NOT NULL AND row_number() OVER (PARTITION BY src_ip, dst_ip ORDER BY batch, ts, record_id) = 1 AS BIGINT) AS new_destination FROM b"""

@@ -858,6 +858,14 @@ def trailing_zscore(spark, d):
     return rounded(z.select("record_id", "deviation_from_baseline"), 4)
 
 
+@query
+def trailing_zscore_outlier(spark, d):
+    """The same with a value of a million million here and there, which only its own windows may feel."""
+    ev = canonical_events(spark, d).withColumn("bytes_total", F.when(F.col("record_id") % 997 == 5, 1e12).otherwise(F.col("bytes_total")))
+    z = windows.trailing_zscore(ev, "src_ip", "ts", "bytes_total", "record_id")
+    return rounded(z.select("record_id", "deviation_from_baseline"), 4)
+
+
 @query
 def ip_rarity(spark, d):
     return rounded(windows.rarity(canonical_events(spark, d), "src_ip", "ts", "record_id").select("record_id", "ip_rarity_score"))
