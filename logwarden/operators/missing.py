@@ -120,18 +120,30 @@ def forward_fill(df: DataFrame, name: str, order: list[str], within: list[str] |
     return runs.finish().withColumn(name, F.coalesce(F.col("_ff"), F.col("_last"), quoted(name))).select(*df.columns)
 
 
+def strategies(df: DataFrame, policy: MissingPolicy) -> dict[str, str]:
+    """Strategy of every column, and of every field with a rule, which ``df`` may lack."""
+    rules = {r.field: r for r in policy.rules}
+    return {c: rules[c].strategy if c in rules else "drop" if c in policy.required else policy.default_strategy
+            for c in [*df.columns, *[f for f in rules if f not in df.columns]]}
+
+
+def survives(df: DataFrame, policy: MissingPolicy) -> Column:
+    """Whether a row has all fields that it may not lack."""
+    needed = dict.fromkeys([*policy.required, *[r.field for r in policy.rules if r.strategy == "drop" and r.required]])
+    keep = F.lit(True)
+    for c in needed:
+        keep = keep & (~missing(df, c, policy.tokens) if c in df.columns else F.lit(False))
+    return keep
+
+
 def handle_missing(df: DataFrame, policy: MissingPolicy, fit_on: DataFrame | None = None) -> DataFrame:
     """Apply a policy to every column."""
     rules = {r.field: r for r in policy.rules}
-    for r in policy.rules:
-        if r.field not in df.columns:
-            df = df.withColumn(r.field, F.lit(None).cast("string"))
-    df = drop_required(df, policy.required, policy.tokens)
-    strategy = {c: rules[c].strategy if c in rules else "drop" if c in policy.required else policy.default_strategy
-                for c in df.columns}
-    for c, s in strategy.items():
-        if s == "drop" and c in rules and rules[c].required:
-            df = df.where(~missing(df, c, policy.tokens))
+    strategy = strategies(df, policy)
+    df = df.where(survives(df, policy))
+    for c in strategy:
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast("string"))
     fitted = {c: s for c, s in strategy.items() if s in ("fill_mean", "fill_median", "fill_mode")}
     if fitted:
         defaults = {c: rules[c].default for c in fitted if c in rules and rules[c].default is not None}

@@ -46,6 +46,11 @@ def timestamp_candidates(df: DataFrame, fields: list[str] | None = None) -> list
     return hits
 
 
+def timestamp_source(df: DataFrame, fields: list[str] | None = None) -> Column:
+    """The text of the first candidate that is not empty, null if there is none."""
+    return F.coalesce(*[_filled(df, c) for c in timestamp_candidates(df, fields)], F.lit(None).cast("string"))
+
+
 def normalize_timestamps(df: DataFrame, fields: list[str] | None = None, output: str = "timestamp_normalized",
                          keep_original: bool = True, on_error: str = "keep", year: int | None = None) -> DataFrame:
     """Add the event time as ISO-8601 UTC text.

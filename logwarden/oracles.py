@@ -479,6 +479,19 @@ FROM z JOIN st USING (src_ip) JOIN cat c ON c.e = z.src_ip JOIN ss ON ss.record_
 ORACLES["features"] = _all_features()
 ORACLES["features_fitted"] = _all_features(fitted=True)
 ORACLES["trailing_zscore_outlier"] = ORACLES["trailing_zscore"].replace("FROM ev\n", "FROM (SELECT * REPLACE (CASE WHEN record_id % 997 = 5 THEN 1e12 ELSE bytes_total END AS bytes_total) FROM ev)\n", 1)
+ORACLES["step_counters"] = EV + """, kept AS (SELECT *, protocol IN (SELECT protocol FROM ev WHERE protocol IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 2) AS common
+  FROM ev WHERE k % 4 > 0), c AS (SELECT count(*) AS n, count(*) FILTER (k % 4 = 0) AS gone FROM ev),
+m AS (SELECT count(*) AS n, count(*) FILTER (k % 7 <= 2) AS b, count(*) FILTER (k % 5 = 0) AS s, count(*) FILTER (k % 3 = 0) AS d,
+  count(*) FILTER (k % 10 = 0) AS u, count(*) FILTER (k % 10 > 0 AND NOT common) AS r FROM kept),
+t AS (SELECT count(*) FILTER (k % 9 = 0) AS bad, count(*) FILTER (k % 9 = 1) AS absent, count(*) FILTER (k % 9 > 1) AS good,
+  count(*) FILTER (k % 9 <> 1) + count(*) FILTER (k % 9 > 1) + count(*) FILTER (k % 4 > 0) + count(*) AS renamed FROM ev)
+SELECT unnest(['timestamp_normalizer', 'timestamp_normalizer', 'timestamp_normalizer', 'timestamp_normalizer', 'field_standardizer', 'field_standardizer', 'field_standardizer',
+    'missing_values', 'missing_values', 'missing_values', 'missing_values', 'missing_values', 'missing_values', 'missing_values', 'missing_values',
+    'categorical_encoder', 'categorical_encoder', 'categorical_encoder', 'categorical_encoder']) AS step,
+  unnest(['total_records', 'normalized', 'parse_errors', 'no_timestamp', 'total_records', 'fields_mapped', 'fields_dropped',
+    'total_records', 'dropped_records', 'filled_values', 'flagged_missing', 'filled_values.bytes_total', 'filled_values.src_ip', 'filled_values.note', 'flagged_missing.dst_ip',
+    'total_records', 'fields_encoded', 'unknown_values', 'rare_values']) AS counter,
+  unnest([c.n, good, bad, absent, c.n, renamed, 0, c.n, gone, b + s + m.n, d, b, s, m.n, d, m.n, m.n, u, r]) AS n FROM c, m, t"""
 ORACLES["first_time_batches"] = EV + """, b AS (SELECT *, CASE WHEN k % 4 = 1 THEN 0 ELSE 1 END AS batch FROM ev)
 SELECT record_id, CAST(action IS NOT NULL AND row_number() OVER (PARTITION BY src_ip, action ORDER BY batch, ts, record_id) = 1 AS BIGINT) AS new_action,
   CAST(dst_ip IS NOT NULL AND row_number() OVER (PARTITION BY src_ip, dst_ip ORDER BY batch, ts, record_id) = 1 AS BIGINT) AS new_destination FROM b"""

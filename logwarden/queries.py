@@ -1065,6 +1065,25 @@ def step_stats(spark, d):
     return spark.createDataFrame([(n, int(v["rows"]), int(v["with_time"])) for n, v in run.stats().items()], "step string, n long, with_time long")
 
 
+@query
+def step_counters(spark, d):
+    """Every counter of every preprocessing step: parse errors, renamed values, dropped rows, filled and flagged values, codes."""
+    ev = canonical_events(spark, d)
+    k = F.col("k")
+    raw = ev.select("record_id", F.when(k % 9 == 0, "?").when(k % 9 > 1, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("Time"),
+                    F.when(k % 4 > 0, F.col("action")).alias("EventType"), F.when(k % 5 == 0, "N/A").otherwise(F.col("src_ip")).alias("Source.IP"),
+                    F.when(k % 7 > 2, F.col("bytes_total")).alias("bytes_total"), F.when(k % 3 == 0, "-").otherwise(F.col("dst_ip")).alias("dst_ip"),
+                    F.when(k % 10 > 0, F.col("protocol")).alias("protocol"))
+    rule = missing.FieldRule
+    policy = missing.MissingPolicy(required=["action"], rules=[rule("bytes_total", "fill_zero"), rule("src_ip", "fill_default", "nobody"),
+                                                              rule("dst_ip", "flag_missing"), rule("note", "fill_default", "none")])
+    known = encode.fit_codes(ev, ["protocol"], max_categories=4)
+    run = Preprocessing(default_steps(policy, ["protocol"], known), observe=True)
+    run(raw).write.format("noop").mode("overwrite").save()
+    rows = [(step, name, int(n)) for step, counts in run.stats().items() for name, n in counts.items() if name not in ("rows", "with_time")]
+    return spark.createDataFrame(rows, "step string, counter string, n long")
+
+
 # ----------------------------------------------------------------- 2.8 models
 _MODEL_FEATURES = ["bytes_total", "dst_port", "hour", "per_hour"]
 

@@ -107,3 +107,31 @@ def test_timestamp_error_modes(spark):
     assert {r["id"] for r in standardize.normalize_timestamps(df, on_error="drop").collect()} == {2, 3}
     empty = {r["id"]: r["timestamp_normalized"] for r in standardize.normalize_timestamps(df, on_error="empty").collect()}
     assert empty == {1: "", 2: None, 3: "2024-01-05T10:00:00.000Z"}
+
+
+def test_step_counters(spark):
+    rows = [("2026-01-01 00:00:00", "a", None, "1", None, "x"), ("?", "b", "5", "2", "n", None), ("", "a", None, "3", None, "y"),
+            ("2026-01-01 00:00:01", None, "7", "4", "n", "x"), ("2026-01-01 00:00:02", "c", "9", "5", "N/A", None)]
+    df = spark.createDataFrame(rows, "Time string, EventType string, size string, id string, hint string, kind string")
+    rule = missing.FieldRule
+    policy = missing.MissingPolicy(required=["action"], order=["id"], rules=[
+        rule("size", "fill_mean"), rule("hint", "flag_missing"), rule("kind", "forward_fill"), rule("gone", "fill_mode"), rule("note", "fill_default", "none")])
+    codes = encode.fit_codes(spark.createDataFrame([("a",), ("a",), ("b",)], "action string"), ["action"], max_categories=3)
+    run = Preprocessing(default_steps(policy, ["action"], codes), required=[], observe=True)
+    assert run(df).count() == 4
+    got = run.stats()
+    counts = {s: {n: v for n, v in c.items() if n not in ("rows", "with_time")} for s, c in got.items()}
+    assert counts["timestamp_normalizer"] == {"total_records": 5, "normalized": 3, "parse_errors": 1, "no_timestamp": 1}
+    assert counts["field_standardizer"]["total_records"] == 5 and counts["field_standardizer"]["fields_dropped"] == 0
+    # The mode of a field without values is null, so it fills nothing; the first row in order has no earlier kind only if it lacks one.
+    assert counts["missing_values"] == {"total_records": 5, "dropped_records": 1, "filled_values": 2 + 2 + 4, "flagged_missing": 3, "filled_values.size": 2,
+                                        "filled_values.kind": 2, "filled_values.note": 4, "flagged_missing.hint": 3}
+    assert counts["categorical_encoder"] == {"total_records": 4, "fields_encoded": 4, "unknown_values": 0, "rare_values": 2}
+
+
+def test_counters_of_several_partitions_add_up(spark):
+    df = spark.range(1000).select(F.when(F.col("id") % 4 > 0, F.lit("2026-01-01 00:00:00")).alias("Time"), F.col("id").cast("string").alias("action")).repartition(9)
+    run = Preprocessing(default_steps(), observe=True)
+    assert run(df).count() == 750
+    assert run.stats()["timestamp_normalizer"]["no_timestamp"] == 250
+    assert run.stats()["field_standardizer"]["rows"] == 1000
