@@ -1,4 +1,5 @@
 import os
+import random
 import time
 
 import pytest
@@ -145,23 +146,118 @@ def test_escapes_in_structured_data(spark):
     assert r["sd"] == {"m@1.a": 'x"y\\z] w', "m@1.b": "2", "n.c": ""} and r["message"] == "the message"
 
 
+def lines_between(reader, start, end):
+    return [t for part in reader.partitions(start, end) for batch in reader.read(part) for t in batch.column(0).to_pylist()]
+
+
 def test_growing_files_ranges(tmp_path):
     f = tmp_path / "a.log"
     f.write_bytes(b"one\n\ntwo two\r\nthree\nhalf")
     for size in (1, 2, 3, 5, 100):
         reader = tail._TailReader({"path": str(tmp_path), "glob": "*.log", "rangebytes": str(size)})
         start, end = reader.initialOffset(), reader.latestOffset()
-        got = [t for part in reader.partitions(start, end) for t, _ in reader.read(part)]
-        assert got == ["one", "two two", "three"], size
+        assert lines_between(reader, start, end) == ["one", "two two", "three"], size
         with open(f, "ab") as h:
             h.write(b" done\n")
         later = reader.latestOffset()
-        assert [t for part in reader.partitions(end, later) for t, _ in reader.read(part)] == ["half done"]
+        assert lines_between(reader, end, later) == ["half done"]
         f.write_bytes(b"new\n")  # rotated
-        assert [t for part in reader.partitions(later, reader.latestOffset()) for t, _ in reader.read(part)] == ["new"]
+        assert lines_between(reader, later, reader.latestOffset()) == ["new"]
         f.write_bytes(b"one\n\ntwo two\r\nthree\nhalf")
 
 
+def test_growing_files_equal_plain_lines_for_any_cuts(tmp_path):
+    rng = random.Random(5)
+    for case in range(30):
+        folder = tmp_path / str(case)
+        folder.mkdir()
+        lines = ["x" * rng.choice([0, 1, 5, 40, 300]) + rng.choice(["", "\r", "é"]) for _ in range(rng.randint(1, 60))]
+        (folder / "a.log").write_bytes("".join(x + "\n" for x in lines).encode())
+        reader = tail._TailReader({"path": str(folder), "rangebytes": str(rng.randint(1, 400))})
+        got = lines_between(reader, reader.initialOffset(), reader.latestOffset())
+        assert got == [x.rstrip("\r") for x in lines if x.strip()]
+
+
+def test_growing_files_are_read_once(tmp_path, monkeypatch):
+    line = b"x" * 99 + b"\n"
+    (tmp_path / "a.log").write_bytes(line * 200_000)
+    read = [0]
+    plain = tail._files
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *args):
+            self.f.close()
+
+        def seek(self, at):
+            self.f.seek(at)
+
+        def read(self, n):
+            got = self.f.read(n)
+            read[0] += len(got)
+            return got
+
+    class Files:
+        def __init__(self, files):
+            self.files = files
+
+        def __getattr__(self, name):
+            return getattr(self.files, name)
+
+        def open_input_file(self, path):
+            return Counted(self.files.open_input_file(path))
+
+    monkeypatch.setattr(tail, "_files", lambda path: (lambda pair: (Files(pair[0]), pair[1]))(plain(path)))
+    reader = tail._TailReader({"path": str(tmp_path), "rangebytes": str(3_000_000)})
+    start, end = reader.initialOffset(), reader.latestOffset()
+    rows = sum(b.num_rows for part in reader.partitions(start, end) for b in reader.read(part))
+    assert rows == 200_000 and read[0] <= 1.1 * len(line) * rows
+    read[0] = 0
+    assert reader.latestOffset() == end and read[0] == 0  # nothing changed, nothing is opened
+
+
+def test_growing_files_bound_per_trigger_and_restart(tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    for name, n in (("a", 500), ("b", 50), ("c", 3)):
+        (logs / f"{name}.log").write_bytes(b"".join(b"%s %05d\n" % (name.encode(), i) for i in range(n)))
+    (logs / "d.log").write_bytes(b"y" * 2000 + b"\nend\n")
+    options = {"path": str(logs), "maxbytespertrigger": "400", "progresslocation": str(tmp_path / "progress")}
+    reader = tail._TailReader(options)
+    offset, got, batches = reader.initialOffset(), [], 0
+    while True:
+        end = reader.latestOffset()
+        if end == offset:
+            break
+        new = lines_between(reader, offset, end)
+        assert sum(len(x) + 1 for x in new if x[0] != "y") <= 400
+        got += new
+        reader.commit(end)
+        offset, batches = end, batches + 1
+        if batches % 7 == 0:  # a new driver goes on from what is noted
+            reader = tail._TailReader(options)
+    want = [f"{name} {i:05d}" for name, n in (("a", 500), ("b", 50), ("c", 3)) for i in range(n)] + ["y" * 2000, "end"]
+    assert sorted(got) == sorted(want) and batches > 10
+
+
+def test_growing_files_follow_a_rotated_file_under_its_new_name(tmp_path):
+    reader = tail._TailReader({"path": str(tmp_path), "glob": "*.log*"})
+    (tmp_path / "a.log").write_bytes(b"one\ntwo\n")
+    start = reader.initialOffset()
+    first = reader.latestOffset()
+    assert lines_between(reader, start, first) == ["one", "two"]
+    with open(tmp_path / "a.log", "ab") as f:
+        f.write(b"three\n")
+    os.rename(tmp_path / "a.log", tmp_path / "a.log.1")
+    (tmp_path / "a.log").write_bytes(b"four is longer than all before\n")
+    assert sorted(lines_between(reader, first, reader.latestOffset())) == ["four is longer than all before", "three"]
+
+
 def test_growing_stream(spark, tmp_path):
     logs, out = tmp_path / "logs", tmp_path / "out"
     logs.mkdir()
