@@ -492,6 +492,18 @@ SELECT unnest(['timestamp_normalizer', 'timestamp_normalizer', 'timestamp_normal
     'total_records', 'dropped_records', 'filled_values', 'flagged_missing', 'filled_values.bytes_total', 'filled_values.src_ip', 'filled_values.note', 'flagged_missing.dst_ip',
     'total_records', 'fields_encoded', 'unknown_values', 'rare_values']) AS counter,
   unnest([c.n, good, bad, absent, c.n, renamed, 0, c.n, gone, b + s + m.n, d, b, s, m.n, d, m.n, m.n, u, r]) AS n FROM c, m, t"""
+ORACLES["stratified_split_ids"] = EV + """, h AS (SELECT record_id, classification AS label, CAST('0x' || substr(md5('42:' || CAST(record_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM ev)
+SELECT record_id, label, CAST(row_number() OVER (PARTITION BY label ORDER BY h, record_id) > floor(count(*) OVER (PARTITION BY label) * 0.8e0 + 1e-9) AS BIGINT) AS is_test FROM h"""
+ORACLES["alert_search_found"] = AL + """ SELECT raw_record_id, priority, classification FROM al WHERE contains(lower(priority), 'p') AND (contains(lower(classification), '1') OR contains(src_ip, '1'))"""
+ORACLES["model_facts"] = EV + """, l AS (SELECT CASE WHEN bytes_total > 150 THEN 'Exfiltration' WHEN dst_port < 6000 THEN 'DDoS' ELSE 'Benign' END AS label, count(*) AS n FROM ev GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS records, CAST(sum(n) AS BIGINT) AS scored_records, CAST(0 AS BIGINT) AS outside_bounds, CAST(0 AS BIGINT) AS odd_confidences,
+  CAST(sum(n - floor(n * 0.8e0 + 1e-9)) AS BIGINT) AS test_records, CAST(1 AS BIGINT) AS anomalies_score_higher, CAST(1 AS BIGINT) AS test_accuracy_over_95 FROM l"""
+ORACLES["analyze_full"] = "SELECT event_id AS record_id, CAST(1 AS BIGINT) AS well_scored, CAST(1 AS BIGINT) AS alert_follows_result, CAST(1 AS BIGINT) AS first_is_kept FROM events"
+ORACLES["directory_scan"] = """SELECT 'CSV' AS format, 'read' AS status, CAST(4 AS BIGINT) AS files, count(*) AS n_rows FROM events
+UNION ALL SELECT 'EVTX', 'rejected', 3, 0 UNION ALL SELECT '?', 'foreign', 2, 0"""
+for _name in ("cooldown", "sessions", "first_seen"):
+    ORACLES[f"stream_{_name}_batches"] = ORACLES[f"stream_{_name}"]
+ORACLES["stream_session_windows_batches"] = ORACLES["stream_session_windows"].replace("- 600000000", "- 1728000000000")
 ORACLES["first_time_batches"] = EV + """, b AS (SELECT *, CASE WHEN k % 4 = 1 THEN 0 ELSE 1 END AS batch FROM ev)
 SELECT record_id, CAST(action IS NOT NULL AND row_number() OVER (PARTITION BY src_ip, action ORDER BY batch, ts, record_id) = 1 AS BIGINT) AS new_action,
   CAST(dst_ip IS NOT NULL AND row_number() OVER (PARTITION BY src_ip, dst_ip ORDER BY batch, ts, record_id) = 1 AS BIGINT) AS new_destination FROM b"""

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from logwarden import constants as K
 from logwarden.functions import jsonflat, scalars, syslog, timestamps
@@ -262,6 +262,12 @@ def alert_search(spark, d):
     return alerts.search(a, "critical", "MAL", ["classification", "source_ip"]).select("raw_record_id", "priority", "classification")
 
 
+@query
+def alert_search_found(spark, d):
+    """A search that finds alerts: part of a priority, and text in any of two fields."""
+    return alerts.search(all_alerts(spark, d), "p", "1", ["classification", "source_ip"]).select("raw_record_id", "priority", "classification")
+
+
 @query
 def benign_only(spark, d):
     return labels.benign_only(canonical_events(spark, d).withColumnRenamed("classification", "label")).select("record_id", "label")
@@ -506,6 +512,18 @@ def new_destination(spark, d):
     return behavior.first_seen(after, "src_ip", "dst_ip", "ts", "record_id", "is_new", known).select("record_id", "is_new")
 
 
+@query
+def directory_scan(spark, d):
+    """A directory of CSV files, files that are not what their extension says and files of no known format: what became of each."""
+    ev, place = table(spark, d, "events"), scratch_path(spark, "directory-scan")
+    ev.select("event_id", "event_type", "value").repartition(4).write.option("header", True).csv(f"{place}/in/flows")
+    ev.select("event_id", "event_type").repartition(3).write.format("xml").option("rowTag", "entry").save(f"{place}/in/broken")  # XML without events
+    ev.select("event_type").repartition(2).write.text(f"{place}/in/notes")
+    scan = readers.scan_logs(spark, f"{place}/in", f"{place}/out")
+    return scan.files.groupBy(F.coalesce("format", F.lit("?")).alias("format"), "status").agg(
+        F.count("*").alias("files"), F.sum("rows").alias("n_rows"))
+
+
 @query
 def first_time_batches(spark, d):
     """Two batches in a row against a stored history; the second is run twice, as after a failure."""
@@ -650,6 +668,13 @@ def stratified_split(spark, d):
     return s.groupBy("label").agg(F.count_if("is_test").alias("test"), F.count_if(~F.col("is_test")).alias("train"))
 
 
+@query
+def stratified_split_ids(spark, d):
+    """Which rows are for testing, not only how many."""
+    s = labels.stratified_split(canonical_events(spark, d).withColumnRenamed("classification", "label"), "record_id", rounds=2, digits=5)
+    return longs(s.select("record_id", "label", "is_test"))
+
+
 # --------------------------------------------------------- 2.9 ensemble, alerts
 @query
 def ensemble_scores(spark, d):
@@ -914,6 +939,46 @@ def stream_sessions(spark, d):
     return rounded(_drained(spark, stateful.sessions_stream(_event_stream(spark, d), "src_ip", "ts", "record_id"), "sessions"))
 
 
+def _late_batches(spark, d, late=True):
+    """The events as six files in the order of time, every seventh row (if ``late``) one file late, read as six micro-batches."""
+    place = scratch_path(spark, "event-batches")
+    ev = table(spark, d, "events")
+    edges = ev.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("a"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("b"))
+    at = (F.unix_micros(F.col("ts").cast("timestamp")) - F.col("a")) / (F.col("b") - F.col("a") + 1)
+    slot = F.least(F.floor(at * 6) + F.when(F.lit(late) & (F.col("event_id") % 7 == 0), 1).otherwise(0), F.lit(5))
+    numbered = ev.join(F.broadcast(edges)).withColumn("_slot", slot).select(*ev.columns, "_slot")  # a row of two numbers
+    stream_schema = ev.schema
+    for n in range(6):
+        numbered.where(F.col("_slot") == n).drop("_slot").coalesce(1).write.mode("append").parquet(f"{place}/in")
+    raw = spark.readStream.schema(stream_schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    return raw.select(F.col("event_id").alias("record_id"), "ts", F.col("user_id").cast("string").alias("src_ip"), F.col("event_type").alias("action"))
+
+
+@query
+def stream_cooldown_batches(spark, d):
+    """Greedy cooldown whose state goes through six micro-batches."""
+    return _drained(spark, stateful.cooldown_stream(_late_batches(spark, d, late=False), "src_ip", "ts", "record_id", 86400, 864000, "30 days"), "cooldown-batches")
+
+
+@query
+def stream_sessions_batches(spark, d):
+    """Running sessions whose state goes through six micro-batches."""
+    return rounded(_drained(spark, stateful.sessions_stream(_late_batches(spark, d, late=False), "src_ip", "ts", "record_id"), "sessions-batches"))
+
+
+@query
+def stream_session_windows_batches(spark, d):
+    """Closed sessions of six micro-batches with rows that come a micro-batch late."""
+    s = _drained(spark, stateful.session_windows(_late_batches(spark, d), "src_ip", "ts", delay="20 days"), "session-windows-batches")
+    return s.select("src_ip", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events")
+
+
+@query
+def stream_first_seen_batches(spark, d):
+    s = stateful.first_seen_stream(_late_batches(spark, d), "src_ip", "action", "ts", "60 days")
+    return _drained(spark, s.select("src_ip", "action"), "first-seen-batches")
+
+
 @query
 def stream_session_windows(spark, d):
     s = _drained(spark, stateful.session_windows(_event_stream(spark, d), "src_ip", "ts"), "session-windows")
@@ -1126,7 +1191,45 @@ def rforest_importance(spark, d):
         random_forest.fit_random_forest(rows, _MODEL_FEATURES, trees=20, max_depth=10), spark), 4)
 
 
+@query
+def model_facts(spark, d):
+    """What must hold of both models whatever their trees: every row scored once and within bounds, anomalies apart from benign rows, classes learned."""
+    rows = cut_lineage(labels.stratified_split(_model_rows(spark, d), "record_id"), "model-rows")
+    forest = IsolationForest(features=_MODEL_FEATURES).fit(labels.benign_only(rows))
+    classes = random_forest.fit_random_forest(rows.where("NOT is_test"), _MODEL_FEATURES, trees=20, max_depth=10)
+    scored = cut_lineage(random_forest.classify(forest.transform(rows.drop("classification", "class_confidence", "anomaly_score")), classes), "model-facts")
+    score, right = F.col("anomaly_score"), F.col("classification") == F.col("label")
+    mean = lambda c: F.avg(F.when(c, score))
+    return scored.agg(
+        F.count("*").alias("records"), F.countDistinct("record_id").alias("scored_records"), F.count_if((score <= 0) | (score > 1)).alias("outside_bounds"),
+        F.count_if(~F.col("class_confidence").between(0, 1)).alias("odd_confidences"), F.count_if("is_test").alias("test_records"),
+        (mean(F.col("label") == "Exfiltration") > mean(F.col("label") == "Benign")).cast("long").alias("anomalies_score_higher"),
+        (F.avg(F.when(F.col("is_test"), right.cast("int"))) > 0.95).cast("long").alias("test_accuracy_over_95"))
+
+
 # --------------------------------------------------------------- whole pipelines
+@query
+def analyze_full(spark, d):
+    """Features, both models, ensemble, cooldown and alerts in one run, with models that were stored and loaded.
+
+    The rows are those of the run, with what must hold of each whatever the models' scores.
+    """
+    rows = cut_lineage(_model_rows(spark, d).drop("k", "anomaly_score", "classification", "class_confidence"), "analyze-rows")
+    config = analysis_plan.AnalysisConfig(features=FeatureConfig(ts="ts", numeric=["bytes_total"], categorical=["action"]), cooldown_seconds=3600)
+    features = ["bytes_total", "dst_port", "stat_bytes_total_mean", "time_events_per_hour"]
+    path = scratch_path(spark, "models")
+    analysis_plan.train(build_features(rows, config.features), features, trees=20, max_depth=8).save(path)
+    results, found = analysis_plan.analyze(rows.drop("label"), analysis_plan.Models.load(path), config)
+    kept = results.select("record_id", "requires_alert", F.col("combined_risk_score").between(0, 1).alias("in_bounds"),
+                          F.col("risk_level").isin("Low", "Medium", "High", "Critical").alias("has_level"))
+    alerted = found.select(F.col("raw_record_id").cast("long").alias("record_id"), F.lit(True).alias("alert")).distinct()
+    first = F.row_number().over(Window.partitionBy("src_ip").orderBy("ts", "record_id")) == 1
+    whole = rows.select("record_id", first.alias("first_of_source")).join(kept, "record_id", "left").join(alerted, "record_id", "left")
+    return longs(whole.select("record_id", (F.coalesce("in_bounds", F.lit(True)) & F.coalesce("has_level", F.lit(True))).alias("well_scored"),
+                              (F.coalesce("requires_alert", F.lit(False)) == F.coalesce("alert", F.lit(False))).alias("alert_follows_result"),
+                              (~F.col("first_of_source") | F.col("in_bounds").isNotNull()).alias("first_is_kept")))
+
+
 @query
 def features(spark, d):
     """All features of the pipeline, fitted on the batch itself."""

@@ -8,6 +8,7 @@ not parse are left out; :func:`parse_errors` counts them.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -16,6 +17,8 @@ from logwarden import constants as K
 from logwarden.functions import eventxml, jsonflat, scalars, syslog
 from logwarden.operators.standardize import extract_timestamp
 
+from logwarden.session import cut_lineage
+
 Paths = str | list[str]
 HEAD_BYTES = 65536
 
@@ -315,6 +318,35 @@ def read_logs(spark: SparkSession, path: Paths, fmt: str | None = None, recursiv
     return union_all([READERS[f](spark, paths) for f, paths in sorted(groups.items())])
 
 
+@dataclass(frozen=True)
+class Scan:
+    """Rows of a directory and one row per file: path, format, bytes, rows, status."""
+
+    rows: DataFrame
+    files: DataFrame
+
+
+def scan_logs(spark: SparkSession, path: Paths, out: str, recursive: bool = True) -> Scan:
+    """Read a directory into the tables ``out/rows`` and ``out/files``, so that no file is lost unseen.
+
+    The status of a file is ``read``, ``rejected`` (its format is known but it gave no row) or
+    ``foreign`` (no known format).  Rows are counted per file in what was written.  Spark lists no files without bytes.
+    """
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", F.col("length").alias("bytes"))
+    found = cut_lineage(listing.join(formats(spark, path, recursive), "path"), "scan-files")
+    names = found.where("format IS NOT NULL").limit(1).count()
+    rows = read_logs(spark, path, recursive=recursive) if names else spark.createDataFrame([], "source_file string")
+    rows.write.mode("overwrite").parquet(f"{out}/rows")
+    written = spark.read.schema(rows.schema).parquet(f"{out}/rows")
+    same = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    counts = written.groupBy(same(F.col("source_file")).alias("_file")).agg(F.count(F.lit(1)).alias("rows"))
+    n = F.coalesce("rows", F.lit(0))
+    status = F.when(F.col("format").isNull(), "foreign").when(n == 0, "rejected").otherwise("read")
+    files = found.join(counts, same(F.col("path")) == F.col("_file"), "left").select("path", "format", "bytes", n.alias("rows"), status.alias("status"))
+    files.write.mode("overwrite").parquet(f"{out}/files")
+    return Scan(written, spark.read.schema(files.schema).parquet(f"{out}/files"))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """Rows of all frames, columns matched by name; a column of different types becomes text."""
     kinds: dict[str, set[str]] = {}

@@ -22,11 +22,17 @@ def directory_lines(spark: SparkSession, folder: str, glob: str = "*", recursive
     return lines.where(F.trim("raw_line") != "").withColumn("ingest_time", F.current_timestamp())
 
 
-def growing_lines(spark: SparkSession, folder: str, glob: str = "*", from_end: bool = False) -> DataFrame:
-    """Lines appended to the files of a folder."""
+def growing_lines(spark: SparkSession, folder: str, glob: str = "*", from_end: bool = False, max_bytes: int | None = None,
+                  progress: str | None = None) -> DataFrame:
+    """Lines appended to the files of a folder, about ``max_bytes`` a micro-batch; see :mod:`logwarden.sources.tail`."""
     tail.register(spark)
-    lines = (spark.readStream.format("growing_files").option("glob", glob)
-             .option("startingPosition", "latest" if from_end else "earliest").load(folder))
+    reader = (spark.readStream.format("growing_files").option("glob", glob)
+              .option("startingPosition", "latest" if from_end else "earliest"))
+    if max_bytes:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
+    if progress:
+        reader = reader.option("progressLocation", progress)
+    lines = reader.load(folder)
     return lines.select(F.col("value").alias("raw_line"), "source_file").withColumn("ingest_time", F.current_timestamp())
 
 

@@ -304,3 +304,23 @@ def test_cooldown_stream_keeps_state_between_batches(spark, tmp_path):
         ingest.drain(stateful.cooldown_stream(stream, "fp", "ts", "id", 60), out, str(tmp_path / "cp"))
     # 0 s kept, 30 s not; 100 s kept, 119 s not; 130 s not.
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [0, 11]
+
+
+def test_directory_scan_counts_every_file(spark, tmp_path):
+    logs = tmp_path / "in"
+    (logs / "deep").mkdir(parents=True)
+    (logs / "a.csv").write_text("src_ip,action\n1.1.1.1,x\n2.2.2.2,y\n")
+    (logs / "deep/b.jsonl").write_text('{"src_ip":"3.3.3.3"}\nnot json\n')
+    (logs / "broken.json").write_text('{"src_ip": ')
+    (logs / "notes.bin").write_text("nothing known")
+    (logs / "none.log").write_text("")
+    scan = readers.scan_logs(spark, str(logs), str(tmp_path / "out"))
+    got = {r.path.rsplit("/", 1)[1]: (r.format, r.rows, r.status) for r in scan.files.collect()}
+    assert got == {"a.csv": ("CSV", 2, "read"), "b.jsonl": ("JSONL", 1, "read"), "broken.json": ("JSON", 0, "rejected"),
+                   "notes.bin": (None, 0, "foreign")}  # Spark lists no file without bytes
+    assert scan.rows.count() == 3
+    foreign = tmp_path / "foreign"
+    foreign.mkdir()
+    (foreign / "x.bin").write_text("nothing known")
+    alone = readers.scan_logs(spark, str(foreign), str(tmp_path / "out2"))
+    assert [r.status for r in alone.files.collect()] == ["foreign"] and alone.rows.count() == 0

@@ -109,6 +109,22 @@ def test_stratified_split_is_exact(spark, small_runs):
     assert got == {("a", False): 40, ("a", True): 10, ("b", False): 42, ("b", True): 11}
 
 
+@pytest.mark.parametrize("share,rounds,digits", [(0.2, 2, 12), (0.5, 1, 3), (1.0, 2, 4), (0.0, 3, 5), (0.01, 2, 2)])
+def test_stratified_split_ids(spark, share, rounds, digits):
+    import hashlib
+    import math
+
+    rows = [(f"r{i}", "abc"[min(2, i % 7)] if i % 11 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "record_id string, label string")
+    got = {r.record_id: r.is_test for r in labels.stratified_split(df, "record_id", test_share=share, seed=5, rounds=rounds, digits=digits).collect()}
+    want = {}
+    for label in "abc":
+        ids = sorted((int(hashlib.md5(f"5:{i}".encode()).hexdigest()[:15], 16), i) for i, x in rows if x == label)
+        keep = math.floor(len(ids) * (1.0 - share) + 1e-9)
+        want |= {i: n >= keep for n, (_, i) in enumerate(ids)}
+    assert got == want
+
+
 @pytest.fixture(scope="module")
 def clusters(spark):
     rng = np.random.default_rng(7)
