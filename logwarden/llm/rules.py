@@ -4,25 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from math import floor, log, sqrt
+from math import floor, sqrt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logwarden.llm.common import SPACE
+from logwarden.llm.common import SPACE, small_or_shuffled
+from logwarden.session import cut_lineage
 
 SYMBOLS = "[#*$%&|<>]"
 
 
 @dataclass(frozen=True)
 class Rules:
-    """``buckets`` bounds both multinomials, ``target_rows`` the labelled rows taken as the trusted
-    target (those with the smallest hashes of their ids).  A text passes if the mean
+    """``buckets`` bounds both multinomials; all rows labelled 1 are the trusted target.  A text passes if the mean
     log ratio of its words and word pairs is at least ``least_ratio`` and at most ``spread``
     standard deviations below the mean of trusted texts that were not counted, if there are ``least_held_out`` of
     those; ``window`` and the other numbers belong to the base rules."""
 
     buckets: int = 1 << 16
-    target_rows: int = 20_000
     least_ratio: float = -0.3
     spread: float = 4.0
     least_held_out: int = 10
@@ -85,61 +84,73 @@ def measures(text: Column, weights: Column, p: Rules) -> Column:
     lines = F.filter(F.split(plain, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     symbols = F.length(plain) - F.length(F.regexp_replace(plain, SYMBOLS, ""))
 
-    def ratio(h: Column) -> Column:
-        one = lambda b: F.element_at(weights, b.cast("int") + 1)
+    def ratio(h: Column, table: Column) -> Column:
+        one = lambda b: F.element_at(table, b.cast("int") + 1)
         pair = lambda i: F.when(i + 1 < F.size(h), one(pair_bucket(h, i, p))).otherwise(0)
         return F.aggregate(upto(F.size(h)), F.lit(0).cast("long"), lambda a, i: a + one(F.pmod(F.get(h, i), F.lit(p.buckets))) + pair(i))
 
-    return let(words_of(text), lambda w: let(word_hashes(w), lambda h: F.struct(
+    return let(weights, lambda table: let(words_of(text), lambda w: let(word_hashes(w), lambda h: F.struct(
         F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-        repeated_words(h, p).cast("long").alias("n_repeat_words"), ratio(h).alias("ratio_sum"),
-        F.greatest(2 * F.size(w) - 1, F.lit(0)).cast("long").alias("n_grams"))))
+        repeated_words(h, p).cast("long").alias("n_repeat_words"), ratio(h, table).alias("ratio_sum"),
+        F.greatest(2 * F.size(w) - 1, F.lit(0)).cast("long").alias("n_grams")))))
 
 
-def trusted_ids(labels: DataFrame, p: Rules) -> DataFrame:
+def measured(docs: DataFrame, weights: Column, p: Rules, text: str, into: str) -> DataFrame:
+    """``docs`` with :func:`measures` as the column ``into``.
+
+    The condition always holds; as it counts rows, Spark neither pushes filters on the measures below a join nor computes them
+    again for each filter.
+    """
+    held = docs.withColumn("__table", weights)
+    return held.withColumn(into, F.when(F.monotonically_increasing_id() >= 0, measures(F.col(text), F.col("__table"), p))).drop("__table")
+
+
+def trusted_ids(labels: DataFrame) -> DataFrame:
     """(__trusted, __counted): ids of the target, and whether they are in the half that is counted to judge the other."""
-    return (labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__trusted")).distinct()
-            .orderBy(F.xxhash64("__trusted"), "__trusted").limit(p.target_rows)
+    return (labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("__trusted")).distinct()
             .withColumn("__counted", F.pmod(F.xxhash64("__trusted", F.lit("half")), F.lit(2)) == 0))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, p: Rules, text: str, key: str) -> tuple[Column, Column]:
-    """Constant arrays with the log ratio of target and raw corpus in each bucket, in thousandths: of the whole target, and of its counted half.
+def log_ratios(docs: DataFrame, trusted: DataFrame, p: Rules, text: str, key: str) -> tuple[Column, Column]:
+    """Arrays with the log ratio of target and raw corpus in each bucket, in thousandths: of the whole target, and of its counted half.
 
-    The raw counts cover every word of every text.
+    The raw counts cover every word of every text.  Counts and ratios stay in Spark: the arrays are a written
+    table of one row, read as scalar subqueries, so that plans hold no table.
     """
-    seen = docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__text")).join(
-        F.broadcast(trusted_ids(labels, p)), F.col("__id") == F.col("__trusted"), "left")
-    counts = (seen.select(F.col("__trusted").isNotNull().cast("long").alias("t"), F.coalesce("__counted", F.lit(False)).cast("long").alias("u"),
-                          F.explode(grams(F.col("__text"), p)).alias("bucket"))
-              .groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target"), F.sum("u").alias("half")).collect())  # at most ``buckets`` rows
-    raw, target = sum(c.raw for c in counts), sum(c.target for c in counts)
-
-    def constant(of: str) -> Column:
+    seen = docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__text")).join(trusted, F.col("__id") == F.col("__trusted"), "left")
+    counts = cut_lineage(
+        seen.select(F.col("__trusted").isNotNull().cast("long").alias("t"), F.coalesce("__counted", F.lit(False)).cast("long").alias("u"),
+                    F.explode(grams(F.col("__text"), p)).alias("bucket"))
+        .groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target"), F.sum("u").alias("half")), "rules-counts")
+    sums = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("raw", "target", "half")]).first()
+
+    def ratio(of: str) -> Column:
         # Counts of the half are raised to the size of the whole, so that unseen texts score alike in both.
-        times = target / max(1, sum(c[of] for c in counts))
+        times = sums.target / max(1, sums[of])
         # The target's shares lean towards the raw ones with the weight of one word per bucket.
-        table = [round(p.UNIT * log(p.buckets / (target + p.buckets)))] * p.buckets
-        for c in counts:
-            table[c.bucket] = round(p.UNIT * log((c[of] * times * raw / c.raw + p.buckets) / (target + p.buckets)))
-        return F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
+        likely = F.coalesce(F.col(of) * times * sums.raw / F.col("raw"), F.lit(0.0)) + p.buckets
+        return F.rint(p.UNIT * F.log(likely / (sums.target + p.buckets))).cast("int")
 
-    return constant("target"), constant("half")
+    every = docs.sparkSession.range(p.buckets).withColumnRenamed("id", "bucket").join(counts, "bucket", "left")
+    # One row of ``buckets`` numbers, whatever the corpus.
+    row = every.agg(F.array_sort(F.collect_list(F.struct("bucket", ratio("target").alias("target"), ratio("half").alias("half")))).alias("t"))
+    arrays = cut_lineage(row.select(F.col("t.target").alias("target"), F.col("t.half").alias("half")), "rules-ratios")
+    return arrays.select("target").scalar(), arrays.select("half").scalar()
 
 
 def base_failed(x: Column, p: Rules) -> Column:
     return (x["n_words"] < p.least_words) | (100 * x["n_repeat_words"] > p.repeat_percent * x["n_words"])
 
 
-def least_ratio(docs: DataFrame, labels: DataFrame, half: Column, p: Rules, text: str, key: str) -> int:
+def least_ratio(docs: DataFrame, trusted: DataFrame, half: Column, p: Rules, text: str, key: str) -> int:
     """The least mean log ratio, in thousandths.
 
     The more text a bucket mixes, the nearer all ratios are to 0, so the bound follows the scores of trusted
     texts.  These are judged by the counts of the others, as texts of the corpus at large are; sums are in whole numbers.
     """
-    held = trusted_ids(labels, p).where("not __counted")
-    seen = docs.join(F.broadcast(held), F.col(key).cast("long") == F.col("__trusted"), "left_semi").select(measures(F.col(text), half, p).alias("__m"))
+    held = small_or_shuffled(trusted.where("not __counted"))
+    seen = measured(docs.join(held, F.col(key).cast("long") == F.col("__trusted"), "left_semi").select(text), half, p, text, "__m")
     x = F.col("__m")
     score = F.round(x["ratio_sum"] * 1000 / x["n_grams"]).cast("long")
     of = seen.where(~base_failed(x, p)).select(score.alias("s")).agg(F.count("s").alias("n"), F.sum("s").alias("s"), F.sum(F.col("s") * F.col("s")).alias("ss")).first()
@@ -159,9 +170,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, p: Rules = Rules(), text:
     and the base rules decide alone.  Rows are judged one by one: repeats share a verdict, none is dropped,
     other columns are untouched.
     """
-    weights, half = log_ratios(docs, labels, p, text, key)
-    least = least_ratio(docs, labels, half, p, text, key)
-    m = docs.withColumn("__m", measures(F.col(text), weights, p))
+    trusted = cut_lineage(trusted_ids(labels), "rules-trusted")
+    weights, half = log_ratios(docs, small_or_shuffled(trusted), p, text, key)
+    least = least_ratio(docs, trusted, half, p, text, key)
+    m = measured(docs, weights, p, text, "__m")
     x = F.col("__m")
     failed = base_failed(x, p)
     fine = x["ratio_sum"] >= least * x["n_grams"]

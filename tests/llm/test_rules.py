@@ -86,3 +86,17 @@ def test_junk_is_rejected_alike_however_large_the_corpus(spark):
         rejected.append(sum(not k for d, k in got.items() if d % 10 == 0) / sum(d % 10 == 0 for d in got))
         lost.append(sum(not k for d, k in got.items() if d % 10) / sum(d % 10 > 0 for d in got))
     assert min(rejected) > 0.95 and max(lost) < 0.02, (rejected, lost)
+
+
+def test_plan_holds_no_table(spark):
+    plan = quality_rules(odd_docs(spark), labels(spark, [(1, 1)]))._jdf.queryExecution().toString()
+    assert len(plan) < 100_000
+
+
+def test_every_trusted_row_counts(spark):
+    """Labelled rows that ``docs`` lacks change nothing, however many there are."""
+    rows = [(i, sentence(random.Random(i), 40)) for i in range(30)]
+    few = labels(spark, [(i, 1) for i in range(15)])
+    many = spark.range(1000, 41_000).selectExpr("id as doc_id", "1 as quality", "cast(null as string) as text").unionByName(few)
+    got = [sorted((r.doc_id, r.rules.mean_ratio) for r in quality_rules(odd_docs(spark, rows), k).collect()) for k in (few, many)]
+    assert got[0] == got[1]
