@@ -9,7 +9,7 @@ from math import comb, log
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logwarden.llm.common import WordHasher, shingles, small_or_shuffled, text_slices, utf8
 from logwarden.llm.components import components
@@ -22,7 +22,8 @@ class NearDups:
 
     ``rows`` hashes make a band; the number of bands follows from ``miss``, the
     probability that no band of a pair at the threshold agrees.  ``prune`` is the
-    posterior probability of a link below which a candidate is given up.
+    posterior probability of a link below which a candidate is given up.  Members apart from their
+    hub ask one partner each in up to ``rounds`` rounds before the rest is searched whole.
     """
 
     shingle: int = 5
@@ -30,6 +31,7 @@ class NearDups:
     rows: int = 5
     miss: float = 1e-7
     prune: float = 1e-7
+    rounds: int = 8
     seed: int = 7
 
     @property
@@ -154,9 +156,8 @@ def with_sets(pairs: DataFrame, held: DataFrame, a: str, b: str) -> DataFrame:
             .join(held.select(F.col("fp").alias(a), F.col("items").alias("items_a")), a))
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDups, text: str) -> DataFrame:
-    """The pairs that are links on their full shingle sets."""
-    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+def confirmed(pairs: DataFrame, held: DataFrame, p: NearDups) -> DataFrame:
+    """The pairs that are links on their full shingle sets ``held``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +169,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDups
                     links.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).take(pa.array(links, pa.int64()))
 
-    both = with_sets(pairs, shingle_sets(ends, classes, docs, p, text), "a", "b")
+    both = with_sets(pairs, held, "a", "b")
     return both.select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
 
 
@@ -200,8 +201,8 @@ def departures(members: DataFrame, held: DataFrame) -> DataFrame:
     return both.select("hub", "fp", "c", "main", "items_a", "items_b").mapInArrow(run, schema)
 
 
-def across(tokens: DataFrame, p: NearDups) -> DataFrame:
-    """Pairs (a, b) of members of one hub in different components that can be linked, by prefixes of their departures.
+def prefixes(tokens: DataFrame, p: NearDups) -> DataFrame:
+    """(hub, token, fp, size, n, place, any): the prefixes of departures by which members of a hub can find each other.
 
     Let D(x) be the shingles in which x differs from hub h.  A link of x and y leaves them at most
     R = r (|x| + |y|) differences, r = (100 - percent) / (100 + percent), so D(x) and D(y) share at least
@@ -209,7 +210,8 @@ def across(tokens: DataFrame, p: NearDups) -> DataFrame:
     r (|x| + |h|) departures: the two share more than (|D(y)| + r (|h| - |y|)) / 2.  As |D(x)| and |D(y)|
     differ by R at most, they also share at least |D(x)| - R and |D(y)| - R.  Hence, with departures
     ordered by how few members have them, the first |D| + 1 less that number of each hold a common one,
-    the first of all common ones, and enough must follow it in both.
+    the first of all common ones, and enough must follow it in both.  ``any`` marks the prefix that serves y, the others
+    serve only members out of the hub's component.
     """
     r = (100 - p.percent) / (100 + p.percent)
     counts = tokens.groupBy("hub", "token").agg(F.count("*").alias("among"), F.max("odd").alias("sought"))
@@ -218,43 +220,94 @@ def across(tokens: DataFrame, p: NearDups) -> DataFrame:
     widest = F.col("n") - r * F.col("size") * (1 + 100 / p.percent)
     as_any = F.col("n") - F.floor(F.greatest((F.col("n") + r * (F.col("hub_size") - F.col("size"))) / 2, widest) - 1e-6)
     as_odd = F.col("n") - F.floor(F.greatest(F.lit(0.0), widest) - 1e-6)
+    ranked = ranked.withColumn("any", F.col("place") <= as_any).where(F.col("any") | (F.col("odd") & (F.col("place") <= as_odd)))
+    return ranked.select("hub", "token", "fp", "size", "n", "place", "any", (F.col("odd") & (F.col("place") <= as_odd)).alias("asks"))
+
+
+def sides(rows: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The prefixes of all open members, and of those out of their hub's component (columns with _x), by the components of ``state``."""
+    now = rows.join(state.select("hub", "fp", "c", (F.col("c") != F.col("main")).alias("odd")), ["hub", "fp"])
     names = ("fp", "c", "size", "n", "place")
-    index = ranked.where(F.col("place") <= as_any).select("hub", "token", *names)
-    probe = ranked.where(F.col("odd") & (F.col("place") <= as_odd)).select("hub", "token", *[F.col(v).alias(f"{v}_x") for v in names])
+    return (now.where("any").select("hub", "token", *names),
+            now.where("odd and asks").select("hub", "token", *[F.col(v).alias(f"{v}_x") for v in names]))
+
+
+def fits(p: NearDups) -> Column:
+    """Whether two members of different components that share a token can be linked."""
+    r = (100 - p.percent) / (100 + p.percent)
     # If this shingle is their first common one, no more than what follows in either can be common.
     after = 1 + F.least(F.col("n") - F.col("place"), F.col("n_x") - F.col("place_x"))
-    fits = ((F.col("c") != F.col("c_x")) & (100 * F.least("size", "size_x") >= p.percent * F.greatest("size", "size_x"))
+    return ((F.col("c") != F.col("c_x")) & (100 * F.least("size", "size_x") >= p.percent * F.greatest("size", "size_x"))
             & (F.abs(F.col("n") - F.col("n_x")) <= r * (F.col("size") + F.col("size_x")) + 1e-6)
             & (2 * after >= F.col("n") + F.col("n_x") - r * (F.col("size") + F.col("size_x")) - 1e-6))
-    return index.join(probe, ["hub", "token"]).where(fits).select(F.least("fp", "fp_x").alias("a"), F.greatest("fp", "fp_x").alias("b")).distinct()
+
+
+def partners(rows: DataFrame, state: DataFrame, p: NearDups, turn: int) -> DataFrame:
+    """One pair (a, b) per open member at most: it and the member it meets under most tokens.
+
+    Only one member of each token's bucket is met, another one each turn, so there are no more meetings than prefix rows.
+    """
+    index, probe = sides(rows, state)
+    of = F.struct(F.xxhash64("fp_x", F.lit(turn)).alias("h"), *[c for c in probe.columns if c.endswith("_x")])
+    met = probe.groupBy("hub", "token").agg(F.min(of).alias("m")).select("hub", "token", *[f"m.{c}" for c in probe.columns if c.endswith("_x")])
+    meetings = index.join(met, ["hub", "token"]).where(fits(p)).groupBy("fp", "fp_x").agg(F.count("*").alias("times"))
+    best = meetings.groupBy("fp").agg(F.max(F.struct("times", "fp_x")).alias("m"))
+    return best.select(F.least("fp", "m.fp_x").alias("a"), F.greatest("fp", "m.fp_x").alias("b")).distinct()
+
+
+def across(rows: DataFrame, state: DataFrame, p: NearDups) -> DataFrame:
+    """All pairs (a, b) of members of one hub in different components that can be linked, by their :func:`prefixes`."""
+    index, probe = sides(rows, state)
+    return index.join(probe, ["hub", "token"]).where(fits(p)).select(F.least("fp", "fp_x").alias("a"), F.greatest("fp", "fp_x").alias("b")).distinct()
+
+
+def still_open(state: DataFrame, label: DataFrame, node: str, hub: str) -> DataFrame:
+    """Members (hub, fp, c, main) whose hubs still hold several components; c and main are the labels of ``node`` and ``hub``."""
+    named = (state.withColumn("__c", F.col(node)).withColumn("__m", F.col(hub)).select("hub", "fp", "__c", "__m")
+             .join(label.select(F.col("node").alias("__c"), F.col("label").alias("c")), "__c", "left")
+             .join(label.select(F.col("node").alias("__m"), F.col("label").alias("main")), "__m", "left")
+             .select("hub", "fp", F.coalesce("c", "__c").alias("c"), F.coalesce("main", "__m").alias("main")))
+    # A hub with one member, or with all members in its component, leaves nothing to compare.
+    open_ = named.groupBy("hub").agg(F.count("*").alias("n"), F.max((F.col("c") != F.col("main")).cast("int")).alias("odd")).where("n > 1 and odd = 1")
+    return cut_lineage(named.join(open_, "hub", "left_semi"), "near-open")
 
 
 def links(classes: DataFrame, docs: DataFrame, p: NearDups, text: str) -> DataFrame:
     """Confirmed links (a, b) between classes that have the same components as all links of candidates.
 
     The members of a bucket are first compared with one hub of it, the least.  Two members in one
-    component need no comparison.  Members that are not in their hub's component are then
-    searched among all members of that hub by :func:`across`, which misses no link, so no bucket
-    is ever expanded into its pairs.
+    component need no comparison.  Members that are not in their hub's component then ask
+    one partner each (:func:`partners`), and components merge, round by round while links are found, so that a group of
+    near copies is one component before its pairs are made.  What is apart then is
+    searched among all members of its hub by :func:`across`, which misses no link.
     """
     members = cut_lineage(bucket_keys(classes, p), "near-buckets")
     hubs = members.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("hub")).where("n > 1").select("key", "hub")
     star = cut_lineage(members.join(hubs, "key").where("fp != hub").select("hub", "fp").distinct(), "near-star")
+    likely = cut_lineage(plausible(star.select(F.col("hub").alias("a"), F.col("fp").alias("b")), classes, p), "near-likely")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        likely = cut_lineage(plausible(pairs, classes, p), "near-likely")
-        return cut_lineage(confirmed(likely, classes, docs, p, text), "near-links")
+    def sets_of(pairs: DataFrame, a: str, b: str) -> DataFrame:
+        ends = pairs.select(F.col(a).alias("fp")).unionByName(pairs.select(F.col(b).alias("fp"))).distinct()
+        return shingle_sets(ends, classes, docs, p, text)
 
-    found = verify(star.select(F.col("hub").alias("a"), F.col("fp").alias("b")))
-    label = components(found)
-    state = (star.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("label", "fp")).drop("label")
-             .join(label.withColumnRenamed("node", "hub"), "hub", "left").withColumn("main", F.coalesce("label", "hub")).drop("label"))
-    # A hub with one member, or with all members in its component, leaves nothing to compare.
-    open_ = state.groupBy("hub").agg(F.count("*").alias("n"), F.max((F.col("c") != F.col("main")).cast("int")).alias("odd")).where("n > 1 and odd = 1")
-    state = cut_lineage(state.join(open_, "hub", "left_semi").select("hub", "fp", "c", "main"), "near-open")
-    ends = state.select("fp").unionByName(state.select(F.col("hub").alias("fp"))).distinct()
-    tokens = cut_lineage(departures(state, shingle_sets(ends, classes, docs, p, text)), "near-departures")
-    return found.unionByName(verify(cut_lineage(across(tokens, p), "near-pairs")))
+    found = cut_lineage(confirmed(likely, sets_of(likely, "a", "b"), p), "near-links")
+    state = still_open(star, components(found), "fp", "hub")
+    held = sets_of(state, "hub", "fp")
+    rows = cut_lineage(prefixes(cut_lineage(departures(state, held), "near-departures"), p), "near-prefixes")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        apart = cut_lineage(plausible(cut_lineage(pairs, "near-pairs"), classes, p), "near-likely")
+        return cut_lineage(confirmed(apart, held, p), "near-links")
+
+    for turn in range(p.rounds):
+        more = verify(partners(rows, state, p, turn))
+        if more.isEmpty():
+            break
+        found = found.unionByName(more)
+        at = state.select("fp", "c").distinct()
+        joined = (more.join(at.select(F.col("fp").alias("a"), F.col("c").alias("ca")), "a").join(at.select(F.col("fp").alias("b"), F.col("c").alias("cb")), "b"))
+        state = still_open(state, components(joined, "ca", "cb"), "c", "main")
+    return found.unionByName(verify(across(rows, state, p)))
 
 
 def near_duplicates(docs: DataFrame, p: NearDups = NearDups(), text: str = "text", key: str = "doc_id") -> DataFrame:
