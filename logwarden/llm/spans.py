@@ -114,10 +114,12 @@ def without(texts: pa.Array, cuts: pa.Array) -> pa.Array:
 def repeated_ranges(docs: DataFrame, p: Spans = Spans(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """(row_key, ranges): per row the sentence ranges of spans that are not the first of their kind."""
     found = spans(docs, p, text, key)
-    many = (found.where("not again").groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    # Document, then row, in one number, which Spark can aggregate by hash.
+    turn = F.col("doc").cast("decimal(19,0)") * F.lit(1 << 60).cast("decimal(19,0)") + F.col("row_key").bitwiseAND((1 << 60) - 1).cast("decimal(19,0)")
+    many = (found.where("not again").groupBy("h1", "h2").agg(F.min(turn).alias("first"), F.max(turn).alias("last"))
             .where("first < last").select("h1", "h2", "first"))
     many = cut_lineage(many, "span-repeats")  # joined by shuffle on both sides, so that Spark can split a span that very many rows hold
-    late = found.join(many, ["h1", "h2"], "left").where("again or doc > first")
+    late = found.join(many, ["h1", "h2"], "left").where(F.col("again") | (turn > F.col("first")))
     return late.groupBy("row_key").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
 
 
@@ -126,8 +128,8 @@ def substring_dedup(docs: DataFrame, p: Spans = Spans(), text: str = "text", key
 
     The first span of a kind is the one in the document with the smallest doc_id, and the first
     there.  All rows stay; a text may become empty.  Null texts stay null, empty
-    texts empty.  Rows with one doc_id count as one document: what they share is kept in each.  Rows
-    without doc_id count as one document that comes last.  Other columns are untouched; ``count``
+    texts empty.  Different texts with one doc_id come in the order of their hashes; equal texts with one
+    doc_id are one document and share a result.  Rows without doc_id come last.  Other columns are untouched; ``count``
     names a column to be added for the number of sentence ranges cut.
     """
     ranges = repeated_ranges(docs, p, text, key).select(F.col("row_key").alias("__row_key"), F.col("ranges").alias("__ranges"))

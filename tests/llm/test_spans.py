@@ -2,11 +2,19 @@ import random
 
 from corpus import odd_docs, odd_rows, prose, sentence
 
-from logwarden.llm.spans import SENTENCE, Spans, substring_dedup
+from logwarden.llm.spans import SENTENCE, Spans, row_key, substring_dedup
 
 
-def brute(rows, p=Spans()):
+def turns(docs):
+    """The place of every row among those with its doc_id: a hash of its text."""
+    return {(r.doc_id, r.text): r.k & (1 << 60) - 1 for r in docs.select("doc_id", "text", row_key("text", "doc_id").alias("k")).collect()}
+
+
+def brute(rows, turn=None, p=Spans()):
     """The same by plain loops over documents in the order of their ids."""
+    def order(d, text):
+        return (d is None, d or 0, turn[d, text] if turn else 0)
+
     def all_runs(text):
         parts = SENTENCE.findall(text or "")
         at = [i for i, s in enumerate(parts) if s.split()]
@@ -20,12 +28,12 @@ def brute(rows, p=Spans()):
     first = {}
     for d, text in rows:
         for *_, run in all_runs(text):
-            first[run] = min(first.get(run, (1, 0)), (d is None, d or 0))
+            first[run] = min(first.get(run, (2,)), order(d, text))
     out = []
     for d, text in rows:
         gone, seen = set(), set()
         for a, b, run in all_runs(text):
-            if run in seen or first[run] != (d is None, d or 0):
+            if run in seen or first[run] != order(d, text):
                 gone.update(range(a, b))
             seen.add(run)
         out.append((d, text and "".join(s for i, s in enumerate(SENTENCE.findall(text)) if i not in gone)))
@@ -51,7 +59,18 @@ def test_odd_rows_and_columns(spark):
     docs = odd_docs(spark)
     out = substring_dedup(docs, count="n_cut")
     assert out.columns == [*docs.columns, "n_cut"]
-    assert got(out) == brute(odd_rows())
+    assert got(out) == brute(odd_rows(), turns(docs))
+
+
+def test_rows_without_id_and_texts_of_one_id_lose_what_they_repeat(spark):
+    rng = random.Random(15)
+    shared = prose(rng, 6)
+    rows = [(d, f"{prose(rng, 3)} {shared} {prose(rng, 3)}") for d in (None, None, None)]
+    assert sum(shared in t for _, t in got(substring_dedup(odd_docs(spark, rows)))) == 1
+    rows += [(7, f"{prose(rng, 3)} {shared} {prose(rng, 3)}") for _ in range(3)]
+    docs = odd_docs(spark, rows)
+    out = got(substring_dedup(docs))
+    assert [d for d, t in out if shared in t] == [7] and out == brute(rows, turns(docs))
 
 
 def test_one_long_sentence_repeats_alone_but_short_ones_do_not(spark):
