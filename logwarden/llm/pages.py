@@ -161,25 +161,31 @@ def host(url: Column) -> Column:
 
 
 def tree_rows(pages: DataFrame, html: str, url: str) -> DataFrame:
-    """(host, path, kind, value): per page its style nodes, what each presents (its kinds of children) and the texts it contains."""
+    """(host, page, path, kind, value): per page its style nodes, what each presents (its kinds of children) and the texts it contains.
+
+    ``page`` is a hash of the page's texts and their paths, which its copies share.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in text_slices(b, 1)):
-            rows, paths, kinds, values = [], [], [], []
+            rows, prints, paths, kinds, values = [], [], [], [], []
             for n, page in enumerate(batch.column(1).to_pylist()):
                 seen = read(page or "")
                 found = {(path, "children", ",".join(labels)) for path, labels in seen.children.items()}
                 found |= {(path, "text", text) for path, kind, text in seen.blocks if kind != Page.HIDDEN}
                 found |= {(path, "node", "") for path in seen.paths | {path for path, *_ in seen.blocks}}
+                own = "\0".join(f"{path}\1{text}" for path, kind, text in seen.blocks if kind != Page.HIDDEN)
+                own = xxhash.xxh3_64_intdigest(own.encode("utf-8", "surrogatepass")) - 2**63
                 for path, kind, value in sorted(found):
                     rows.append(n)
+                    prints.append(own)
                     paths.append(path)
                     kinds.append(kind)
                     values.append(xxhash.xxh3_64_intdigest(value.encode("utf-8", "surrogatepass")) - 2**63)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(paths, pa.string()), pa.array(kinds, pa.string()),
-                                              pa.array(values, pa.int64())], names=["host", "path", "kind", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(prints, pa.int64()), pa.array(paths, pa.string()), pa.array(kinds, pa.string()),
+                                              pa.array(values, pa.int64())], names=["host", "page", "path", "kind", "value"])
 
-    return pages.select(host(F.col(url)).alias("host"), F.col(html).cast("string").alias("html")).mapInArrow(run, "host string, path string, kind string, value long")
+    return pages.select(host(F.col(url)).alias("host"), F.col(html).cast("string").alias("html")).mapInArrow(run, "host string, page long, path string, kind string, value long")
 
 
 def importance(pages: DataFrame, p: StyleTree = StyleTree(), html: str = "html", url: str = "url") -> DataFrame:
@@ -187,9 +193,9 @@ def importance(pages: DataFrame, p: StyleTree = StyleTree(), html: str = "html",
 
     With m pages having a node, a text that c of them have there has entropy log c / log m. The
     content of a branch counts 1 less the mean entropy of the different texts in it, its
-    presentation the entropy of its kinds of children over the pages.
+    presentation the entropy of its kinds of children over the pages.  Pages with the same texts count once.
     """
-    counts = tree_rows(pages, html, url).groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"))
+    counts = tree_rows(pages, html, url).distinct().groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"))
     counts = cut_lineage(counts, "page-counts")
     nodes = counts.where("kind = 'node'").select("host", "path", F.col("n").alias("m"))
     shape = counts.where("kind = 'children'").groupBy("host", "path").agg(F.sum("n").alias("seen"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))

@@ -50,6 +50,14 @@ def test_copies_and_rare_branches_stay(spark):
     assert got[0].startswith("The same on all pages") and got[20] == "Twice only" and got[30] == "Always this"
 
 
+def test_copies_of_an_article_keep_its_inner_container(spark):
+    one, two = ("<article><h1>Head</h1><div class=inner><p>The body of it</p></div></article>", "<article><h1>Other</h1><div class=inner><p>Another body</p></div></article>")
+    rows = [(i, f"http://one.org/?q={i}", one) for i in range(6)] + [(10 + i, f"http://two.org/?q={i}", (one, two)[i % 2]) for i in range(20)]
+    got = texts(extract(pages(spark, rows)))
+    assert {got[i] for i in range(6)} == {"Head The body of it"}
+    assert {got[10 + i] for i in range(20)} == {"Head The body of it", "Other Another body"}
+
+
 def test_odd_pages(spark):
     long = "<p>" + "word &lt;b&gt; " * 100_000
     rows = [(1, None, None), (2, "", ""), (3, "not a url", "plain text"), (None, "http://x.org", "<p>a"), (4, "http://x.org", long), (4, "http://x.org", long),
