@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
-from logwarden.llm.common import WordHasher, mix, text_slices
+from logwarden.llm.common import WordHasher, mix, small_or_shuffled, text_slices
 from logwarden.llm.spans import row_key
 from logwarden.session import cut_lineage
 
@@ -285,13 +285,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Retrieval = Retrieval(), tex
     """Benchmark items found in documents: (doc_id, row_key, item_id, cosine, lcs, answer), one row per pair.
 
     Every whole text is searched in overlapping windows; case and punctuation don't count.  Texts and
-    items without words (null, empty) find nothing, items without item_id are left out, rows without
-    doc_id are reported with a null id.  Rows of repeated documents share one result row.  Items that repeat an
-    item_id are searched as one item by the first of their texts in order.  Item passages made of words
+    items without words (null, empty) find nothing, rows without doc_id and items without
+    item_id are reported with a null id.  Rows of repeated documents share one result row.  Every
+    different text of an item_id is searched; the result has the greatest values of those found.  Item passages made of words
     that are in over a tenth of all passages, as leaks themselves can make them, are compared by those words.  Empty tables give no rows.
     """
     spark = docs.sparkSession
-    listed = benchmark.where(F.col(item_key).isNotNull()).groupBy(F.col(item_key).cast("long").alias("item_id")).agg(F.min(item_text).alias("text"))
+    named = benchmark.where(F.col(item_text).isNotNull()).select(F.xxhash64(item_text).alias("item_id"), F.col(item_key).cast("long").alias("name"),
+                                                                 F.col(item_text).cast("string").alias("text"))
+    named = cut_lineage(named.distinct(), "leak-named")
+    listed = named.select("item_id", "text").dropDuplicates(["item_id"])  # equal texts are searched once; below, item_id is the text's hash
     n_blocks = -(-listed.count() // p.block)
     idf = document_frequency(docs, p, text)
     shared = spark.sparkContext.broadcast(idf)
@@ -319,7 +322,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Retrieval = Retrieval(), tex
     out = parts[0] if parts else spark.createDataFrame([], "doc_id long, row_key long, item_id long, cosine double, lcs double, answer double")
     for more in parts[1:]:
         out = out.unionByName(more)
-    return out
+    of = small_or_shuffled(named.select("item_id", "name").distinct())
+    return (out.join(of, "item_id").groupBy("doc_id", "row_key", F.col("name").alias("item_id"))
+            .agg(F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"), F.max("answer").alias("answer")))
 
 
 def item_words(items: pd.DataFrame, idf: np.ndarray, p: Retrieval) -> dict[int, tuple[np.ndarray, np.ndarray, int]]:

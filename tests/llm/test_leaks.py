@@ -36,6 +36,14 @@ def test_every_copy_is_found_and_clean_documents_are_left(spark):
     assert len(found) == len(truth)
 
 
+def test_every_text_of_an_item_and_items_without_id_are_sought(spark):
+    rng = random.Random(16)
+    one, two, three = (prose(rng, 2) for _ in range(3))
+    rows = [(d, f"{prose(rng, 4)} {leak} {prose(rng, 4)}") for d, leak in enumerate((one, two, three, ""))]
+    found = leaks(odd_docs(spark, rows), bench(spark, [(1, one), (1, two), (None, three), (2, one)])).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(0, 1), (0, 2), (1, 1), (2, None)} and len(found) == 4
+
+
 def test_blocks_of_items_give_the_same(spark):
     items, rows, truth = corpus(3)
     found = leaks(odd_docs(spark, rows), bench(spark, items), Retrieval(block=15)).collect()
@@ -74,7 +82,7 @@ def test_odd_rows_and_items(spark):
     rows = odd_rows()
     item = " ".join(rows[0][1].split()[20:60])
     found = leaks(odd_docs(spark), bench(spark, [(1, item), (1, item), (2, None), (3, ""), (None, item), (4, "?!")])).collect()
-    assert sorted({(r.doc_id, r.item_id) for r in found}, key=str) == [(1, 1), (2, 1), (3, 1), (None, 1)]
+    assert sorted({(r.doc_id, r.item_id) for r in found}, key=str) == sorted(((d, i) for d in (1, 2, 3, None) for i in (1, None)), key=str)
     docs = odd_docs(spark)
     kept = drop_contaminated(docs, bench(spark, [(1, item)]))
     assert kept.columns == docs.columns and kept.count() == len(rows) - 5
