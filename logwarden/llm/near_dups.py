@@ -277,8 +277,8 @@ def links(classes: DataFrame, docs: DataFrame, p: NearDups, text: str) -> DataFr
 
     The members of a bucket are first compared with one hub of it, the least.  Two members in one
     component need no comparison.  Members that are not in their hub's component then ask
-    one partner each (:func:`partners`), and components merge, round by round while links are found, so that a group of
-    near copies is one component before its pairs are made.  What is apart then is
+    one partner each (:func:`partners`), and components merge, round by round while many are links, so that a group of
+    near copies is nearly one component before its pairs are made.  What is apart then is
     searched among all members of its hub by :func:`across`, which misses no link.
     """
     members = cut_lineage(bucket_keys(classes, p), "near-buckets")
@@ -296,18 +296,22 @@ def links(classes: DataFrame, docs: DataFrame, p: NearDups, text: str) -> DataFr
     rows = cut_lineage(prefixes(cut_lineage(departures(state, held), "near-departures"), p), "near-prefixes")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        apart = cut_lineage(plausible(cut_lineage(pairs, "near-pairs"), classes, p), "near-likely")
+        apart = cut_lineage(plausible(pairs, classes, p), "near-likely")
         return cut_lineage(confirmed(apart, held, p), "near-links")
 
     for turn in range(p.rounds):
-        more = verify(partners(rows, state, p, turn))
-        if more.isEmpty():
+        asked = cut_lineage(partners(rows, state, p, turn), "near-asked")
+        more = verify(asked)
+        n_asked, n_more = asked.count(), more.count()
+        if not n_more:
             break
         found = found.unionByName(more)
         at = state.select("fp", "c").distinct()
         joined = (more.join(at.select(F.col("fp").alias("a"), F.col("c").alias("ca")), "a").join(at.select(F.col("fp").alias("b"), F.col("c").alias("cb")), "b"))
         state = still_open(state, components(joined, "ca", "cb"), "c", "main")
-    return found.unionByName(verify(across(rows, state, p)))
+        if 8 * n_more < n_asked:
+            break  # what is left to merge is little, so one whole search costs less than more rounds
+    return found.unionByName(verify(cut_lineage(across(rows, state, p), "near-pairs")))
 
 
 def near_duplicates(docs: DataFrame, p: NearDups = NearDups(), text: str = "text", key: str = "doc_id") -> DataFrame:
