@@ -20,9 +20,13 @@ if TYPE_CHECKING:
 
 
 def merges(model: Model) -> list[tuple[str, str]]:
-    """All ways to join two pieces to a third, best score first; shorter left parts later among equals."""
+    """All ways to join two pieces to a third, best score first.
+
+    Among equal scores the leftmost place is due first, while merges have one order each.  Runs of one symbol,
+    whose pieces may all have one score, grow from the left: there the longer left part is always the leftmost place.
+    """
     own = {p: s for p, s, k in zip(model.pieces, model.scores, model.kinds) if k == NORMAL}
-    found = [(-own[p], len(p), -c, p[:c], p[c:]) for p in own for c in range(1, len(p)) if p[:c] in own and p[c:] in own]
+    found = [(-own[p], -c, len(p), p[:c], p[c:]) for p in own for c in range(1, len(p)) if p[:c] in own and p[c:] in own]
     return [(a, b) for *_, a, b in sorted(found)]
 
 
@@ -73,11 +77,11 @@ class Codec:
         if "" in words:  # a space at the end of a text: the mark alone, while an empty text has no dummy prefix
             got[words.index("")] = want[words.index("")] = [self.mark]
         same = [a == b for a, b in zip(got, want)]
-        back = [d == w for d, w in zip(self.tokenizer.decode_batch(want, skip_special_tokens=False), words)]
-        sizes = np.fromiter(map(len, want), np.int64, len(want))
+        back = [d == w for d, w in zip(self.tokenizer.decode_batch(got, skip_special_tokens=False), words)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
         self.starts = np.r_[self.starts, len(self.ids) + np.cumsum(sizes) - sizes]
         self.sizes, self.same, self.back = np.r_[self.sizes, sizes], np.r_[self.same, same], np.r_[self.back, back]
-        self.ids = np.r_[self.ids, np.fromiter((i for x in want for i in x), np.int32, int(sizes.sum()))]
+        self.ids = np.r_[self.ids, np.fromiter((i for x in got for i in x), np.int32, int(sizes.sum()))]
         self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
@@ -112,8 +116,8 @@ def encode_decode(docs: DataFrame, model_path: str, threads: int = 2, held: int
     """Per row of ``docs``: doc_id, n_tokens, ids, parity, round_trip, for a SentencePiece model file.
 
     Whole texts are cut into pretokens, and every pretoken is encoded by the tokenizers library in
-    batches and compared with the reference library.  ``parity`` tells whether they agreed on all
-    of a text; where they don't, the reference's ids are taken.  ``round_trip`` tells whether the ids decode to
+    batches, whose ids are the result, and verified with the reference library.  ``parity`` tells whether they agreed on all
+    of a text.  ``round_trip`` tells whether the ids decode to
     the text; a literal space mark in a text comes back as a space.  Null and empty texts
     have no tokens and both flags set.  Every row gives one row, also repeats and rows without doc_id.
     """
