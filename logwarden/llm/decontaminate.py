@@ -23,6 +23,8 @@ WORD_BYTES = np.array([chr(b).isalnum() or b >= 128 for b in range(128)] + [True
 
 #: Inverse passage frequency of a word that lies in a tenth of all passages.
 COMMON = 2.3
+#: Passages that are counted besides those of the table, as if without its words, so that few passages make no word common.
+UNSEEN = 500.0
 
 
 @dataclass(frozen=True)
@@ -77,14 +79,11 @@ def document_frequency(docs: DataFrame, p: Retrieval, text: str) -> np.ndarray:
     n = sums.set_index("bucket")["n"]
     df = np.zeros(p.buckets)
     df[n.index[n.index >= 0]] = n[n.index >= 0]
-    total = n.get(-1, 0) + 1.0
-    idf = np.log(total / (df + 0.5)).clip(0.01)
-    # Below 50 passages a word is never common, so that small tables are searched alike.
-    return np.where(df > 50, idf, np.maximum(idf, COMMON + 0.01)).astype(np.float32)
+    return np.log((n.get(-1, 0) + UNSEEN) / (df + 0.5)).clip(0.01).astype(np.float32)
 
 
 def sought(idf: np.ndarray) -> np.ndarray:
-    """Weights for the search: words that lie in over a tenth of all passages, and in over 50, count nothing, save in passages made of them."""
+    """Weights for the search: words that lie in over a tenth of all passages count nothing, save in passages made of them."""
     return np.where(idf > COMMON, idf, 0).astype(np.float32)
 
 

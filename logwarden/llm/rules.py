@@ -18,13 +18,13 @@ SYMBOLS = "[#*$%&|<>]"
 class Rules:
     """``buckets`` bounds both multinomials; all rows labelled 1 are the trusted target.  A text passes if the mean
     log ratio of its words and word pairs is at least ``least_ratio`` and at most ``spread``
-    standard deviations below the mean of trusted texts that were not counted, if there are ``least_held_out`` of
-    those; ``window`` and the other numbers belong to the base rules."""
+    standard deviations below the mean of trusted texts that were not counted.  That bound is averaged with
+    ``least_ratio``, which weighs as much as ``prior`` such texts; ``window`` and the other numbers belong to the base rules."""
 
     buckets: int = 1 << 16
     least_ratio: float = -0.3
     spread: float = 4.0
-    least_held_out: int = 10
+    prior: int = 10
     window: int = 8
     least_words: int = 20
     repeat_percent: int = 30
@@ -155,10 +155,9 @@ def least_ratio(docs: DataFrame, trusted: DataFrame, half: Column, p: Rules, tex
     score = F.round(x["ratio_sum"] * 1000 / x["n_grams"]).cast("long")
     of = seen.where(~base_failed(x, p)).select(score.alias("s")).agg(F.count("s").alias("n"), F.sum("s").alias("s"), F.sum(F.col("s") * F.col("s")).alias("ss")).first()
     fixed = round(p.UNIT * p.least_ratio)
-    if of.n < p.least_held_out:
-        return fixed
-    deviation = sqrt(max(0, of.n * of.ss - of.s * of.s)) / of.n
-    return max(fixed, floor((of.s / of.n - p.spread * deviation) / 1000))
+    n, s, ss = of.n, of.s or 0, of.ss or 0
+    bound = (s - p.spread * sqrt(max(0, n * ss - s * s))) / max(1, n) / 1000
+    return floor((n * max(fixed, bound) + p.prior * fixed) / max(1, n + p.prior))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, p: Rules = Rules(), text: str = "text", key: str = "doc_id", into: str = "rules") -> DataFrame:
