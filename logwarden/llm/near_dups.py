@@ -135,9 +135,7 @@ def plausible(pairs: DataFrame, classes: DataFrame, p: NearDups) -> DataFrame:
                 alive, equal, done = alive[equal >= least], equal[equal >= least], n
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).take(pa.array(alive))
 
-    sig = classes.select("fp", "sig")
-    both = (pairs.join(sig.select(F.col("fp").alias("b"), F.col("sig").alias("sig_b")), "b")
-            .join(sig.select(F.col("fp").alias("a"), F.col("sig").alias("sig_a")), "a"))
+    both = with_both(pairs, classes.select("fp", "sig"), "sig", "a", "b")
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
@@ -150,10 +148,14 @@ def shingle_sets(fps: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDup
     return cut_lineage(held.where("fp is not null"), "near-sets")
 
 
-def with_sets(pairs: DataFrame, held: DataFrame, a: str, b: str) -> DataFrame:
-    """``pairs`` with the sets of both ends as items_a and items_b."""
-    return (pairs.join(held.select(F.col("fp").alias(b), F.col("items").alias("items_b")), b)
-            .join(held.select(F.col("fp").alias(a), F.col("items").alias("items_a")), a))
+def with_both(pairs: DataFrame, of: DataFrame, value: str, a: str, b: str) -> DataFrame:
+    """``pairs`` with the ``value`` that ``of`` has for both ends, as <value>_a and <value>_b.
+
+    Pairs that are few enough travel to the values, and only values of their first ends are shuffled.
+    """
+    first = small_or_shuffled(pairs.select(F.col(a).alias("fp")).distinct())
+    return (small_or_shuffled(pairs).join(of.select(F.col("fp").alias(b), F.col(value).alias(f"{value}_b")), b)
+            .join(of.join(first, "fp", "left_semi").select(F.col("fp").alias(a), F.col(value).alias(f"{value}_a")), a))
 
 
 def confirmed(pairs: DataFrame, held: DataFrame, p: NearDups) -> DataFrame:
@@ -169,7 +171,7 @@ def confirmed(pairs: DataFrame, held: DataFrame, p: NearDups) -> DataFrame:
                     links.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).take(pa.array(links, pa.int64()))
 
-    both = with_sets(pairs, held, "a", "b")
+    both = with_both(pairs, held, "items", "a", "b")
     return both.select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
 
 
@@ -197,7 +199,7 @@ def departures(members: DataFrame, held: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in (hub, np.concatenate(found), fp, c, c != main, np.repeat(sizes, n),
                                                                         np.repeat(hub_sizes, n), np.repeat(n, n))], names=schema.replace(" long", "").replace(" boolean", "").split(", "))
 
-    both = with_sets(members, held, "hub", "fp")
+    both = with_both(members, held, "items", "hub", "fp")
     return both.select("hub", "fp", "c", "main", "items_a", "items_b").mapInArrow(run, schema)
 
 
@@ -215,8 +217,10 @@ def prefixes(tokens: DataFrame, p: NearDups) -> DataFrame:
     """
     r = (100 - p.percent) / (100 + p.percent)
     counts = tokens.groupBy("hub", "token").agg(F.count("*").alias("among"), F.max("odd").alias("sought"))
-    place = F.row_number().over(Window.partitionBy("hub", "fp").orderBy("among", "token"))
-    ranked = tokens.join(counts, ["hub", "token"]).withColumn("place", place).where("among > 1 and sought")
+    # Shingles that only one member has come first; there are n less the others, and they need no place of their own.
+    mine = Window.partitionBy("hub", "fp")
+    place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("among", "token"))
+    ranked = tokens.join(counts.where("among > 1"), ["hub", "token"]).withColumn("place", place).where("sought")
     widest = F.col("n") - r * F.col("size") * (1 + 100 / p.percent)
     as_any = F.col("n") - F.floor(F.greatest((F.col("n") + r * (F.col("hub_size") - F.col("size"))) / 2, widest) - 1e-6)
     as_odd = F.col("n") - F.floor(F.greatest(F.lit(0.0), widest) - 1e-6)
@@ -226,7 +230,7 @@ def prefixes(tokens: DataFrame, p: NearDups) -> DataFrame:
 
 def sides(rows: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The prefixes of all open members, and of those out of their hub's component (columns with _x), by the components of ``state``."""
-    now = rows.join(state.select("hub", "fp", "c", (F.col("c") != F.col("main")).alias("odd")), ["hub", "fp"])
+    now = rows.join(small_or_shuffled(state.select("hub", "fp", "c", (F.col("c") != F.col("main")).alias("odd"))), ["hub", "fp"])
     names = ("fp", "c", "size", "n", "place")
     return (now.where("any").select("hub", "token", *names),
             now.where("odd and asks").select("hub", "token", *[F.col(v).alias(f"{v}_x") for v in names]))
@@ -263,13 +267,14 @@ def across(rows: DataFrame, state: DataFrame, p: NearDups) -> DataFrame:
 
 def still_open(state: DataFrame, label: DataFrame, node: str, hub: str) -> DataFrame:
     """Members (hub, fp, c, main) whose hubs still hold several components; c and main are the labels of ``node`` and ``hub``."""
+    label = small_or_shuffled(label)
     named = (state.withColumn("__c", F.col(node)).withColumn("__m", F.col(hub)).select("hub", "fp", "__c", "__m")
              .join(label.select(F.col("node").alias("__c"), F.col("label").alias("c")), "__c", "left")
              .join(label.select(F.col("node").alias("__m"), F.col("label").alias("main")), "__m", "left")
              .select("hub", "fp", F.coalesce("c", "__c").alias("c"), F.coalesce("main", "__m").alias("main")))
     # A hub with one member, or with all members in its component, leaves nothing to compare.
     open_ = named.groupBy("hub").agg(F.count("*").alias("n"), F.max((F.col("c") != F.col("main")).cast("int")).alias("odd")).where("n > 1 and odd = 1")
-    return cut_lineage(named.join(open_, "hub", "left_semi"), "near-open")
+    return cut_lineage(named.join(small_or_shuffled(open_.select("hub")), "hub", "left_semi"), "near-open")
 
 
 def links(classes: DataFrame, docs: DataFrame, p: NearDups, text: str) -> DataFrame:

@@ -85,3 +85,18 @@ def test_components_of_a_long_chain_and_a_star(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 140)}}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_few_edges_take_few_tasks(spark):
+    conf = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long").repartition(9)
+        label = components(edges)
+        assert label.rdd.getNumPartitions() <= 2
+        assert {r.node: r.label for r in label.collect()} == {i: 0 for i in range(41)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
