@@ -6,10 +6,19 @@ broadcasts a small profile and splits a skewed partition of a large join.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from logwarden import constants as K
 from logwarden.functions.scalars import flag, safe_divide
+from logwarden.session import cut_lineage
+
+#: Values that a task sorts for exact percentiles, about.
+TASK_VALUES = 500_000
+#: Large entities (with their brackets) that are broadcast.
+BROADCAST_ENTITIES = 50_000
 
 
 def _entropy(n: Column, n_log_n: Column) -> Column:
@@ -38,11 +47,11 @@ def percentile_profiles(df: DataFrame, entity: str, fields: list[str], percents:
                         approximate: bool = False, accuracy: int = 5000, whole: int = 10_000) -> DataFrame:
     """Percentiles of all fields per entity with linear interpolation; 0 where a field has no values.
 
-    Exact by default, in two scans whatever the number of fields and the size of entities.  The first
-    makes a mergeable quantile sketch per entity and field, which brackets every wanted rank by twice four times the sketch's
-    error.  The second counts values: those inside a bracket one by one, those between two brackets
-    together.  So an entity with n values sends about ``8 * n * percents / accuracy`` of them on, and not more than
-    ``whole`` if it has no more.  Should a rank fall outside its bracket the job fails; no wrong value is returned.
+    Exact by default, in at most four scans whatever the number of fields and the size of entities.  Values are counted first.  A field of an entity with at most ``whole`` values is sorted whole, in
+    tasks of about :data:`TASK_VALUES` values.  A larger one gets a mergeable quantile sketch, which brackets every wanted rank by twice
+    four times the sketch's error; then its values are counted where they lie: those inside a bracket one by one, those between two
+    brackets together.  So it sends about ``8 * n * percents / accuracy`` of its n values on, and its rows are
+    not dealt by entity.  Should a rank fall outside its bracket the job fails; no wrong value is returned.
     ``approximate`` returns the sketch's own values.
     """
     percents = K.PERCENTILES if percents is None else percents
@@ -53,24 +62,63 @@ def percentile_profiles(df: DataFrame, entity: str, fields: list[str], percents:
     if approximate:
         sketch = rows.groupBy(entity).agg(*[F.percentile_approx(v, shares, 10000).alias(v) for v in inner])
         return sketch.select(entity, *[F.coalesce(F.get(v, F.lit(i)), F.lit(0.0)).alias(n) for v, of in zip(inner, names) for i, n in enumerate(of)])
+    sizes = cut_lineage(rows.groupBy(entity).agg(*[F.count(v).alias(f"{v}_n") for v in inner]), "percentile-sizes")
+    is_large = reduce(or_, [F.col(f"{v}_n") > whole for v in inner])
+    in_small = sum((F.when(F.col(f"{v}_n") <= whole, F.col(f"{v}_n")).otherwise(0) for v in inner), F.lit(0))
+    n_large, n_small = sizes.agg(F.count_if(is_large), F.coalesce(F.sum(in_small), F.lit(0))).first()
+    large = sizes.where(is_large).select(F.col(entity).alias("_of"), *[(F.col(f"{v}_n") > whole).alias(f"{v}_large") for v in inner])
+    large = F.broadcast(large) if n_large <= BROADCAST_ENTITIES else large
+    out = sizes.select(entity)
+    if n_small:
+        small = rows
+        if n_large:
+            small = rows.join(large, F.col(entity) == F.col("_of"), "left").select(
+                entity, *[F.when(~F.coalesce(f"{v}_large", F.lit(False)), F.col(v)).alias(v) for v in inner])
+        out = out.join(_sorted_percentiles(small.where(F.coalesce(*inner).isNotNull()), entity, inner, shares, names, 1 + n_small // TASK_VALUES), entity, "left")
+    if n_large:
+        out = out.join(_counted_percentiles(rows, large, n_large, entity, inner, shares, names, accuracy), entity, "left")
+    held = [*(["_small"] if n_small else []), *(["_large"] if n_large else [])]
+    return out.select(entity, *[F.coalesce(*[F.col(f"{h}_{n}") for h in held], F.lit(0.0)).alias(n) for of in names for n in of])
+
+
+def _between(lo: Column, hi: Column, at: Column) -> Column:
+    return lo + (hi - lo) * at
+
+
+def _sorted_percentiles(rows: DataFrame, entity: str, inner: list[str], shares: list[float], names: list[list[str]], parts: int) -> DataFrame:
+    """Percentiles by sorting the values of each entity, which are few, in ``parts`` tasks; columns begin with ``_small_``."""
+    lists = rows.repartition(parts, entity).groupBy(entity).agg(*[F.sort_array(F.collect_list(v)).alias(v) for v in inner])
+    found = []
+    for v, of in zip(inner, names):
+        for s, name in zip(shares, of):
+            position = F.lit(s) * (F.size(v) - 1)
+            lo, hi = (F.when(F.size(v) > 0, F.get(v, end(position).cast("int"))) + F.lit(0.0) for end in (F.floor, F.ceil))
+            found.append(_between(lo, hi, position - F.floor(position)).alias(f"_small_{name}"))
+    return lists.select(entity, *found)
+
+
+def _counted_percentiles(rows: DataFrame, large: DataFrame, n_large: int, entity: str, inner: list[str], shares: list[float],
+                         names: list[list[str]], accuracy: int) -> DataFrame:
+    """Percentiles of the fields marked in ``large`` by counting values between brackets; columns begin with ``_large_``."""
     reach = 4.0 / accuracy
     ends = [min(max(s + d, 0.0), 1.0) for s in shares for d in (-reach, reach)]
-    sketch = rows.groupBy(entity).agg(*[F.count(v).alias(f"{v}_n") for v in inner], *[F.percentile_approx(v, ends, accuracy).alias(f"{v}_q") for v in inner])
-    brackets = sketch.select(F.col(entity).alias("_of"), *[F.when(F.col(f"{v}_n") > whole, F.col(f"{v}_q")).alias(f"{v}_q") for v in inner])
+    marked = rows.join(large, F.col(entity) == F.col("_of")).select(entity, *[F.when(F.col(f"{v}_large"), F.col(v)).alias(v) for v in inner])
+    brackets = marked.groupBy(F.col(entity).alias("_of")).agg(*[F.percentile_approx(v, ends, accuracy).alias(f"{v}_q") for v in inner])
+    brackets = cut_lineage(brackets, "percentile-brackets")
+    brackets = F.broadcast(brackets) if n_large <= BROADCAST_ENTITIES else brackets
 
     def place(i: int, v: str):
         """The value itself, or between brackets the end of the bracket below; ``between`` sorts those after the end itself."""
         low, high = ([F.get(f"{v}_q", F.lit(2 * k + e)) for k in range(len(shares))] for e in (0, 1))
-        kept = F.col(f"{v}_q").isNull()
+        kept = F.lit(False)
         below = F.lit(float("-inf"))
         for a, b in zip(low, high):
             kept = kept | F.col(v).between(a, b)
             below = F.greatest(below, F.when(F.col(v) > b, b))
-        return F.struct(F.lit(i).alias("field"), F.when(kept, F.col(v)).otherwise(below).alias("at"), (~kept).alias("between"), F.col(v).isNotNull().alias("is_value"))
+        is_value = F.col(v).isNotNull() & F.col(f"{v}_q").isNotNull()
+        return F.struct(F.lit(i).alias("field"), F.when(kept, F.col(v)).otherwise(below).alias("at"), (~kept).alias("between"), is_value.alias("is_value"))
 
-    # Field -1 stands for the entity itself, which may have no values at all.
-    entity_row = F.struct(F.lit(-1).alias("field"), F.lit(0.0).alias("at"), F.lit(False).alias("between"), F.lit(True).alias("is_value"))
-    each = F.explode(F.array(entity_row, *[place(i, v) for i, v in enumerate(inner)]))
+    each = F.explode(F.array(*[place(i, v) for i, v in enumerate(inner)]))
     placed = rows.join(brackets, F.col(entity) == F.col("_of")).select(entity, each.alias("p")).where("p.is_value")
     counts = placed.groupBy(entity, "p.field", "p.at", "p.between").agg(F.count(F.lit(1)).alias("n"))
     mine = W.partitionBy(entity, "field")
@@ -85,9 +133,7 @@ def percentile_profiles(df: DataFrame, entity: str, fields: list[str], percents:
                 picks.append(F.max(F.when(holds, value)).alias(f"{name}_{end}"))
             picks.append(F.max(F.when(F.col("field") == i, position - F.floor(position))).alias(f"{name}_at"))
     found = ranked.groupBy(entity).agg(*picks)
-    return found.select(entity, *[
-        F.coalesce(F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_at"), F.lit(0.0)).alias(n)
-        for of in names for n in of])
+    return found.select(entity, *[_between(F.col(f"{n}_lo"), F.col(f"{n}_hi"), F.col(f"{n}_at")).alias(f"_large_{n}") for of in names for n in of])
 
 
 def category_profile(df: DataFrame, entity: str, fields: list[str], prefix: str = "stat") -> DataFrame:

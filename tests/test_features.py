@@ -193,3 +193,23 @@ def test_sorted_input_keeps_ranks_inside_their_brackets(spark):
     df = spark.range(0, 300_000, 1, 16).select(F.lit("u").alias("user"), F.col("id").cast("double").alias("v"))
     r = entity.percentile_profile(df, "user", "v", [1, 50, 99]).first()
     assert (r.stat_v_p1, r.stat_v_p50, r.stat_v_p99) == pytest.approx(np.percentile(np.arange(300_000), [1, 50, 99]))
+
+
+def test_rows_of_large_entities_are_not_dealt_by_entity_and_small_ones_in_small_tasks(spark, monkeypatch):
+    monkeypatch.setattr(entity, "TASK_VALUES", 100, raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(3000).select(F.when(F.col("id") < 2000, F.lit("big")).otherwise((F.col("id") % 50).cast("string")).alias("user"),
+                                      (F.col("id") * 7919 % 3001).cast("double").alias("v"))
+        out = entity.percentile_profiles(df, "user", ["v"], [10, 50], whole=100)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        values = {u: [] for u in ["big", *map(str, range(50))]}
+        for r in df.collect():
+            values[r.user].append(r.v)
+        got = {r.user: (r.stat_v_p10, r.stat_v_p50) for r in out.collect()}
+        assert got == {u: pytest.approx(tuple(np.percentile(v, [10, 50]))) for u, v in values.items()}
+        assert ", 11), REPARTITION_BY_NUM" in plan  # 1,000 values of small entities, 100 a task
+        assert "BroadcastHashJoin [user" in plan and "BuildRight" in plan  # brackets go to the rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
