@@ -1,3 +1,4 @@
+import json
 import os
 import random
 import time
@@ -324,3 +325,28 @@ def test_directory_scan_counts_every_file(spark, tmp_path):
     (foreign / "x.bin").write_text("nothing known")
     alone = readers.scan_logs(spark, str(foreign), str(tmp_path / "out2"))
     assert [r.status for r in alone.files.collect()] == ["foreign"] and alone.rows.count() == 0
+
+
+def test_streams_keep_one_state_for_a_group_of_keys(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    for n in range(3):
+        rows = "".join(json.dumps({"id": n * 100 + k, "fp": None if k == 39 else f"k{k}", "ts": f"2026-01-01T00:0{n}:{k:02d}"}) + "\n" for k in range(40))
+        (src / f"{n}.json").write_text(rows)
+        os.utime(src / f"{n}.json", (time.time() - 100 + n, time.time() - 100 + n))
+    stream = spark.readStream.schema("id LONG, fp STRING, ts TIMESTAMP_NTZ").option("maxFilesPerTrigger", 1).json(str(src))
+
+    def drained(df, label):
+        out = str(tmp_path / label)
+        q = ingest.append_history(df, out, f"{out}-cp", available_now=True)
+        assert q.awaitTermination(300)
+        assert 0 < max(s.numRowsTotal for p in q.recentProgress for s in p.stateOperators) <= 4
+        return spark.read.parquet(out).collect()
+
+    with stateful.rocksdb_state(spark):
+        # A pause of 61 s keeps the first and the third minute of every key, null among them.
+        kept = drained(stateful.cooldown_stream(stream, "fp", "ts", "id", 61, 3600, groups=4), "cooldown")
+        assert sorted(r.id for r in kept) == [*range(40), *range(200, 240)]
+        found = drained(stateful.sessions_stream(stream, "fp", "ts", "id", 60, groups=4), "sessions")
+    assert {r.id: (r.session_id, r.events_in_session, r.session_duration_seconds) for r in found} == {
+        n * 100 + k: (0, n + 1, 60.0 * n) for n in range(3) for k in range(39)}
