@@ -42,7 +42,11 @@ class AnalysisConfig:
 
 def train(labelled: DataFrame, features: list[str], record: str = "record_id", trees: int = 100, max_depth: int = 30,
           seed: int = 42) -> Models:
-    """Isolation forest on benign rows, random forest on all rows of a labelled frame."""
+    """Isolation forest on benign rows, random forest on all rows of a labelled frame.
+
+    Both fits pass over their rows many times, so the columns that they use are written once to the shared folder.
+    """
+    labelled = cut_lineage(labelled.select(*dict.fromkeys([record, "label", *features])), "train-rows")
     benign = labels.benign_only(labelled)
     return Models(IsolationForest(features=features, identifier=record, trees=trees, seed=seed).fit(benign),
                   fit_random_forest(labelled, features, trees=trees, max_depth=max_depth, seed=seed))

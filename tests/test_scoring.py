@@ -197,3 +197,20 @@ def test_foreign_models_plug_in(spark):
     assert rows[1]["combined_risk_score"] > rows[2]["combined_risk_score"]
     with pytest.raises(ValueError):
         score(df, Models(Detector(), Detector()))
+
+
+def test_training_makes_its_rows_once(spark):
+    from logwarden.plans import analysis
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def value(i):
+        made.add(1)
+        return float(i % 17)
+
+    rows = spark.range(240).select(F.col("id").alias("record_id"), value("id").alias("x"),
+                                   F.when(F.col("id") % 3 == 0, "DDoS").otherwise("Benign").alias("label"))
+    models = analysis.train(rows, ["x"], trees=2, max_depth=2)
+    assert made.value == 240
+    assert models.random_forest is not None and models.isolation_forest is not None
