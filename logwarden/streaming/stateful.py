@@ -1,6 +1,6 @@
 """Stateful streams: cooldown, running sessions, first-seen values.
 
-Order inside a micro-batch is event time.  A key's rows of one micro-batch are
+Order inside a micro-batch is event time.  The rows of a group of keys in one micro-batch are
 sorted in its task, so bound micro-batches with ``maxFilesPerTrigger`` or
 ``maxBytesPerTrigger``; only the columns a processor needs are sent to it.
 Keys are handled by groups of hashed keys, with one state and one call a micro-batch each, so that a key costs
