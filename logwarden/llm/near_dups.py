@@ -11,8 +11,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from logwarden.llm.common import WordHasher, shingles, small_or_shuffled, text_slices, utf8
-from logwarden.llm.components import components
+from logwarden.llm.common import BROADCAST_ROWS, WordHasher, shingles, small_or_shuffled, text_slices, utf8
+from logwarden.llm.components import TASK_SETS, components, gathered
 from logwarden.session import cut_lineage
 
 
@@ -23,7 +23,7 @@ class NearDups:
     ``rows`` hashes make a band; the number of bands follows from ``miss``, the
     probability that no band of a pair at the threshold agrees.  ``prune`` is the
     posterior probability of a link below which a candidate is given up.  Members apart from their
-    hub ask one partner each in up to ``rounds`` rounds before the rest is searched whole.
+    hub ask up to ``asks`` partners each in up to ``rounds`` rounds before the rest is searched whole.
     """
 
     shingle: int = 5
@@ -31,6 +31,7 @@ class NearDups:
     rows: int = 5
     miss: float = 1e-7
     prune: float = 1e-7
+    asks: int = 4
     rounds: int = 8
     seed: int = 7
 
@@ -141,9 +142,10 @@ def plausible(pairs: DataFrame, classes: DataFrame, p: NearDups) -> DataFrame:
 
 def shingle_sets(fps: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDups, text: str) -> DataFrame:
     """(fp, items) for the classes in ``fps``: their whole shingle sets, made anew from one text of each."""
-    keys = cut_lineage(classes.join(fps, "fp", "left_semi").select("text_key").distinct(), "near-need")
+    keys = cut_lineage(classes.join(small_or_shuffled(fps), "fp", "left_semi").select("text_key"), "near-need")
     texts = (docs.select(F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
              .join(small_or_shuffled(keys), "text_key", "left_semi").dropDuplicates(["text_key"]))
+    texts = gathered(texts, keys.count(), TASK_SETS)
     held = signatures(texts.withColumn("doc_id", F.lit(0)), p, full=True).select("fp", "items")
     return cut_lineage(held.where("fp is not null"), "near-sets")
 
@@ -151,11 +153,15 @@ def shingle_sets(fps: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDup
 def with_both(pairs: DataFrame, of: DataFrame, value: str, a: str, b: str) -> DataFrame:
     """``pairs`` with the ``value`` that ``of`` has for both ends, as <value>_a and <value>_b.
 
-    Pairs that are few enough travel to the values, and only values of their first ends are shuffled.
+    Pairs that are few enough travel to the values, and only values of their first ends are shuffled, into as many tasks as the pairs need.
     """
-    first = small_or_shuffled(pairs.select(F.col(a).alias("fp")).distinct())
-    return (small_or_shuffled(pairs).join(of.select(F.col("fp").alias(b), F.col(value).alias(f"{value}_b")), b)
+    n = pairs.count()
+    few = n <= BROADCAST_ROWS
+    first = pairs.select(F.col(a).alias("fp"))
+    first = F.broadcast(first) if few else small_or_shuffled(first.distinct())
+    both = ((F.broadcast(pairs) if few else pairs).join(of.select(F.col("fp").alias(b), F.col(value).alias(f"{value}_b")), b)
             .join(of.join(first, "fp", "left_semi").select(F.col("fp").alias(a), F.col(value).alias(f"{value}_a")), a))
+    return gathered(both, n, TASK_SETS)
 
 
 def confirmed(pairs: DataFrame, held: DataFrame, p: NearDups) -> DataFrame:
@@ -247,16 +253,20 @@ def fits(p: NearDups) -> Column:
 
 
 def partners(rows: DataFrame, state: DataFrame, p: NearDups, turn: int) -> DataFrame:
-    """One pair (a, b) per open member at most: it and the member it meets under most tokens.
+    """Up to ``p.asks`` pairs (a, b) per open member: it and the members it meets under most tokens.
 
-    Only one member of each token's bucket is met, another one each turn, so there are no more meetings than prefix rows.
+    Only ``p.asks`` members of each token's bucket are met, others each turn, so meetings are in proportion to prefix rows.
     """
     index, probe = sides(rows, state)
-    of = F.struct(F.xxhash64("fp_x", F.lit(turn)).alias("h"), *[c for c in probe.columns if c.endswith("_x")])
-    met = probe.groupBy("hub", "token").agg(F.min(of).alias("m")).select("hub", "token", *[f"m.{c}" for c in probe.columns if c.endswith("_x")])
-    meetings = index.join(met, ["hub", "token"]).where(fits(p)).groupBy("fp", "fp_x").agg(F.count("*").alias("times"))
-    best = meetings.groupBy("fp").agg(F.max(F.struct("times", "fp_x")).alias("m"))
-    return best.select(F.least("fp", "m.fp_x").alias("a"), F.greatest("fp", "m.fp_x").alias("b")).distinct()
+    names = [c for c in probe.columns if c.endswith("_x")]
+    drawn = [F.min(F.struct(F.xxhash64("fp_x", F.lit(turn * p.asks + i)).alias("h"), *names)).alias(f"m{i}") for i in range(p.asks)]
+    each = F.array_distinct(F.array(*[F.struct(*[F.col(f"m{i}.{c}") for c in names]) for i in range(p.asks)]))
+    met = probe.groupBy("hub", "token").agg(*drawn).select("hub", "token", F.inline(each))
+    meetings = index.join(met, ["hub", "token"]).where(fits(p)).select("fp", "fp_x").repartition("fp").groupBy("fp", "fp_x").agg(F.count("*").alias("times"))
+    place = F.row_number().over(Window.partitionBy("fp").orderBy(F.desc("times"), "fp_x"))
+    best = meetings.withColumn("place", place).where(F.col("place") <= p.asks)
+    best = best.select(F.least("fp", "fp_x").alias("a"), F.greatest("fp", "fp_x").alias("b")).distinct()
+    return gathered(best, p.asks * state.count())
 
 
 def across(rows: DataFrame, state: DataFrame, p: NearDups) -> DataFrame:
@@ -266,15 +276,28 @@ def across(rows: DataFrame, state: DataFrame, p: NearDups) -> DataFrame:
 
 
 def still_open(state: DataFrame, label: DataFrame, node: str, hub: str) -> DataFrame:
-    """Members (hub, fp, c, main) whose hubs still hold several components; c and main are the labels of ``node`` and ``hub``."""
+    """Members (hub, fp, c, main) whose hubs still hold several components; c and main are the labels of ``node`` and ``hub``.
+
+    Members are labelled once and written, so that the search for open hubs does not label them again.
+    """
     label = small_or_shuffled(label)
-    named = (state.withColumn("__c", F.col(node)).withColumn("__m", F.col(hub)).select("hub", "fp", "__c", "__m")
-             .join(label.select(F.col("node").alias("__c"), F.col("label").alias("c")), "__c", "left")
-             .join(label.select(F.col("node").alias("__m"), F.col("label").alias("main")), "__m", "left")
-             .select("hub", "fp", F.coalesce("c", "__c").alias("c"), F.coalesce("main", "__m").alias("main")))
+    named = cut_lineage(
+        state.withColumn("__c", F.col(node)).withColumn("__m", F.col(hub)).select("hub", "fp", "__c", "__m")
+        .join(label.select(F.col("node").alias("__c"), F.col("label").alias("c")), "__c", "left")
+        .join(label.select(F.col("node").alias("__m"), F.col("label").alias("main")), "__m", "left")
+        .select("hub", "fp", F.coalesce("c", "__c").alias("c"), F.coalesce("main", "__m").alias("main")), "near-labelled")
     # A hub with one member, or with all members in its component, leaves nothing to compare.
-    open_ = named.groupBy("hub").agg(F.count("*").alias("n"), F.max((F.col("c") != F.col("main")).cast("int")).alias("odd")).where("n > 1 and odd = 1")
-    return cut_lineage(named.join(small_or_shuffled(open_.select("hub")), "hub", "left_semi"), "near-open")
+    open_ = (gathered(named, named.count()).groupBy("hub").agg(F.count("*").alias("n"), F.max((F.col("c") != F.col("main")).cast("int")).alias("odd"))
+             .where("n > 1 and odd = 1").select("hub"))
+    return cut_lineage(named.join(small_or_shuffled(open_), "hub", "left_semi"), "near-open")
+
+
+def merged(state: DataFrame, more: DataFrame) -> DataFrame:
+    """What is open of ``state`` when the components that the links ``more`` join are one."""
+    at = gathered(state.select("fp", "c"), state.count()).distinct()
+    more = small_or_shuffled(more)
+    joined = more.join(at.select(F.col("fp").alias("a"), F.col("c").alias("ca")), "a").join(at.select(F.col("fp").alias("b"), F.col("c").alias("cb")), "b")
+    return still_open(state, components(joined, "ca", "cb"), "c", "main")
 
 
 def links(classes: DataFrame, docs: DataFrame, p: NearDups, text: str) -> DataFrame:
@@ -282,38 +305,31 @@ def links(classes: DataFrame, docs: DataFrame, p: NearDups, text: str) -> DataFr
 
     The members of a bucket are first compared with one hub of it, the least.  Two members in one
     component need no comparison.  Members that are not in their hub's component then ask
-    one partner each (:func:`partners`), and components merge, round by round while many are links, so that a group of
+    a few partners each (:func:`partners`), and components merge, round by round while many are links, so that a group of
     near copies is nearly one component before its pairs are made.  What is apart then is
     searched among all members of its hub by :func:`across`, which misses no link.
     """
     members = cut_lineage(bucket_keys(classes, p), "near-buckets")
     hubs = members.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("hub")).where("n > 1").select("key", "hub")
     star = cut_lineage(members.join(hubs, "key").where("fp != hub").select("hub", "fp").distinct(), "near-star")
-    likely = cut_lineage(plausible(star.select(F.col("hub").alias("a"), F.col("fp").alias("b")), classes, p), "near-likely")
-
-    def sets_of(pairs: DataFrame, a: str, b: str) -> DataFrame:
-        ends = pairs.select(F.col(a).alias("fp")).unionByName(pairs.select(F.col(b).alias("fp"))).distinct()
-        return shingle_sets(ends, classes, docs, p, text)
-
-    found = cut_lineage(confirmed(likely, sets_of(likely, "a", "b"), p), "near-links")
-    state = still_open(star, components(found), "fp", "hub")
-    held = sets_of(state, "hub", "fp")
-    rows = cut_lineage(prefixes(cut_lineage(departures(state, held), "near-departures"), p), "near-prefixes")
+    # All that is compared below are members and hubs of the star, so their sets are made once.
+    ends = star.select(F.explode(F.array("hub", "fp")).alias("fp")).distinct()
+    held = shingle_sets(cut_lineage(gathered(ends, 2 * star.count()), "near-ends"), classes, docs, p, text)
 
     def verify(pairs: DataFrame) -> DataFrame:
         apart = cut_lineage(plausible(pairs, classes, p), "near-likely")
         return cut_lineage(confirmed(apart, held, p), "near-links")
 
+    found = verify(star.select(F.col("hub").alias("a"), F.col("fp").alias("b")))
+    state = still_open(star, components(found), "fp", "hub")
+    rows = cut_lineage(prefixes(cut_lineage(departures(state, held), "near-departures"), p), "near-prefixes")
     for turn in range(p.rounds):
         asked = cut_lineage(partners(rows, state, p, turn), "near-asked")
         more = verify(asked)
         n_asked, n_more = asked.count(), more.count()
         if not n_more:
             break
-        found = found.unionByName(more)
-        at = state.select("fp", "c").distinct()
-        joined = (more.join(at.select(F.col("fp").alias("a"), F.col("c").alias("ca")), "a").join(at.select(F.col("fp").alias("b"), F.col("c").alias("cb")), "b"))
-        state = still_open(state, components(joined, "ca", "cb"), "c", "main")
+        found, state = found.unionByName(more), merged(state, more)
         if 8 * n_more < n_asked:
             break  # what is left to merge is little, so one whole search costs less than more rounds
     return found.unionByName(verify(cut_lineage(across(rows, state, p), "near-pairs")))
@@ -330,13 +346,14 @@ def near_duplicates(docs: DataFrame, p: NearDups = NearDups(), text: str = "text
     none, and is kept only then.  Repeated rows share one result.  An empty table gives none.
     """
     rows = cut_lineage(signatures(docs, p, text, key), "near-rows")
-    classes = cut_lineage(rows.where("fp is not null").groupBy("fp").agg(
-        F.min("doc_id").alias("doc"), F.first("text_key").alias("text_key"), F.first("sig").alias("sig")), "near-classes")
+    classes = rows.where("fp is not null").groupBy("fp").agg(
+        F.min("doc_id").alias("doc"), F.first("text_key").alias("text_key"), F.first("sig").alias("sig"))
+    classes = cut_lineage(gathered(classes, rows.count(), TASK_SETS), "near-classes")
     found = links(classes, docs, p, text)
     label = components(found).withColumnRenamed("node", "fp")
     of = classes.join(label, "fp", "left").select("fp", "doc", F.coalesce("label", "fp").alias("label"))
     least = of.groupBy("label").agg(F.min("doc").alias("component_id"))
-    named = cut_lineage(of.join(least, "label").select("fp", "component_id"), "near-named")
+    named = cut_lineage(gathered(of.join(least, "label").select("fp", "component_id"), classes.count()), "near-named")
     out = rows.drop("sig").join(named, "fp", "left").withColumn(
         "component_id", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "text_key", "n_shingles", "component_id",

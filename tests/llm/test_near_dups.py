@@ -5,7 +5,7 @@ import pytest
 from corpus import WORDS, odd_docs, odd_rows
 
 from logwarden.llm.components import components
-from logwarden.llm.near_dups import NearDups, drop_near_duplicates, near_duplicates
+from logwarden.llm.near_dups import NearDups, drop_near_duplicates, near_duplicates, partners, still_open, with_both
 
 
 def shingle_set(text, k):
@@ -100,3 +100,50 @@ def test_few_edges_take_few_tasks(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_members_are_labelled_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    members = [(1, 2, 2, 1), (1, 3, 3, 1), (1, 4, 4, 1), (5, 6, 6, 5), (5, 7, 7, 5), (8, 9, 9, 8)]
+    state = spark.createDataFrame(members, "hub long, fp long, c long, main long")
+    state = state.mapInArrow(counted, state.schema)
+    label = spark.createDataFrame([(2, 1), (3, 1), (1, 1), (6, 5), (7, 5), (5, 5)], "node long, label long")
+    got = sorted(tuple(r) for r in still_open(state, label, "c", "main").collect())
+    assert got == [(1, 2, 1, 1), (1, 3, 1, 1), (1, 4, 4, 1)]
+    assert seen.value == len(members)
+
+
+def test_a_round_asks_several_partners(spark):
+    p = NearDups(asks=3)
+    n = 40
+    state = spark.createDataFrame([(0, i, i, 0) for i in range(1, n + 1)], "hub long, fp long, c long, main long")
+    # All members share one token, by which any two could be linked.
+    rows = spark.createDataFrame([(0, 7, i, 100, 30, 1, True, True) for i in range(1, n + 1)],
+                                 "hub long, token long, fp long, size long, n long, place long, any boolean, asks boolean")
+    rounds = [{(r.a, r.b) for r in partners(rows, state, p, turn).collect()} for turn in range(2)]
+    for pairs in rounds:
+        assert {x for ab in pairs for x in ab} == set(range(1, n + 1))
+        assert 3 * (n - 3) <= len(pairs) <= 3 * n and all(a < b for a, b in pairs)
+    assert rounds[0] != rounds[1]
+
+
+def test_few_pairs_take_few_tasks(spark):
+    conf = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        of = spark.createDataFrame([(i, str(i)) for i in range(50)], "fp long, v string").repartition(9)
+        pairs = spark.createDataFrame([(1, 2), (1, 3), (4, 2), (4, 60)], "a long, b long")
+        both = with_both(pairs, of, "v", "a", "b")
+        assert both.rdd.getNumPartitions() == 1
+        assert sorted((r.a, r.b, r.v_a, r.v_b) for r in both.collect()) == [(1, 2, "1", "2"), (1, 3, "1", "3"), (4, 2, "4", "2")]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
