@@ -15,6 +15,9 @@ from logwarden.llm.common import BROADCAST_ROWS, WordHasher, shingles, small_or_
 from logwarden.llm.components import TASK_SETS, components, gathered
 from logwarden.session import cut_lineage
 
+#: Departures that a task gives out at once at most: members are few or many by how long and how different their texts are.
+BATCH_DEPARTURES = 1 << 16
+
 
 @dataclass(frozen=True)
 class NearDups:
@@ -188,22 +191,32 @@ def departures(members: DataFrame, held: DataFrame) -> DataFrame:
     """
     schema = "hub long, token long, fp long, c long, odd boolean, size long, hub_size long, n long"
 
+    names = schema.replace(" long", "").replace(" boolean", "").split(", ")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
-            for begin in range(0, batch.num_rows, 256):
-                found, sizes, hub_sizes = [], [], []
-                part = range(begin, min(begin + 256, batch.num_rows))
-                for i in part:
-                    h, x = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (4, 5))
-                    found.append(np.setxor1d(h, x, assume_unique=True).view(np.int64))
-                    sizes.append(len(x))
-                    hub_sizes.append(len(h))
-                n = [len(d) for d in found]
-                at = np.repeat(np.array(part), n)
-                hub, fp, c, main = (x[at] for x in first)
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (hub, np.concatenate(found), fp, c, c != main, np.repeat(sizes, n),
-                                                                        np.repeat(hub_sizes, n), np.repeat(n, n))], names=schema.replace(" long", "").replace(" boolean", "").split(", "))
+            ids = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
+
+            def rows(parts: list[tuple[int, np.ndarray, int, int, int]]) -> pa.RecordBatch:
+                at, found, *facts = zip(*parts)
+                times = [len(d) for d in found]
+                hub, fp, c, main = (np.repeat(x[list(at)], times) for x in ids)
+                size, hub_size, n = (np.repeat(x, times) for x in facts)
+                return pa.RecordBatch.from_arrays([pa.array(v) for v in (hub, np.concatenate(found), fp, c, c != main, size, hub_size, n)], names=names)
+
+            parts, held_rows = [], 0
+            for i in range(batch.num_rows):
+                h, x = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (4, 5))
+                found = np.setxor1d(h, x, assume_unique=True).view(np.int64)
+                for begin in range(0, len(found), BATCH_DEPARTURES):
+                    part = found[begin : begin + BATCH_DEPARTURES]
+                    if parts and held_rows + len(part) > BATCH_DEPARTURES:
+                        yield rows(parts)
+                        parts, held_rows = [], 0
+                    parts.append((i, part, len(x), len(h), len(found)))
+                    held_rows += len(part)
+            if parts:
+                yield rows(parts)
 
     both = with_both(members, held, "items", "hub", "fp")
     return both.select("hub", "fp", "c", "main", "items_a", "items_b").mapInArrow(run, schema)

@@ -1,11 +1,14 @@
 import random
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from corpus import WORDS, odd_docs, odd_rows
 
+from logwarden.llm import near_dups
 from logwarden.llm.components import components
-from logwarden.llm.near_dups import NearDups, drop_near_duplicates, near_duplicates, partners, still_open, with_both
+from logwarden.llm.near_dups import NearDups, departures, drop_near_duplicates, near_duplicates, partners, still_open, with_both
 
 
 def shingle_set(text, k):
@@ -147,3 +150,29 @@ def test_few_pairs_take_few_tasks(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_members_that_differ_much_come_in_small_batches(monkeypatch):
+    class Joined:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    monkeypatch.setattr(near_dups, "with_both", lambda *args: Joined())
+    rng = np.random.default_rng(1)
+    sizes = [0, 1, 150_000, *[20_000] * 40, 0, 7]
+    sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in sizes]
+    hub = np.unique(np.concatenate([sets[2][:70_000], rng.integers(0, 2**64, 1_000, dtype=np.uint64)]))
+    columns = [pa.array([-5] * len(sets)), pa.array(range(len(sets))), pa.array([i % 2 for i in range(len(sets))]), pa.array([0] * len(sets)),
+               pa.array([hub.tobytes()] * len(sets)), pa.array([s.tobytes() for s in sets])]
+    batch = pa.RecordBatch.from_arrays(columns, names=["hub", "fp", "c", "main", "items_a", "items_b"])
+    got = list(departures(None, None)([batch, batch.slice(0, 0)]))
+    assert max(b.num_rows for b in got) <= 1 << 16
+    rows = pa.Table.from_batches(got).to_pandas()
+    for i, (fp, own) in enumerate(rows.groupby("fp")):
+        assert fp == i
+        assert sorted(own.token) == sorted(np.setxor1d(hub, sets[i]).view(np.int64).tolist())
+        assert set(own.drop(columns="token").itertuples(index=False, name=None)) == {(-5, i, i % 2, i % 2 == 1, len(sets[i]), len(hub), len(own))}
+    assert i + 1 == len(sets)
