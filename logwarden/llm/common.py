@@ -27,7 +27,10 @@ def small_or_shuffled(narrow: DataFrame, rows: int = BROADCAST_ROWS) -> DataFram
 
 
 def text_slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Consecutive slices of a batch with about ``most`` bytes of text, so that what is made of them stays small."""
+    """Consecutive slices of a batch with about ``most`` bytes of text, so that what is made of them stays small.
+
+    What Arrow keeps of freed arrays goes back after each batch, else a worker holds the most that any of its tasks took as long as it lives.
+    """
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     first = size = 0
     for i, n in enumerate(sizes.tolist()):
@@ -37,6 +40,14 @@ def text_slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iter
         size += n
     if len(sizes) > first:
         yield batch.slice(first)
+    pa.default_memory_pool().release_unused()
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; Arrow gives back what it keeps of freed arrays after each, as in :func:`text_slices`."""
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from logwarden.llm.common import BROADCAST_ROWS, WordHasher, shingles, small_or_shuffled, text_slices, utf8
+from logwarden.llm.common import BROADCAST_ROWS, WordHasher, released, shingles, small_or_shuffled, text_slices, utf8
 from logwarden.llm.components import TASK_SETS, components, gathered
 from logwarden.session import cut_lineage
 
@@ -72,7 +72,7 @@ def signatures(docs: DataFrame, p: NearDups, text: str = "text", key: str = "doc
         hasher, rng = WordHasher(), np.random.default_rng(p.seed)
         flips = rng.integers(0, 2**32, p.hashes, dtype=np.uint32)
         factors = rng.integers(0, 2**31, p.hashes, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-        for part in (s for batch in batches for s in text_slices(batch, 2)):
+        for part in (s for batch in batches for s in text_slices(batch, 2, 1 << 18)):
             words, at = hasher(utf8(part.column(2)))
             sets = [np.unique(shingles(words[i:j], p.shingle)) for i, j in zip(at[:-1], at[1:])]
             prints = [xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None for s in sets]
@@ -113,7 +113,7 @@ def bucket_keys(classes: DataFrame, p: NearDups) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(p.seed + 1)
         weights = rng.integers(0, 2**63, (p.bands, p.rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        for batch in batches:
+        for batch in released(batches):
             if batch.num_rows:
                 sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, p.bands, p.rows)
                 keys = (sigs * weights).sum(axis=2, dtype=np.uint64)
@@ -129,7 +129,7 @@ def plausible(pairs: DataFrame, classes: DataFrame, p: NearDups) -> DataFrame:
     steps = p.least_matches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             if not batch.num_rows:
                 continue
             left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in (2, 3))
@@ -171,7 +171,7 @@ def confirmed(pairs: DataFrame, held: DataFrame, p: NearDups) -> DataFrame:
     """The pairs that are links on their full shingle sets ``held``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             links = []
             for i in range(batch.num_rows):
                 left, right = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
@@ -194,7 +194,7 @@ def departures(members: DataFrame, held: DataFrame) -> DataFrame:
     names = schema.replace(" long", "").replace(" boolean", "").split(", ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             ids = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
 
             def rows(parts: list[tuple[int, np.ndarray, int, int, int]]) -> pa.RecordBatch:

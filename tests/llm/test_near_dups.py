@@ -7,8 +7,9 @@ import pytest
 from corpus import WORDS, odd_docs, odd_rows
 
 from logwarden.llm import near_dups
+from logwarden.llm.common import text_slices
 from logwarden.llm.components import components
-from logwarden.llm.near_dups import NearDups, departures, drop_near_duplicates, near_duplicates, partners, still_open, with_both
+from logwarden.llm.near_dups import NearDups, confirmed, departures, drop_near_duplicates, near_duplicates, partners, still_open, with_both
 
 
 def shingle_set(text, k):
@@ -176,3 +177,28 @@ def test_members_that_differ_much_come_in_small_batches(monkeypatch):
         assert sorted(own.token) == sorted(np.setxor1d(hub, sets[i]).view(np.int64).tolist())
         assert set(own.drop(columns="token").itertuples(index=False, name=None)) == {(-5, i, i % 2, i % 2 == 1, len(sets[i]), len(hub), len(own))}
     assert i + 1 == len(sets)
+
+
+def test_a_worker_gives_back_what_arrow_keeps(monkeypatch):
+    class Joined:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    asked = []
+
+    class Pool:
+        def release_unused(self):
+            asked.append(1)
+
+    monkeypatch.setattr(near_dups, "with_both", lambda *args: Joined())
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    ids = pa.array([1, 2])
+    items = pa.array([np.arange(4, dtype=np.uint64).tobytes()] * 2)
+    same = pa.RecordBatch.from_arrays([ids, ids, items, items], names=["a", "b", "x", "y"])
+    assert [b.num_rows for b in confirmed(None, None, NearDups())([same, same])] == [2, 2]
+    assert len(asked) == 2
+    assert [b.num_rows for b in text_slices(pa.RecordBatch.from_arrays([pa.array(["ab", "c", None, "def"])], names=["t"]), 0, 3)] == [3, 1]
+    assert len(asked) == 3
